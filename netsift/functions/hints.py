@@ -145,4 +145,4 @@ def condition_text(field: Column, operator: Column, value: Column) -> Column:
 def string_port_values(text: Column) -> Column:
     """Legacy text hint 'dst_port in [80, 443]' -> ARRAY<STRING> of ports, else null."""
     inner = F.regexp_extract(text, PORT_TEXT, 1)
-    return F.when(inner != "", F.transform(F.split(inner, ","), F.trim))
+    return F.when(inner != "", F.transform(F.split(inner, ","), lambda t: F.trim(t)))

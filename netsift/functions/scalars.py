@@ -205,7 +205,7 @@ def two_decimals(value: Column) -> Column:
 
 def split_list(text: Column) -> Column:
     """Comma text -> trimmed, non-empty parts; null when nothing is left."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda p: p != "")
     return F.when(F.size(parts) > 0, parts)
 
 

@@ -492,7 +492,18 @@ def match_watchlist(flows: DataFrame, rules: list[Rule], *, activity: bool = Tru
     chosen = F.when(F.col("_best").isNull(), no_match())
     for item in items:
         chosen = chosen.when(seq == item.rule.seq, item.result())
-    return scored.withColumn("match", chosen).select(*flows.columns, "match")
+    return scored.withColumn("_match", chosen).select(*flows.columns, "_match").transform(_settle)
+
+
+def _settle(matched: DataFrame) -> DataFrame:
+    """Keeps later filters above the match.
+
+    Catalyst pushes a filter through projections by copying their expressions
+    into it; with a whole watchlist inside that copies far too much. A
+    one-element generator keeps the match computed once, inside codegen.
+    """
+    others = [c for c in matched.columns if c != "_match"]
+    return matched.select(*others, F.explode(F.array("_match")).alias("match"))
 
 
 def item_matches(flows: DataFrame, rules: list[Rule], *, activity: bool = True) -> DataFrame:

@@ -131,7 +131,7 @@ def _valid_hint(raw: Column) -> Column:
 
 
 def _texts(values: Column) -> Column:
-    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def normalize_items(raw: DataFrame, cycle_id: str) -> DataFrame:
