@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-MODULES = ["store", "scalars", "hint_rules", "joins", "aggregates", "windows", "curation", "judgement", "learning", "streams"]
+MODULES = ["judgement", "aggregates", "scalars", "hint_rules", "joins", "windows", "curation", "store", "learning", "streams"]
 
 
 def query(name: str, sql: str | None = None):

@@ -136,8 +136,16 @@ def hint_value(spark, sf):
 # --- matching steps over the worked watchlist -----------------------------------------
 
 
+_TABLES: dict[str, watchlist.Watchlist] = {}
+
+
 def tables(spark):
-    return watchlist.load_watchlist(watchlist.document_frame(spark, fixtures.WATCHLIST))
+    """The worked watchlist as linted tables; nine items, so they stay cached."""
+    app = spark.sparkContext.applicationId
+    if app not in _TABLES:
+        wl = watchlist.load_watchlist(watchlist.document_frame(spark, fixtures.WATCHLIST))
+        _TABLES[app] = watchlist.Watchlist(*(t.coalesce(1).cache() for t in (wl.items, wl.targets, wl.hints, wl.groups)))
+    return _TABLES[app]
 
 
 def active(spark, sf):
