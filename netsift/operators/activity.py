@@ -400,22 +400,24 @@ def source_activity_unbounded(flows: DataFrame) -> DataFrame:
     return counts.join(top_ports(ordered, None), "flow_id")
 
 
-def prior_flows(flows: DataFrame, window_minutes: int) -> DataFrame:
-    """(flow, earlier flow of the same source within the window) pairs.
+def prior_flows(flows: DataFrame, window_minutes: int, *, pane_rows: int = PANE_ROWS) -> DataFrame:
+    """How many earlier flows of the same source fall in the window, and when the last one was.
 
-    Equi-join on source and window-sized bucket: a flow meets the bucket it is
-    in and the one before. Use the counters above when only totals are needed.
+    The self range join without its pairs: the count is a running sum of
+    ticks, the last one is the newest earlier time in the pane or, before the
+    first flow of a pane, the newest time of the panes before it.
     """
-    width = window_minutes * MINUTE_MS
-    bucket = F.floor(F.col("start_ms") / width)
-    left = flows.select("flow_id", "src_ip", "start_ms").withColumn(
-        "bucket", F.explode(F.array(bucket, bucket - 1))
-    )
-    right = flows.select(
-        F.col("src_ip"), F.col("flow_id").alias("prior_id"), F.col("start_ms").alias("prior_ms"), bucket.alias("bucket")
-    )
-    return (
-        left.join(right, ["src_ip", "bucket"])
-        .filter((F.col("prior_ms") < F.col("start_ms")) & (F.col("prior_ms") >= F.col("start_ms") - width))
-        .select("flow_id", "prior_id", "src_ip", "start_ms", "prior_ms")
+    window_ms = window_minutes * MINUTE_MS
+    counts = trailing_counts(flows, window_ms, pane_rows=pane_rows).select("flow_id", F.col("flow_count").alias("prior_count"))
+    placed = with_pane_width(flows.select("flow_id", "src_ip", "start_ms"), window_ms, pane_rows).withColumn(
+        "pane", _pane(F.col("start_ms"))
     )
+    closing = placed.groupBy("src_ip", "pane").agg(F.max("start_ms").alias("last_ms"))
+    earlier = Window.partitionBy("src_ip").orderBy("pane").rowsBetween(Window.unboundedPreceding, -1)
+    handed = closing.select("src_ip", "pane", F.max("last_ms").over(earlier).alias("handed_ms"))
+    inside = Window.partitionBy("src_ip", "pane").orderBy("start_ms").rangeBetween(Window.unboundedPreceding, -1)
+    last = placed.withColumn("near_ms", F.max("start_ms").over(inside)).join(handed, ["src_ip", "pane"])
+    newest = F.coalesce("near_ms", "handed_ms")
+    return last.select(
+        "flow_id", F.when(newest >= F.col("start_ms") - window_ms, newest).alias("last_prior_ms")
+    ).join(counts, "flow_id")

@@ -65,9 +65,10 @@ def daily_calls(spark, sf):
     return summary.call_stats(view(spark, sf, "calls").join(day, "flow_id")).withColumn("avg_latency_ms", r6(F.col("avg_latency_ms")))
 
 
-@query("prior_flow_join", inputs.ansi("SELECT a.flow_id, b.flow_id AS prior_id FROM flows a JOIN flows b ON b.src_ip = a.src_ip AND b.start_ms < a.start_ms AND b.start_ms >= a.start_ms - 10800000", "flows"))
+@query("prior_flow_join", inputs.ansi("SELECT a.flow_id, count(b.flow_id) AS prior_count, coalesce(CAST(max(b.start_ms) AS VARCHAR), 'none') AS last_prior_ms FROM flows a LEFT JOIN flows b ON b.src_ip = a.src_ip AND b.start_ms < a.start_ms AND b.start_ms >= a.start_ms - 10800000 GROUP BY a.flow_id", "flows"))
 def prior_flow_join(spark, sf):
-    return activity.prior_flows(view(spark, sf, "flows"), 180).select("flow_id", "prior_id")
+    found = activity.prior_flows(view(spark, sf, "flows"), 180)
+    return found.withColumn("last_prior_ms", F.coalesce(F.col("last_prior_ms").cast("string"), F.lit("none")))
 
 
 @query("new_reviews", inputs.ansi("SELECT v.flow_id FROM verdicts v JOIN flows_nulls f ON f.flow_id = v.flow_id WHERE verdict = 'uncertain' AND created_at >= TIMESTAMP '2024-01-20 00:00:00'", "verdicts", "flows_nulls"))
