@@ -345,7 +345,7 @@ def multiclass_metrics(predicted: DataFrame, label: str = "family", guess: str =
 
 
 def confusion_matrix(predicted: DataFrame, label: str = "family", guess: str = "predicted") -> DataFrame:
-    return predicted.groupBy(F.col(label).alias("actual")).pivot(guess, K.FAMILIES).agg(F.count("*")).na.fill(0)
+    return predicted.groupBy(F.col(label).alias("actual")).pivot(guess, K.FAMILIES).agg(F.count(F.lit(1))).na.fill(0)
 
 
 # --- models ----------------------------------------------------------------------

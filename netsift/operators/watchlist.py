@@ -142,9 +142,10 @@ def normalize_items(raw: DataFrame, cycle_id: str) -> DataFrame:
         lambda t: (F.coalesce(t["ip"], F.lit("")) != "") | (F.coalesce(t["cidr"], F.lit("")) != ""),
     )
     label = F.regexp_replace("priority", "priority_", "P")
+    number_text = (F.col("item_seq") % ITEM_SPACING + 1).cast("string")
     default_id = F.concat(
         label, F.lit(f"-{cycle_id.replace('-', '')}-"),
-        F.lpad((F.col("item_seq") % ITEM_SPACING + 1).cast("string"), 3, "0"),
+        F.lpad(number_text, F.greatest(F.lit(3), F.length(number_text)), F.lit("0")),
     )
     fill = lambda name, text: F.coalesce(blank_to_null(item[name]), text)
     return raw.withColumn("targets_kept", targets).filter(F.size("targets_kept") > 0).select(

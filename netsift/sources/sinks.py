@@ -44,3 +44,23 @@ def latest_cycle(spark: SparkSession, path: str) -> DataFrame:
     versions = spark.read.parquet(path)
     newest = versions.agg(F.max(F.col("cycle_id").cast("string"))).first()[0]
     return versions.filter(F.col("cycle_id").cast("string") == newest)
+
+
+def settle(df: DataFrame, path: str) -> DataFrame:
+    """Writes a table into the shared folder and reads it back: lineage ends here, and survives lost executors."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_draft(draft, path: str):
+    """A curated draft as stored tables, so that readers do not rebuild it."""
+    from netsift.operators.curation import Draft
+
+    return Draft(*(settle(getattr(draft, n), f"{path}/{n}") for n in ("items", "targets", "hints", "groups", "benign")))
+
+
+def settle_watchlist(watchlist, path: str):
+    """The four tables of a watchlist version, stored: what a curation cycle hands to triage."""
+    from netsift.operators.watchlist import Watchlist
+
+    return Watchlist(*(settle(getattr(watchlist, n), f"{path}/{n}") for n in ("items", "targets", "hints", "groups")))
