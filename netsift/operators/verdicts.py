@@ -305,6 +305,11 @@ RESPONSE = "struct<verdict:string,severity:string,confidence:string,rationale:st
 
 
 def _last_valid_object(text: str, verdicts: set, severities: set) -> str | None:
+    try:
+        whole = json.loads(text)
+        return json.dumps(whole) if isinstance(whole, dict) else None
+    except json.JSONDecodeError:
+        pass
     decoder = json.JSONDecoder()
     first = best = None
     start = text.find("{")
@@ -330,15 +335,11 @@ def salvage_object(texts: pd.Series) -> pd.Series:
 
 
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """Adds ``object_json``: whole-text JSON objects stay in the JVM, only the rest is salvaged."""
+    """Adds ``object_json``. A flat object as the whole text stays in the JVM, only the rest is salvaged."""
     text = F.col("content")
-    whole = F.trim(text).startswith("{") & F.to_json(F.from_json(text, "map<string,string>", {"mode": "PERMISSIVE"})).isNotNull()
-    whole = F.coalesce(whole & F.try_parse_json(text).isNotNull(), F.lit(False))
-    other_json = F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False)) & ~whole
-    needs = F.when(~whole & ~other_json & text.contains("{"), text)
-    return responses.withColumn(
-        "object_json", F.when(whole, text).when(other_json, F.lit(None)).otherwise(salvage_object(needs))
-    )
+    flat = F.coalesce(text.rlike(r"^\s*\{[^{}]*\}\s*$") & F.try_parse_json(text).isNotNull(), F.lit(False))
+    rest = F.when(~flat & text.contains("{"), text)
+    return responses.withColumn("object_json", F.when(flat, text).otherwise(salvage_object(rest)))
 
 
 def response_struct(object_json: Column) -> Column:

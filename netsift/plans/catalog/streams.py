@@ -1,4 +1,4 @@
-"""Streaming forms, drained over the given tables in three time-ordered files."""
+"""Streaming forms, drained over the given tables in three time-ordered deliveries."""
 
 from __future__ import annotations
 
@@ -17,23 +17,24 @@ from netsift.streaming import ingest
 THIRDS = [0, 1704931200000, 1705795200000, 1 << 62]  # 2024-01-11 and 2024-01-21, UTC
 
 
-def landed(spark, sf, name="flows", change=None, hold=None):
-    """The flows as three files that arrive in time order; returns (folder, schema)."""
+def drain(spark, sf, checkpoint, handle, *, name="flows", change=None, hold=None, shape=None, mode="append"):
+    """Lands the flows as three deliveries in time order and drains the stream after each.
+
+    ``hold`` keeps rows back until the last delivery; ``shape`` transforms the
+    stream before it is handled.
+    """
     folder = run_folder(spark, "landing")
-    rows = view(spark, sf, "flows") if name == "flows" else view(spark, sf, name).join(view(spark, sf, "flows").select("flow_id", "start_ms"), "flow_id")
+    rows = view(spark, sf, "flows")
+    if name != "flows":
+        rows = view(spark, sf, name).join(rows.select("flow_id", "start_ms"), "flow_id")
     rows = change(rows) if change else rows
     for n, (lo, hi) in enumerate(zip(THIRDS, THIRDS[1:])):
         part = (F.col("start_ms") >= lo) & (F.col("start_ms") < hi)
         if hold is not None:
-            part = (part & ~hold) | (hold if n == 2 else F.lit(False))
-        part = rows.filter(part)
-        part.write.mode("overwrite").parquet(f"{folder}/part={n}")
-    return folder, rows.schema
-
-
-def stream(spark, sf, **kwargs):
-    folder, schema = landed(spark, sf, **kwargs)
-    return ingest.read_flow_files(spark, f"{folder}/*", schema, 8)
+            part = (part & ~hold) | (hold if n == len(THIRDS) - 2 else F.lit(False))
+        rows.filter(part).write.mode("overwrite").parquet(f"{folder}/part={n}")
+        stream = ingest.read_flow_files(spark, f"{folder}/*", rows.schema, 1_000_000)
+        ingest.run_available(shape(stream) if shape else stream, checkpoint, handle, mode)
 
 
 @query("stream_flows", inputs.ansi("SELECT flow_id, src_ip, dst_ip, dst_port, protocol FROM flows", "flows"))
@@ -51,7 +52,7 @@ def stream_flows(spark, sf):
 def _run_activity(spark, sf, then, minutes=180):
     base = run_folder(spark, "activity")
     handle = ingest.activity_batches(f"{base}/flows", minutes, then(base))
-    ingest.run_available(stream(spark, sf), f"{base}/checkpoint", handle)
+    drain(spark, sf, f"{base}/checkpoint", handle)
     return base
 
 
@@ -89,7 +90,7 @@ def late_flows(spark, sf):
     """Some early flows land with the last file: they go to the side table, and count for what follows."""
     base = run_folder(spark, "late")
     handle = ingest.activity_batches(f"{base}/flows", 60, lambda df, n: None, lateness_minutes=60, late_path=f"{base}/late")
-    ingest.run_available(stream(spark, sf, hold=F.expr(LATE)), f"{base}/checkpoint", handle)
+    drain(spark, sf, f"{base}/checkpoint", handle, hold=F.expr(LATE))
     return spark.read.parquet(f"{base}/late").select("flow_id")
 
 
@@ -98,10 +99,8 @@ def stream_upsert(spark, sf):
     """Flows and routes become visible first, verdicts later; the view shows the state in between."""
     base = run_folder(spark, "upsert")
     for name in ("flows", "routes", "verdicts"):
-        ingest.run_available(
-            stream(spark, sf, name=name), f"{base}/checkpoint-{name}",
-            lambda batch, n, name=name: ingest.write_batch(batch, n, f"{base}/{name}"),
-        )
+        store = lambda batch, n, name=name: ingest.write_batch(batch, n, f"{base}/{name}")
+        drain(spark, sf, f"{base}/checkpoint-{name}", store, name=name)
     log = lambda name: ingest.current(spark.read.parquet(f"{base}/{name}"), "flow_id")
     flows = view(spark, sf, "flows_nulls")
     table = events.assemble(flows, view(spark, sf, "ml_results"), log("routes").drop("start_ms"), log("verdicts").drop("start_ms"))
@@ -113,15 +112,11 @@ def stream_dedup(spark, sf):
     """Re-sent flows: exact copies are dropped on the stream, changed ones replace the row by key."""
     base = run_folder(spark, "dedup")
     twice = lambda rows: rows.unionByName(rows.filter(F.col("arrival") % 3 == 0))
-    ingest.run_available(
-        ingest.drop_resent(stream(spark, sf, change=twice)), f"{base}/checkpoint-1",
-        lambda batch, n: ingest.write_batch(batch, n, f"{base}/flows"),
-    )
+    store = lambda batch, n: ingest.write_batch(batch, n, f"{base}/flows")
+    drain(spark, sf, f"{base}/checkpoint-1", store, change=twice, shape=ingest.drop_resent)
     changed = lambda rows: rows.filter(F.col("arrival") % 4 == 0).withColumn("src_ip", F.lit("10.9.9.9"))
-    ingest.run_available(
-        stream(spark, sf, change=changed), f"{base}/checkpoint-2",
-        lambda batch, n: ingest.write_batch(batch, 1000 + n, f"{base}/flows"),
-    )
+    later = lambda batch, n: ingest.write_batch(batch, 1000 + n, f"{base}/flows")
+    drain(spark, sf, f"{base}/checkpoint-2", later, change=changed)
     log = spark.read.parquet(f"{base}/flows")
     first = log.filter(F.col("batch_id") < 1000).groupBy("flow_id").agg(F.count("*").cast("int").alias("copies"))
     return ingest.current(log, "flow_id").select("flow_id", "src_ip").join(first, "flow_id")
@@ -130,8 +125,8 @@ def stream_dedup(spark, sf):
 @query("stream_daily_counts", inputs.ansi("SELECT (start_ms + 32400000) // 86400000 * 86400000 - 32400000 AS day_ms, route AS value, count(*) AS n FROM flows f JOIN routes r ON r.flow_id = f.flow_id GROUP BY ALL", "flows", "routes"))
 def stream_daily_counts(spark, sf):
     base = run_folder(spark, "daily-counts")
-    counts = ingest.daily_counts(stream(spark, sf, name="routes"))
-    ingest.run_available(counts, f"{base}/checkpoint", lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/counts"), "complete")
+    replace = lambda batch, n: batch.write.mode("overwrite").parquet(f"{base}/counts")
+    drain(spark, sf, f"{base}/checkpoint", replace, name="routes", shape=ingest.daily_counts, mode="complete")
     return spark.read.parquet(f"{base}/counts").select("day_ms", "value", "n")
 
 
