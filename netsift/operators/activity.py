@@ -47,37 +47,20 @@ def _pane(at: Column) -> Column:
     return F.floor(at / F.col("pane_ms")).cast("bigint")
 
 
-def _ticks(flows: DataFrame, window_ms: int | None) -> DataFrame:
-    keep = ["src_ip", *SERVICE, "pane_ms", "hit"]
-    enter = flows.select(
-        *keep, "flow_id", F.col("start_ms").alias("at"), F.lit(1).cast("bigint").alias("delta")
-    )
-    if window_ms is None:
-        return enter
-    leave = flows.select(
-        *keep,
-        F.lit(None).cast("string").alias("flow_id"),
-        (F.col("start_ms") + window_ms).alias("at"),
-        F.lit(-1).cast("bigint").alias("delta"),
-    )
-    return enter.unionByName(leave)
+def _ticks(flows: DataFrame, keys: list[str], window_ms: int | None) -> DataFrame:
+    """Two ticks per flow, +1 at its time and -1 after the window, from one pass over the flows."""
+    kind = "struct<flow_id:string,at:bigint,delta:bigint>"
+    enter = F.struct(F.col("flow_id"), F.col("start_ms"), F.lit(1)).cast(kind)
+    ticks = [enter]
+    if window_ms is not None:
+        ticks.append(F.struct(F.lit(None), F.col("start_ms") + window_ms, F.lit(-1)).cast(kind))
+    exploded = flows.select("src_ip", *keys, "pane_ms", F.explode(F.array(*ticks)).alias("t"))
+    ticks = exploded.select("src_ip", *keys, "pane_ms", "t.flow_id", "t.at", "t.delta")
+    return ticks.withColumn("pane", _pane(F.col("at")))
 
 
-def _carry(ticks: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
-    """Running totals of all earlier panes, one row per key and pane."""
-    panes = ticks.groupBy("src_ip", *keys, "pane").agg(
-        F.max("pane_ms").alias("pane_ms"), *[F.sum(m).alias(m) for m in measures]
-    )
-    before = Window.partitionBy("src_ip", *keys).orderBy("pane").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    totals = panes.select(
-        "src_ip", *keys, "pane", "pane_ms", *[F.sum(m).over(before).alias(m) for m in measures]
-    )
-    some = F.lit(False)
-    for measure in measures:
-        some = some | F.coalesce(F.col(measure) != 0, F.lit(False))
-    return totals.filter(some)
+def _earlier(keys: list[str]):
+    return Window.partitionBy("src_ip", *keys).orderBy("pane").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def trailing_counts(
@@ -89,41 +72,51 @@ def trailing_counts(
     ``window_ms=None`` counts everything earlier. Rows need a start_ms; an
     optional boolean ``hit`` column marks earlier flows with a watchlist hit.
     """
-    if "hit" not in flows.columns:
-        flows = flows.withColumn("hit", F.lit(False))
-    flows = flows.select("flow_id", "src_ip", *SERVICE, "start_ms", F.col("hit").cast("int").alias("hit"))
+    hits = "hit" in flows.columns
+    keys = [*SERVICE, *(["hit"] if hits else [])]
+    flows = flows.select("flow_id", "src_ip", *keys, "start_ms")
     if pane_ms is not None:
         flows = flows.withColumn("pane_ms", F.lit(pane_ms))
-    elif window_ms is not None:
-        flows = with_pane_width(flows, window_ms, pane_rows)
     else:
-        flows = with_pane_width(flows, 86_400_000, pane_rows)
-    ticks = _ticks(flows, window_ms).withColumn("pane", _pane(F.col("at")))
-
-    # Level columns: a tick counts on all three levels, a carry row on its own only.
-    levels = ticks.select(
-        "src_ip", *SERVICE, "pane", "pane_ms", "flow_id", "at",
-        F.col("delta").alias("d_src"), F.col("delta").alias("d_dst"), F.col("delta").alias("d_svc"),
-        (F.col("delta") * F.col("hit")).alias("d_hit"),
-    )
-    sums = levels.groupBy("src_ip", *SERVICE, "pane").agg(
-        F.max("pane_ms").alias("pane_ms"), *[F.sum(m).alias(m) for m in ("d_src", "d_dst", "d_svc", "d_hit")]
-    )
-    start = (F.col("pane") * F.col("pane_ms") - 1).alias("at")
+        flows = with_pane_width(flows, window_ms or 86_400_000, pane_rows)
+    ticks = _ticks(flows, keys, window_ms)
     nothing = F.lit(0).cast("bigint")
-    text, whole = F.lit(None).cast("string"), F.lit(None).cast("int")
-    carry_src = _carry(sums, [], ["d_src", "d_hit"]).select(
-        "src_ip", text.alias("dst_ip"), whole.alias("dst_port"), text.alias("protocol"), "pane", "pane_ms",
-        text.alias("flow_id"), start, "d_src", nothing.alias("d_dst"), nothing.alias("d_svc"), "d_hit",
+    hit_delta = F.when(F.col("hit"), F.col("delta")).otherwise(nothing) if hits else nothing
+
+    # Pane totals, each level from the finer one; every level feeds the carry rows of its own.
+    by_svc = ticks.groupBy("src_ip", *SERVICE, "pane").agg(
+        F.max("pane_ms").alias("pane_ms"), F.sum("delta").alias("delta"), F.sum(hit_delta).alias("d_hit")
     )
-    carry_dst = _carry(sums, ["dst_ip"], ["d_dst"]).select(
-        "src_ip", "dst_ip", whole.alias("dst_port"), text.alias("protocol"), "pane", "pane_ms",
-        text.alias("flow_id"), start, nothing.alias("d_src"), "d_dst", nothing.alias("d_svc"), nothing.alias("d_hit"),
+    by_dst = by_svc.groupBy("src_ip", "dst_ip", "pane").agg(
+        F.max("pane_ms").alias("pane_ms"), F.sum("delta").alias("delta"), F.sum("d_hit").alias("d_hit")
     )
-    carry_svc = _carry(sums, SERVICE, ["d_svc"]).select(
-        "src_ip", *SERVICE, "pane", "pane_ms",
-        text.alias("flow_id"), start, nothing.alias("d_src"), nothing.alias("d_dst"), "d_svc", nothing.alias("d_hit"),
+    before_dst = F.coalesce(F.sum("delta").over(_earlier(["dst_ip"])), nothing)
+    dst_state = by_dst.withColumn("before", before_dst)
+    turned = (F.col("before") + F.col("delta") > 0).cast("bigint") - (F.col("before") > 0).cast("bigint")
+    by_src = dst_state.groupBy("src_ip", "pane").agg(
+        F.max("pane_ms").alias("pane_ms"), F.sum("delta").alias("delta"), F.sum("d_hit").alias("d_hit"),
+        F.sum(turned).alias("d_distinct"),
     )
+
+    text, whole = F.lit(None).cast("string"), F.lit(None).cast("int")
+    start = (F.col("pane") * F.col("pane_ms") - 1).alias("at")
+
+    def row(dst, port, protocol, flow_id, at, src, dst_delta, svc, hit, distinct):
+        return [
+            "src_ip", "pane", dst.alias("dst_ip"), port.alias("dst_port"), protocol.alias("protocol"), flow_id.alias("flow_id"), at,
+            src.alias("d_src"), dst_delta.alias("d_dst"), svc.alias("d_svc"), hit.alias("d_hit"), distinct.alias("c_distinct"),
+        ]
+
+    delta, c = F.col("delta"), F.col
+    levels = ticks.select(*row(c("dst_ip"), c("dst_port"), c("protocol"), c("flow_id"), c("at"), delta, delta, delta, hit_delta, nothing))
+    so_far = lambda name, keys: F.sum(name).over(_earlier(keys))
+    carry_src = by_src.select(
+        *row(text, whole, text, text, start, so_far("delta", []), nothing, nothing, so_far("d_hit", []), so_far("d_distinct", []))
+    ).filter("d_src > 0")
+    carry_dst = dst_state.filter("before > 0").select(*row(c("dst_ip"), whole, text, text, start, nothing, c("before"), nothing, nothing, nothing))
+    carry_svc = by_svc.select(
+        *row(c("dst_ip"), c("dst_port"), c("protocol"), text, start, nothing, nothing, so_far("delta", SERVICE), nothing, nothing)
+    ).filter("d_svc > 0")
     rows = levels.unionByName(carry_src).unionByName(carry_dst).unionByName(carry_svc)
     rows = rows.repartition("src_ip", "pane")
 
@@ -131,50 +124,32 @@ def trailing_counts(
         return Window.partitionBy("src_ip", "pane", *keys).orderBy("at")
 
     strictly = (Window.unboundedPreceding, -1)
-    by_dst = over("dst_ip")
+    by_target = over("dst_ip")
     active = rows.withColumns(
         {
             "same_dst_port_count": F.sum("d_svc").over(over(*SERVICE).rangeBetween(*strictly)),
-            "same_dst_count": F.sum("d_dst").over(by_dst.rangeBetween(*strictly)),
-            "after_dst": F.sum("d_dst").over(by_dst.rangeBetween(Window.unboundedPreceding, 0)),
-            "tie": F.row_number().over(Window.partitionBy("src_ip", "pane", "dst_ip").orderBy("at", "flow_id")),
-            "first_tie": F.count("*").over(by_dst.rangeBetween(*strictly)),
+            "same_dst_count": F.sum("d_dst").over(by_target.rangeBetween(*strictly)),
+            "after_dst": F.sum("d_dst").over(by_target.rangeBetween(Window.unboundedPreceding, 0)),
+            "position": F.row_number().over(by_target),
+            "earlier": F.count("*").over(by_target.rangeBetween(*strictly)),
         }
     )
     # A destination turns active or idle at this instant: +1 / -1 distinct, once per instant.
-    # Carry rows open the pane: they restore the level and change nothing by themselves.
-    in_pane = F.col("at") >= F.col("pane") * F.col("pane_ms")
-    turned = F.when(
-        in_pane & F.col("dst_ip").isNotNull() & (F.col("tie") == F.col("first_tie") + 1),
-        (F.col("after_dst") > 0).cast("bigint") - (F.coalesce("same_dst_count", F.lit(0)) > 0).cast("bigint"),
-    ).otherwise(0)
-    active = active.withColumn("d_distinct", turned)
-    distinct_before = _carry(
-        active.groupBy("src_ip", "pane").agg(
-            F.max("pane_ms").alias("pane_ms"), F.sum("d_distinct").alias("d_distinct")
-        ),
-        [],
-        ["d_distinct"],
-    ).select("src_ip", "pane", F.col("d_distinct").alias("distinct_carry"))
-
-    by_src = over().rangeBetween(*strictly)
+    # Carry rows hold no tick of their own: they restore the level the pane opens with.
+    first = F.col("position") == F.col("earlier") + 1
+    change = (F.col("after_dst") > 0).cast("bigint") - (F.coalesce("same_dst_count", F.lit(0)) > 0).cast("bigint")
+    active = active.withColumn("d_distinct", F.when((F.col("d_src") != 0) & (F.col("d_dst") != 0) & first, change).otherwise(F.col("c_distinct")))
+
+    by_source = over().rangeBetween(*strictly)
     zero = F.lit(0)
-    counted = active.select(
-        "src_ip", "pane", "flow_id",
-        F.coalesce(F.sum("d_src").over(by_src), zero).alias("flow_count"),
-        F.coalesce(F.sum("d_distinct").over(by_src), zero).alias("distinct_in_pane"),
+    return active.select(
+        "flow_id",
+        F.coalesce(F.sum("d_src").over(by_source), zero).alias("flow_count"),
+        F.coalesce(F.sum("d_distinct").over(by_source), zero).alias("distinct_dst_count"),
         F.coalesce("same_dst_count", zero).alias("same_dst_count"),
         F.coalesce("same_dst_port_count", zero).alias("same_dst_port_count"),
-        F.coalesce(F.sum("d_hit").over(by_src), zero).alias("watchlist_hit_count"),
+        F.coalesce(F.sum("d_hit").over(by_source), zero).alias("watchlist_hit_count"),
     ).filter(F.col("flow_id").isNotNull())
-    return counted.join(distinct_before, ["src_ip", "pane"], "left").select(
-        "flow_id",
-        "flow_count",
-        (F.col("distinct_in_pane") + F.coalesce("distinct_carry", zero)).alias("distinct_dst_count"),
-        "same_dst_count",
-        "same_dst_port_count",
-        "watchlist_hit_count",
-    )
 
 
 def untimed_counts(flows: DataFrame) -> DataFrame:
@@ -273,18 +248,9 @@ def top_ports(
     one. A pane starts from the port counts left open by earlier panes, at most
     one row per port.
     """
-    flows = flows.select("flow_id", "src_ip", "dst_port", "start_ms", F.lit(0).alias("hit"))
+    flows = flows.select("flow_id", "src_ip", "dst_port", "start_ms")
     flows = with_pane_width(flows, window_ms or 86_400_000, pane_rows)
-    enter = flows.select("src_ip", "dst_port", "pane_ms", "flow_id", F.col("start_ms").alias("at"), F.lit(1).alias("delta"))
-    ticks = enter
-    if window_ms is not None:
-        ticks = enter.unionByName(
-            flows.select(
-                "src_ip", "dst_port", "pane_ms", F.lit(None).cast("string").alias("flow_id"),
-                (F.col("start_ms") + window_ms).alias("at"), F.lit(-1).alias("delta"),
-            )
-        )
-    ticks = ticks.withColumn("pane", _pane(F.col("at"))).withColumn("seen_at", F.col("at"))
+    ticks = _ticks(flows, ["dst_port"], window_ms).withColumn("seen_at", F.col("at"))
     change = ticks.groupBy("src_ip", "dst_port", "pane").agg(
         F.sum("delta").alias("delta"), F.min("at").alias("seen_at"), F.max("pane_ms").alias("pane_ms")
     )
@@ -306,7 +272,7 @@ def top_ports(
         .withColumn("pane", F.explode(F.sequence(F.col("pane") + 1, F.col("until"))))
         .select(
             "src_ip", "dst_port", "pane", F.lit(None).cast("string").alias("flow_id"),
-            (F.col("pane") * F.col("pane_ms") - 1).alias("at"), F.col("delta").cast("int").alias("delta"), "seen_at",
+            (F.col("pane") * F.col("pane_ms") - 1).alias("at"), "delta", "seen_at",
         )
     )
     rows = ticks.select("src_ip", "dst_port", "pane", "flow_id", "at", "delta", "seen_at").unionByName(open_counts)
