@@ -149,21 +149,21 @@ def _bits(tests: list[Column]) -> Column:
     return packed
 
 
-def _any_bit(word: Column, mask: int) -> Column:
-    return word.bitwiseAND(F.lit(mask).cast("bigint")) != 0 if mask else F.lit(False)
+def _any_bit(word: str, mask: int) -> Column:
+    """Is any bit of the mask set? ``word`` is the SQL text of a BIGINT (one parse, not a chain of calls)."""
+    return F.expr(f"({word} & {mask}L) != 0") if mask else F.lit(False)
 
 
-def _texts(pairs: list[tuple[Column, str]]) -> Column:
-    """Texts whose condition holds, in order, each once."""
-    if not pairs:
-        return F.array().cast("array<string>")
-    return F.array_distinct(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in pairs])))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _listed(pairs: list[tuple[Column, str]]) -> Column:
+def _chosen(word: str, pairs: list[tuple[int, str]]) -> str:
+    """SQL text: the texts whose bit is set, in order."""
     if not pairs:
-        return F.array().cast("array<string>")
-    return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in pairs]))
+        return "CAST(array() AS ARRAY<STRING>)"
+    cases = ", ".join(f"CASE WHEN ({word} & {1 << bit}L) != 0 THEN {_quoted(text)} END" for bit, text in pairs)
+    return f"array_compact(array({cases}))"
 
 
 # --- one item -> columns ------------------------------------------------------
@@ -185,7 +185,7 @@ class CompiledItem:
         self.scope_tests = self._scope(rule)
         if max(len(self.slots), len(self.scope_tests)) > MAX_ITEM_BITS:
             raise WatchlistTooLarge(f"item {rule.seq} holds more than {MAX_ITEM_BITS} hints or conditions")
-        self.scope, self.hit, self.lost = (F.col(f"_{name}_{part}") for part in ("scope", "hit", "lost"))
+        self.scope, self.hit, self.lost = (f"_{name}_{part}" for part in ("scope", "hit", "lost"))
 
     def packed(self) -> dict[str, Column]:
         """The three columns to add before grading."""
@@ -235,33 +235,45 @@ class CompiledItem:
                 start += size
         return []
 
-    def _pairs(self, word: Column, slots: list[int]) -> list[tuple[Column, str]]:
-        return [(_any_bit(word, 1 << i), self.slots[i]["condition"]) for i in slots]
+    def _pairs(self, slots: list[int]) -> list[tuple[int, str]]:
+        return [(i, self.slots[i]["condition"]) for i in slots]
+
+    def _missed(self, slots: list[int], lost_texts: bool) -> str:
+        """SQL text: conditions that did not hit; missing fields by name or not at all."""
+        cases = []
+        for i in slots:
+            bit = f"{1 << i}L"
+            lost = f"WHEN ({self.lost} & {bit}) != 0 THEN "
+            lost += _quoted(f"unrecognized trigger hint: {self.slots[i]['field']}") if lost_texts else "NULL"
+            miss = f"WHEN ({self.hit} & {bit}) = 0 THEN {_quoted(self.slots[i]['condition'])}"
+            cases.append(f"CASE {lost} {miss} END")
+        return f"array_compact(array({', '.join(cases)}))" if cases else "CAST(array() AS ARRAY<STRING>)"
 
     # -- grading
 
     @property
     def in_scope(self) -> Column:
-        return self.scope != 0
+        return F.expr(f"{self.scope} != 0")
 
     @property
-    def _source_range(self) -> Column:
-        return _any_bit(
-            self.scope,
-            self._scope_mask(lambda t: t.startswith("target_assets.cidr ") and t.endswith(" contains flow.src_ip")),
-        )
+    def _source_range(self) -> str:
+        mask = self._scope_mask(lambda t: t.startswith("target_assets.cidr ") and t.endswith(" contains flow.src_ip"))
+        return f"({self.scope} & {mask}L) != 0"
 
     def _scoped_only(self) -> int:
         return self._mask(lambda h: h["field"] == "src_ip" and h["operator"] == "in_cidr")
 
     @property
-    def fired(self) -> Column:
+    def fired(self) -> str:
         """Detection hits that count as triggers; a source-range hint under a source-range scope does not."""
         every, scoped = self._mask(lambda h: True), self._scoped_only()
-        mask = F.lit(every).cast("bigint")
         if scoped:
-            mask = F.when(self._source_range, F.lit(every & ~scoped).cast("bigint")).otherwise(mask)
-        return self.hit.bitwiseAND(mask)
+            return f"({self.hit} & CASE WHEN {self._source_range} THEN {every & ~scoped}L ELSE {every}L END)"
+        return f"({self.hit} & {every}L)"
+
+    @property
+    def _silent(self) -> Column:
+        return F.expr(f"{self.fired} = 0")
 
     def _combined(self) -> Column:
         """Strength rank from the hints that fired, before trigger groups."""
@@ -296,10 +308,10 @@ class CompiledItem:
         for index, group in enumerate(self.rule.groups):
             required, supporting = self._slot_range(index, "required"), self._slot_range(index, "supporting")
             need = sum(1 << i for i in required)
-            found = F.size(_texts(self._pairs(self.hit, supporting)))
+            found = F.expr(f"size(array_distinct({_chosen(self.hit, self._pairs(supporting))}))")
             complete = F.lit(False)
             if required:
-                complete = (self.hit.bitwiseAND(F.lit(need).cast("bigint")) == need) & (found >= group["min"])
+                complete = F.expr(f"({self.hit} & {need}L) = {need}L") & (found >= group["min"])
             first = F.when(complete, index) if first is None else first.when(complete, index)
             has = found > 0
             supported = F.when(complete, has) if supported is None else supported.when(complete, has)
@@ -313,7 +325,7 @@ class CompiledItem:
     @property
     def recognized(self) -> Column:
         every = self._mask(lambda h: True)
-        return self.lost.bitwiseAND(F.lit(every).cast("bigint")) != every
+        return F.expr(f"({self.lost} & {every}L) != {every}L")
 
     def rank(self) -> Column:
         if not self.rule.detection:
@@ -321,7 +333,7 @@ class CompiledItem:
         rank = self._combined()
         if self._has_groups:
             first, _, touched = self._groups_done()
-            partial = F.when((self.fired != 0) | touched, RANK["asset_service"]).otherwise(RANK["asset_only"])
+            partial = F.when(~self._silent | touched, RANK["asset_service"]).otherwise(RANK["asset_only"])
             rank = F.when(first >= 0, rank).otherwise(partial)
         return F.when(self.recognized, rank).otherwise(RANK["asset_only"])
 
@@ -332,13 +344,13 @@ class CompiledItem:
             first, supported, touched = self._groups_done()
             level = (
                 F.when(first >= 0, F.when(supported, "strong").otherwise("required_met"))
-                .when((self.fired != 0) | touched, "partial")
+                .when(~self._silent | touched, "partial")
                 .otherwise("scope_only")
             )
         else:
             rank = self._combined()
             level = (
-                F.when(self.fired == 0, "scope_only")
+                F.when(self._silent, "scope_only")
                 .when(rank >= RANK["behavior"], "strong")
                 .when(rank >= RANK["review_candidate"], "required_met")
                 .otherwise("partial")
@@ -355,44 +367,38 @@ class CompiledItem:
 
     def _group_lists(self) -> tuple[Column, Column]:
         """Conditions added by trigger groups: those of the first complete group, else of all."""
-
-        def missed(slots: list[int]) -> list[tuple[Column, str]]:
-            pairs = []
-            for i in slots:
-                known_miss = ~_any_bit(self.hit, 1 << i) & ~_any_bit(self.lost, 1 << i)
-                pairs.append((known_miss, self.slots[i]["condition"]))
-                pairs.append((_any_bit(self.lost, 1 << i), f"unrecognized trigger hint: {self.slots[i]['field']}"))
-            return pairs
-
+        distinct = lambda text: F.expr(f"array_distinct({text})")
         first, _, _ = self._groups_done()
-        hits, misses = [], []
+        slots: list[int] = []
         chosen_hit = chosen_missed = None
         for index in range(len(self.rule.groups)):
             required, supporting = self._slot_range(index, "required"), self._slot_range(index, "supporting")
-            mine = self._pairs(self.hit, required + supporting)
-            hits += mine
-            misses += missed(required + supporting)
+            slots += required + supporting
             test = first == index
-            rest = _texts(missed(supporting))
-            chosen_hit = F.when(test, _texts(mine)) if chosen_hit is None else chosen_hit.when(test, _texts(mine))
+            mine = distinct(_chosen(self.hit, self._pairs(required + supporting)))
+            rest = distinct(self._missed(supporting, True))
+            chosen_hit = F.when(test, mine) if chosen_hit is None else chosen_hit.when(test, mine)
             chosen_missed = F.when(test, rest) if chosen_missed is None else chosen_missed.when(test, rest)
-        return chosen_hit.otherwise(_texts(hits)), chosen_missed.otherwise(_texts(misses))
+        return (
+            chosen_hit.otherwise(distinct(_chosen(self.hit, self._pairs(slots)))),
+            chosen_missed.otherwise(distinct(self._missed(slots, True))),
+        )
 
     def lists(self) -> dict[str, Column]:
         detection = list(range(len(self.rule.detection)))
-        base = _listed([(_any_bit(self.scope, 1 << i), text) for i, (_, text) in enumerate(self.scope_tests)])
-        matched = F.concat(base, _listed(self._pairs(self.hit, detection)))
         scoped = [i for i in detection if self._scoped_only() & (1 << i)]
-        scope = base
+        base = _chosen(self.scope, [(i, text) for i, (_, text) in enumerate(self.scope_tests)])
+        matched = F.expr(f"concat({base}, {_chosen(self.hit, self._pairs(detection))})")
+        scope = F.expr(base)
+        if scoped:
+            under_range = f"CASE WHEN {self._source_range} THEN {self.hit} ELSE 0L END"
+            scope = F.expr(f"array_union({base}, {_chosen(f'({under_range})', self._pairs(scoped))})")
+        fired = F.expr(f"array_distinct({_chosen(self.fired, self._pairs(detection))})")
+        missed = f"array_distinct({self._missed(detection, False)})"
         if scoped:
-            under_range = [(test & self._source_range, text) for test, text in self._pairs(self.hit, scoped)]
-            scope = F.array_union(base, _listed(under_range))
-        fired = _texts([(_any_bit(self.fired, 1 << i), self.slots[i]["condition"]) for i in detection])
-        missed = []
-        for i in detection:
-            test = ~_any_bit(self.hit, 1 << i) & ~_any_bit(self.lost, 1 << i)
-            missed.append((test & ~self._source_range if i in scoped else test, self.slots[i]["condition"]))
-        missed = _texts(missed)
+            open_slots = [i for i in detection if i not in scoped]
+            missed = f"CASE WHEN {self._source_range} THEN array_distinct({self._missed(open_slots, False)}) ELSE {missed} END"
+        missed = F.expr(missed)
         if self._has_groups and self.rule.detection:
             extra_hit, extra_missed = self._group_lists()
             new = F.array_except(extra_hit, matched)
@@ -406,7 +412,7 @@ class CompiledItem:
             "scope_conditions": scope,
             "matched_trigger_hints": fired,
             "unmatched_trigger_hints": missed,
-            "matched_benign_hints": _texts(self._pairs(self.hit, benign)),
+            "matched_benign_hints": F.expr(f"array_distinct({_chosen(self.hit, self._pairs(benign))})"),
         }
 
     def result(self) -> Column:
