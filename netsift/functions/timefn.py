@@ -17,6 +17,12 @@ def _epoch_day(ms: Column, offset_ms: int = 0) -> Column:
     return F.date_add(F.lit(date(1970, 1, 1)), F.floor((ms + offset_ms) / DAY_MS).cast("int"))
 
 
+def ntz_millis(at: Column) -> Column:
+    """Zone-free timestamp -> epoch milliseconds, read as UTC whatever the session zone."""
+    base = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.floor(F.timestamp_diff("MICROSECOND", base, at) / 1000).cast("bigint")
+
+
 def local_day(start_ms: Column) -> Column:
     return _epoch_day(start_ms, LOCAL_OFFSET_MS)
 

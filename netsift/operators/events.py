@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsift.functions import scalars as S
-from netsift.functions.timefn import event_date_utc
+from netsift.functions.timefn import event_date_utc, ntz_millis
 
 EVENT_COLUMNS = [
     "flow_id", "start_ms", "end_ms", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "raw_label",
@@ -111,19 +111,18 @@ def event_detail(
 ) -> DataFrame:
     """One event with its call log, newest call first; the id filter reaches every scan."""
     one = lambda df: df.filter(F.col("flow_id") == flow_id)
-    return detail_frame(one(flows), one(ml_results), one(routes), one(verdicts), one(calls))
+    rows = detail_frame(one(flows), one(ml_results), one(routes), one(verdicts), one(calls))
+    return rows.orderBy(F.desc("call_at"))
 
 
 def detail_frame(
     flows: DataFrame, ml_results: DataFrame, routes: DataFrame, verdicts: DataFrame, calls: DataFrame
 ) -> DataFrame:
-    entry = F.struct(
-        (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("k"), "provider", "model_name", "latency_ms",
-        "tokens_used", "success",
+    """Events with their calls, one row per call: a flow with many calls is never gathered into a list."""
+    log = calls.select(
+        "flow_id", F.col("created_at").alias("call_at"), "provider", "model_name", "latency_ms", "tokens_used", "success"
     )
-    log = calls.groupBy("flow_id").agg(F.array_sort(F.collect_list(entry)).alias("calls"))
-    event = with_state(assemble(flows, ml_results, routes, verdicts))
-    return event.join(log, "flow_id", "left")
+    return with_state(assemble(flows, ml_results, routes, verdicts)).join(log, "flow_id", "left")
 
 
 def filter_options(events: DataFrame, flows: DataFrame, assets: int = 250) -> DataFrame:
@@ -225,7 +224,7 @@ def page_events(events: DataFrame, page: int, size: int) -> DataFrame:
 
 def outcome_trend(events: DataFrame) -> DataFrame:
     """Outcome counts over at most 12 equal time buckets taken from the data."""
-    at = F.coalesce(F.col("start_ms"), F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / 1000))
+    at = F.coalesce(F.col("start_ms"), ntz_millis(F.col("created_at")))
     rows = events.select(at.alias("at"), S.trend_series(F.col("verdict"), F.col("route")).alias("series")).filter(
         F.col("at").isNotNull() & F.col("series").isNotNull()
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netsift import constants as K
 from netsift.functions.scalars import attack_family, literal_map
-from netsift.operators.ranks import prefix_rank
+from netsift.operators.ranks import prefix_rank, rank_by_value
 
 SPLITS = ["train", "validation", "test"]
 
@@ -129,25 +129,27 @@ def stratified_split(
         order=["_h", key],
         partition=[stratum],
         name="_rank",
+        total="_n",
     )
-    sizes = rows.groupBy(stratum).agg(F.count("*").alias("_n"))
     n, rank = F.col("_n"), F.col("_rank")
     test = F.round(n * test_size)
     val = F.round(n * val_size)
     split = F.when(rank <= test, "test").when(rank <= test + val, "validation").otherwise("train")
-    return ranked.join(F.broadcast(sizes), stratum).withColumn("split", split).drop("_h", "_rank", "_n")
+    return ranked.withColumn("split", split).drop("_h", "_rank", "_n")
 
 
 def time_split(
     rows: DataFrame, time: str, key: str = "flow_id", val_size: float = 0.15, test_size: float = 0.15, cell_ms: int = 600_000
 ) -> DataFrame:
     """Adds ``split`` by time order: first 70%, next 15%, last 15%."""
-    ranked = prefix_rank(rows, cells={"_cell": F.floor(F.col(time) / cell_ms)}, order=[time, key], name="_rank")
-    total = rows.agg(F.count("*").alias("_n"))
+    ranked = rank_by_value(
+        rows, values=[time], cells={"_cell": F.floor(F.col(time) / cell_ms)}, tie=key,
+        tie_cell=F.substring(key, 1, 10), name="_rank", total="_n",
+    )
     train_end = F.floor(F.col("_n") * (1.0 - val_size - test_size))
     val_end = F.floor(F.col("_n") * (1.0 - test_size))
     split = F.when(F.col("_rank") <= train_end, "train").when(F.col("_rank") <= val_end, "validation").otherwise("test")
-    return ranked.join(F.broadcast(total), how="cross").withColumn("split", split).drop("_rank", "_n")  # one row
+    return ranked.withColumn("split", split).drop("_rank", "_n")
 
 
 def split_report(rows: DataFrame, time: str) -> DataFrame:

@@ -17,20 +17,21 @@ def prefix_rank(
     order: list,
     name: str = "rank",
     partition: list[str] | None = None,
-    spread: dict[str, Column] | None = None,
+    total: str | None = None,
 ) -> DataFrame:
-    """Adds a 1-based rank over ``order``.
+    """Adds a 1-based rank over ``order``, and with ``total`` the size of the partition.
 
-    ``cells`` are monotone in ``order`` (compared left to right); their number
-    is bounded by their definition, not by the rows. ``spread`` replaces cells.
+    ``cells`` are monotone in ``order`` (compared left to right); choose them so
+    that no cell can hold a large share of the rows. Where values repeat, use
+    ``rank_by_value``.
     """
     partition = partition or []
-    cells = {**cells, **(spread or {})}
     names = list(cells)
     marked = df.withColumns(cells)
     counts = marked.groupBy(*partition, *names).agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*partition).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*partition, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sizes = [F.sum("_n").over(Window.partitionBy(*partition)).alias(total)] if total else []
+    offsets = counts.select(*partition, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *sizes)
     inside = Window.partitionBy(*partition, *names).orderBy(*order)
     ranked = marked.withColumn("_in", F.row_number().over(inside))
     return (
@@ -40,6 +41,41 @@ def prefix_rank(
     )
 
 
+def rank_by_value(
+    df: DataFrame, *, values: list[str], cells: dict[str, Column], tie: str, tie_cell: Column, name: str = "rank", total: str | None = None
+) -> DataFrame:
+    """A 1-based global rank over ``values``, then ``tie``, when one value may hold many rows.
+
+    Distinct values are counted first; ``cells`` (monotone in ``values``) give
+    every value its offset. Rows of one value are cut again by ``tie_cell``
+    (monotone in ``tie``), so no task sorts all rows of a hot value.
+    """
+    names = list(cells)
+    marked = df.withColumns({**cells, "_tie": tie_cell})
+    pieces = marked.groupBy(*names, *values, "_tie").agg(F.count("*").alias("_n"))
+    whole = pieces.groupBy(*names, *values).agg(F.sum("_n").alias("_n"))
+    per_cell = whole.groupBy(*names).agg(F.sum("_n").alias("_n"))
+    over_cells = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are cells
+    all_cells = Window.partitionBy()
+    starts = per_cell.select(
+        *names, F.coalesce(F.sum("_n").over(over_cells), F.lit(0)).alias("_start"), F.sum("_n").over(all_cells).alias("_all")
+    )
+    in_cell = Window.partitionBy(*names).orderBy(*values).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = whole.withColumn("_inside", F.coalesce(F.sum("_n").over(in_cell), F.lit(0))).join(starts, names)
+    in_value = Window.partitionBy(*names, *values).orderBy("_tie").rowsBetween(Window.unboundedPreceding, -1)
+    placed = (
+        pieces.withColumn("_earlier", F.coalesce(F.sum("_n").over(in_value), F.lit(0)))
+        .join(offsets.drop("_n"), [*names, *values])
+        .select(*names, *values, "_tie", (F.col("_start") + F.col("_inside") + F.col("_earlier")).alias("_before"), "_all")
+    )
+    piece = Window.partitionBy(*names, *values, "_tie").orderBy(tie)
+    ranked = marked.withColumn("_in", F.row_number().over(piece)).join(placed, [*names, *values, "_tie"])
+    ranked = ranked.withColumn(name, F.col("_before") + F.col("_in"))
+    if total:
+        ranked = ranked.withColumn(total, F.col("_all"))
+    return ranked.drop("_before", "_all", "_in", "_tie", *names)
+
+
 def lower_quantiles(df: DataFrame, column: str, fractions: list[float], cells: int = 1024) -> DataFrame:
     """sorted[int((n - 1) * p)] for each p (the lower index, no interpolation), plus min, mean, max, n.
 

@@ -31,7 +31,7 @@ def daily_rows(flows: DataFrame, routes: DataFrame, verdicts: DataFrame, day: st
 
     The day filter sits on the flow side before the joins.
     """
-    arrival_ms = F.floor(F.unix_micros(F.col("created_at").cast("timestamp")) / 1000)
+    arrival_ms = timefn.ntz_millis(F.col("created_at"))
     tagged = flows.withColumn("day", timefn.local_day(F.coalesce("start_ms", arrival_ms)))
     if day is not None:
         tagged = tagged.filter(timefn.in_local_day(F.col("start_ms"), F.col("created_at"), day))

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 
 from netsift import constants as K
 from netsift.functions.scalars import blank_to_null, two_decimals
-from netsift.operators.ranks import prefix_rank
+from netsift.operators.ranks import rank_by_value
 
 VERDICT_COLUMNS = [
     "verdict", "severity", "rationale", "recommended_action", "verdict_watchlist", "confidence",
@@ -197,17 +197,13 @@ def review_priority(routed: DataFrame, policy: str = "watchlist") -> DataFrame:
     sees the whole queue.
     """
     queue = routed.filter(F.col("route") == "tier1_llm")
-    arrival_cell = F.floor(F.col("arrival") / 100_000).alias("c3")
     if policy == "fifo":
         queue = queue.withColumns({"k1": F.lit(0), "k2": F.lit(0.0)})
     else:
         queue = queue.withColumns({"k1": review_rank_key(F.col("match")), "k2": -F.col("ml_prob")})
-    return prefix_rank(
-        queue,
-        cells={"c1": F.col("k1"), "c2": F.floor(F.col("k2") * 1000), "c3": F.lit(0)},
-        order=["k1", "k2", "arrival"],
-        spread={"c3": arrival_cell} if policy == "fifo" else None,
-        name="review_rank",
+    return rank_by_value(
+        queue, values=["k1", "k2"], cells={"c1": F.col("k1"), "c2": F.floor(F.col("k2") * 1000)},
+        tie="arrival", tie_cell=F.floor(F.col("arrival") / 100_000), name="review_rank",
     ).drop("k1", "k2")
 
 

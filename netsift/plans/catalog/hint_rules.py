@@ -49,6 +49,15 @@ def hint_in(spark, sf):
     return pairs(spark, sf).select("event_id", found.alias("found"), (~found).alias("missing"))
 
 
+@query("hint_not_in", inputs.ansi(f"SELECT event_id, is_list AND NOT {ANY_EQ} AS holds FROM pairs", extra=SQL_PAIRS))
+def hint_not_in(spark, sf):
+    """not_in and its short form; without a list the hint is false."""
+    values = F.array("expected", F.lit("77"))
+    word = F.when(F.col("event_id") % 2 == 0, "not_in").otherwise("nin")
+    test = H.hint_matches(F.col("actual"), word, F.col("is_list"), values, ranges())
+    return pairs(spark, sf).select("event_id", test.alias("holds"))
+
+
 RANGE = ["10.60.0.0/16", "bad", "192.168.0.0/24"]
 INSIDE = between_cidr("actual", "10.60.0.0/16", "192.168.0.0/24")
 
@@ -63,6 +72,14 @@ def hint_in_cidr(spark, sf):
     return pairs(spark, sf).select("event_id", inside.alias("inside"), (~inside).alias("outside"))
 
 
+@query("hint_not_in_cidr", inputs.ansi(f"SELECT event_id, is_list AND NOT {INSIDE} AS holds FROM pairs", extra=SQL_PAIRS))
+def hint_not_in_cidr(spark, sf):
+    """True for text that is no address at all."""
+    values = F.array(*[F.lit(r) for r in RANGE])
+    test = H.hint_matches(F.col("actual"), F.lit("not_in_cidr"), F.col("is_list"), values, ranges())
+    return pairs(spark, sf).select("event_id", test.alias("holds"))
+
+
 CMP = f"coalesce(CASE op WHEN 'gt' THEN ({DBL('actual')}) > ({DBL('expected')}) WHEN 'gte' THEN ({DBL('actual')}) >= ({DBL('expected')}) WHEN 'lt' THEN ({DBL('actual')}) < ({DBL('expected')}) WHEN 'lte' THEN ({DBL('actual')}) <= ({DBL('expected')}) END, false)"
 
 

@@ -25,13 +25,11 @@ def event_assembly(spark, sf):
 
 
 @query("event_detail", _ansi_ev(
-    """SELECT ev.flow_id, coalesce(verdict, CASE WHEN route = 'tier1_llm' THEN 'processing' END) AS verdict, coalesce(k.n, 0) AS calls, coalesce(k.models, '') AS models FROM ev LEFT JOIN
-    (SELECT flow_id, count(*) AS n, string_agg(model_name, '|' ORDER BY created_at DESC) AS models FROM calls GROUP BY flow_id) k ON k.flow_id = ev.flow_id""", "calls"))
+    """SELECT ev.flow_id, coalesce(verdict, CASE WHEN route = 'tier1_llm' THEN 'processing' END) AS verdict, coalesce(model_name, 'none') AS model_name, coalesce(CAST(k.created_at AS VARCHAR), 'none') AS call_at FROM ev LEFT JOIN calls k ON k.flow_id = ev.flow_id""", "calls"))
 def event_detail(spark, sf):
-    """The detail record of every event; one event is the same frame behind an id filter."""
+    """The detail rows of every event; one event is the same frame behind an id filter."""
     detail = events.detail_frame(*(view(spark, sf, n) for n in (*STORE, "calls")))
-    calls = F.coalesce("calls", F.from_json(F.lit("[]"), detail.schema["calls"].dataType))
-    return detail.select("flow_id", "verdict", F.size(calls).alias("calls"), joined(F.transform(calls, lambda c: c["model_name"])).alias("models"))
+    return detail.select("flow_id", "verdict", F.coalesce("model_name", F.lit("none")).alias("model_name"), F.coalesce(F.col("call_at").cast("string"), F.lit("none")).alias("call_at"))
 
 
 IDS = "SELECT flow_id FROM manifest WHERE cve_id IS NOT NULL"
@@ -217,11 +215,12 @@ def asset_map(spark, sf):
 
 @query("asset_order", inputs.ansi("SELECT ip, row_number() OVER (ORDER BY CASE criticality WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, label, ip) AS place FROM amap", "assets", "zones", extra=MAP_SQL))
 def asset_order(spark, sf):
-    from netsift.operators.ranks import prefix_rank
+    from netsift.operators.ranks import rank_by_value
 
     rank, label, ip = topology.asset_order()
     keyed = asset_map_frame(spark, sf).withColumns({"o1": rank, "o2": label, "o3": ip})
-    return prefix_rank(keyed, cells={"c1": F.col("o1"), "c2": F.col("o2")}, order=["o1", "o2", "o3"], name="place").select("ip", "place")
+    cells = {"c1": F.col("o1"), "c2": F.substring("o2", 1, 2)}
+    return rank_by_value(keyed, values=["o1", "o2"], cells=cells, tie="o3", tie_cell=F.substring("o3", 1, 9), name="place").select("ip", "place")
 
 
 @query("group_edges", inputs.ansi(

@@ -10,6 +10,8 @@ from netsift.plans.catalog import query
 from netsift.plans.catalog.aggregates import DAILY_SQL, EVENTS_SQL, HIT, RECENT, STATE_SQL, STORE, UTC_DAY, daily
 from netsift.plans.catalog.common import event_frame, joined, r6, scored, view, worked_rules
 from netsift.plans.catalog.sqltext import route_ctes
+from netsift.session import run_folder
+from netsift.sources import sinks
 
 R = route_ctes()
 
@@ -70,8 +72,11 @@ def source_activity_unbounded(spark, sf):
     return found.withColumn("ports", F.array_join(F.col("top_dst_ports").cast("array<string>"), "|")).drop("top_dst_ports")
 
 
-def routed(spark, sf):
-    return triage.prepare_flows(scored(spark, sf), worked_rules(spark), timed_only=True)
+def review_queue(spark, sf):
+    """The routed reviews, stored once: ranking reads its input more than once."""
+    routed = triage.prepare_flows(scored(spark, sf), worked_rules(spark), timed_only=True)
+    queue = routed.filter(F.col("route") == "tier1_llm").select("flow_id", "arrival", "ml_prob", "match", "route")
+    return sinks.settle(queue, run_folder(spark, "queue"))
 
 
 KEY = "CASE WHEN priority = 'priority_1' AND trigger_matched AND NOT context_only THEN 0 ELSE 1 END"
@@ -79,12 +84,12 @@ KEY = "CASE WHEN priority = 'priority_1' AND trigger_matched AND NOT context_onl
 
 @query("review_priority", inputs.ansi(f"SELECT flow_id, row_number() OVER (ORDER BY {KEY}, -prob, arrival) AS review_rank FROM routed WHERE route = 'tier1_llm'", "flows", extra=R))
 def review_priority(spark, sf):
-    return verdicts.review_priority(routed(spark, sf)).select("flow_id", "review_rank")
+    return verdicts.review_priority(review_queue(spark, sf)).select("flow_id", "review_rank")
 
 
 @query("review_budget", inputs.ansi(f"SELECT flow_id, rk <= 500 AS judged, CASE WHEN rk > 500 THEN 'Tier 1 max calls per run reached (500).' END AS fallback_reason FROM (SELECT flow_id, row_number() OVER (ORDER BY {KEY}, -prob, arrival) AS rk FROM routed WHERE route = 'tier1_llm')", "flows", extra=R))
 def review_budget(spark, sf):
-    return verdicts.review_budget(routed(spark, sf), 500).select("flow_id", "judged", "fallback_reason")
+    return verdicts.review_budget(review_queue(spark, sf), 500).select("flow_id", "judged", "fallback_reason")
 
 
 SEV = "CASE lower(severity) WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netsift.operators import activity, learning, summary, tables, verdicts
-from netsift.operators.ranks import lower_quantiles, prefix_rank
+from netsift.operators.ranks import lower_quantiles, prefix_rank, rank_by_value
 from netsift.session import shared_folder
 from netsift.sources import context, flows
 
@@ -52,6 +52,13 @@ def test_prefix_rank_is_a_global_row_number(spark):
     assert ranked.filter(F.col("r") != F.col("v") + 1).count() == 0
 
 
+def test_rank_by_value_with_one_hot_value(spark):
+    df = spark.range(600).select(F.when(F.col("id") < 400, 5).otherwise(F.col("id") % 9).cast("double").alias("v"), F.col("id").alias("t"))
+    got = rank_by_value(df, values=["v"], cells={"c": F.floor(F.col("v") / 3)}, tie="t", tie_cell=F.floor(F.col("t") / 7), name="r", total="n")
+    ordered = sorted(((r["v"], r["t"]) for r in df.collect()))
+    assert {(r["v"], r["t"]): (r["r"], r["n"]) for r in got.collect()} == {k: (i + 1, 600) for i, k in enumerate(ordered)}
+
+
 def test_lower_quantiles_take_the_lower_index(spark):
     values = [5.0, 1.0, 1.0, 2.0, 9.0, 9.0, 9.0, 3.0]
     df = spark.createDataFrame([(v,) for v in values], "x double")
