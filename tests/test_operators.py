@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from netsift import session
 from netsift.operators import activity, learning, summary, tables, verdicts
 from netsift.operators.ranks import lower_quantiles, prefix_rank, rank_by_value
 from netsift.session import shared_folder
@@ -147,5 +148,10 @@ def test_risk_levels(spark):
     assert spark.range(1).select(level.alias("a"), worst.alias("b")).first()[:] == ("quiet", "high_attention")
 
 
-def test_shared_folder_follows_the_session(spark):
-    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+def test_shared_folder_follows_the_session(spark, monkeypatch):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        assert shared_folder(spark) == named
+    monkeypatch.setattr(session, "CHECKPOINT_KEY", "spark.checkpoint.unset")
+    first = shared_folder(spark)
+    assert first == shared_folder(spark) and "netsift-" in first
