@@ -90,7 +90,7 @@ BAD = {"bad": f"SELECT p.t, '[\"' || string_agg(DISTINCT i.ip, '\",\"' ORDER BY
 def indicator_pattern_join(spark, sf):
     ctx = context(spark, sf)
     profiled = ctx.patterns.select("seq", *C._profile(C.pattern_text()))
-    found = profiled.join(F.broadcast(C.bad_ips_by_profile(ctx.indicators)), ["is_vpn", "is_web", "is_db"])
+    found = profiled.join(C.bad_ips_by_profile(ctx.indicators), ["is_vpn", "is_web", "is_db"])
     return found.select("seq", F.to_json("bad_ips").alias("bad_ips"))
 
 
