@@ -13,6 +13,7 @@ ORACLES: dict[str, str] = {}
 
 MODULES: list[str] = [
     "secret_scan",
+    "decontamination",
 ]
 
 
