@@ -14,6 +14,7 @@ ORACLES: dict[str, str] = {}
 MODULES: list[str] = [
     "secret_scan",
     "decontamination",
+    "url_filter",
 ]
 
 
