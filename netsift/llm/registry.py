@@ -15,6 +15,7 @@ MODULES: list[str] = [
     "secret_scan",
     "decontamination",
     "url_filter",
+    "vector_search",
 ]
 
 
