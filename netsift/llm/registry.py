@@ -16,6 +16,7 @@ MODULES: list[str] = [
     "decontamination",
     "url_filter",
     "vector_search",
+    "chat_format",
 ]
 
 
