@@ -17,6 +17,7 @@ MODULES: list[str] = [
     "url_filter",
     "vector_search",
     "chat_format",
+    "quality",
 ]
 
 
