@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text becomes log counts of its byte trigrams, hashed to ``DIMS`` numbers, weighted by inverse document frequency over
-all documents, and projected on the leading singular vectors of a bounded labelled sample (at most ``FIT_ROWS``
+A text becomes counts of its byte trigrams and of runs of letter shapes, hashed to ``DIMS`` numbers, and of repeated
+words, rooted and weighted by inverse document frequency over all documents, and projected on the leading singular vectors of a bounded labelled sample (at most ``FIT_ROWS``
 rows, a documented parameter). The sample's projected vectors with their labels are broadcast: at most FIT_ROWS x RANK
 numbers. Every document is compared with all of them in blocks of exact cosine products; its ``NEIGHBOURS`` nearest
 vote for their labels, weighted by similarity.
@@ -32,38 +32,61 @@ THRESHOLD = 0.3
 FOLDS = 5
 
 
-def trigram_counts(column: pa.Array, dims: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(first row, end row, counts of hashed byte trigrams) over the pieces of a text column; runs of digits are one digit."""
+def _hashed(codes: list[np.ndarray], dims: int) -> np.ndarray:
+    """One dimension for each run of codes."""
+    key = codes[0].astype(np.uint32)
+    for more in codes[1:]:
+        key = (key * np.uint32(0x01000193)) ^ more
+    key = ((key * np.uint32(0x9E3779B1)) ^ (key >> np.uint32(7))) * np.uint32(0x85EBCA6B)
+    return (key >> np.uint32(16)) % np.uint32(dims)
+
+
+#: Letters by case, digits as one; all other ASCII bytes stand for themselves.
+SHAPE = np.arange(256, dtype=np.uint32)
+SHAPE[48:58], SHAPE[65:91], SHAPE[97:123], SHAPE[128:] = 48, 65, 97, 97
+
+
+def term_counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first row, end row, term counts) over the pieces of a text column.
+
+    Terms are hashed byte trigrams, hashed runs of four byte shapes, and in the last two dimensions the words
+    that do, and do not, equal one of the three words before them.
+    """
+    half = DIMS // 2
     data, offsets = words.text_bytes(column)
     for a, b in words.pieces(offsets, 1 << 20):
-        raw = data[offsets[a] : offsets[b]].astype(np.uint32)
-        raw[(raw >= 48) & (raw <= 57)] = 48
+        raw = data[offsets[a] : offsets[b]]
         own = offsets[a : b + 1] - offsets[a]
-        if len(raw) < 3:
-            yield a, b, np.zeros((b - a, dims), np.float32)
-            continue
-        key = (raw[:-2] << np.uint32(16)) | (raw[1:-1] << np.uint32(8)) | raw[2:]
-        key = ((key * np.uint32(0x9E3779B1)) ^ (key >> np.uint32(7))) * np.uint32(0x85EBCA6B)
-        bucket = (key >> np.uint32(16)) % np.uint32(dims)
+        counts = np.zeros((b - a, DIMS + 2), np.float32)
         row = np.repeat(np.arange(b - a), np.diff(own))
-        inside = row[:-2] == row[2:]
-        flat = np.bincount(row[:-2][inside] * dims + bucket[inside], minlength=(b - a) * dims)
-        yield a, b, flat.reshape(b - a, dims).astype(np.float32)
-
-
-def document_frequency(rows: DataFrame, dims: int) -> tuple[np.ndarray, int]:
+        for n, codes, first in ((3, raw.astype(np.uint32), 0), (4, SHAPE[raw], half)):
+            if len(raw) >= n:
+                inside = row[: 1 - n] == row[n - 1 :]
+                bucket = _hashed([codes[k : len(codes) - n + 1 + k] for k in range(n)], half)
+                flat = np.bincount(row[: 1 - n][inside] * half + bucket[inside], minlength=(b - a) * half)
+                counts[:, first : first + half] = flat.reshape(b - a, half)
+        found = words.find_words(raw, own)
+        of, again = found.row_of(), np.zeros(len(found.hashes), bool)
+        for k in (1, 2, 3):
+            again[k:] |= (found.hashes[k:] == found.hashes[:-k]) & (of[k:] == of[:-k])
+        counts[:, DIMS] = np.bincount(of[again], minlength=b - a)
+        counts[:, DIMS + 1] = np.bincount(of[~again], minlength=b - a)
+        yield a, b, counts
+
+
+def document_frequency(rows: DataFrame) -> tuple[np.ndarray, int]:
     """In how many of all documents each dimension occurs, and the number of documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros(dims, np.int64), 0
+        seen, n = np.zeros(DIMS + 2, np.int64), 0
         for batch in batches:
             n += len(batch)
-            for _, _, counts in trigram_counts(batch.column(0), dims):
+            for _, _, counts in term_counts(batch.column(0)):
                 seen += (counts > 0).sum(axis=0)
-        yield pa.RecordBatch.from_pydict({"dim": pa.array(np.arange(-1, dims)), "n": pa.array(np.append(n, seen))})
+        yield pa.RecordBatch.from_pydict({"dim": pa.array(np.arange(-1, DIMS + 2)), "n": pa.array(np.append(n, seen))})
 
     found = rows.select("text").mapInArrow(count, "dim bigint, n bigint").groupBy("dim").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(dims + 1, np.int64)
+    out = np.zeros(DIMS + 3, np.int64)
     for r in found:  # one row per dimension
         out[r.dim + 1] = r.n
     return out[1:], int(out[0])
@@ -73,6 +96,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x**2).sum(axis=1, keepdims=True)), 1e-12)
 
 
+def weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Rooted shares within each family of terms, by inverse document frequency; families have fixed parts."""
+    half, parts = DIMS // 2, []
+    for a, b, part, own in ((0, half, 0.4, weights), (half, DIMS, 1.0, weights), (DIMS, DIMS + 2, 0.8, np.ones_like(weights))):
+        parts.append(_unit(np.sqrt(counts[:, a:b]) * own[a:b]) * np.float32(part))
+    return np.concatenate(parts, axis=1)
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -81,7 +112,7 @@ class Model:
     labels: np.ndarray
 
     def embed(self, counts: np.ndarray) -> np.ndarray:
-        return _unit(_unit(np.log1p(counts) * self.weights) @ self.project)
+        return _unit(weighted(counts, self.weights) @ self.project)
 
     def scores(self, counts: np.ndarray, block: int = 512) -> np.ndarray:
         out = np.full(len(counts), self.labels.mean() if len(self.labels) else 0.5)
@@ -112,26 +143,26 @@ def leading_vectors(x: np.ndarray, rank: int) -> np.ndarray:
 
 def fit(docs: DataFrame, known: DataFrame, text_col: str = "text", id_col: str = "doc_id", label: str = "quality") -> Model:
     rows = docs.select(docs[text_col].cast("string").alias("text"))
-    seen, total = document_frequency(rows, DIMS)
+    seen, total = document_frequency(rows)
     weights = (np.log((1 + total) / (1 + seen)) + 0.1).astype(np.float32)
     learn = labels.remainder(F.col("id"), FOLDS) != 0
     sample = labels.labelled_sample(docs, known, label, learn, FIT_ROWS, id_col, text_col)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, counts in trigram_counts(batch.column(0), DIMS):
+            for a, b, counts in term_counts(batch.column(0)):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([c.tobytes() for c in counts], pa.binary()), batch.column(1).slice(a, b - a)], ["counts", "label"]
                 )
 
     got = sample.mapInArrow(counted, "counts binary, label double").toArrow()  # at most FIT_ROWS rows
-    counts = np.frombuffer(b"".join(got.column(0).to_pylist()), np.float32).reshape(-1, DIMS)
+    counts = np.frombuffer(b"".join(got.column(0).to_pylist()), np.float32).reshape(-1, DIMS + 2)
     target = got.column(1).to_numpy()
     filled = counts.any(axis=1)
     counts, target = counts[filled], target[filled]
     if not len(target):
-        return Model(weights, np.zeros((DIMS, 1), np.float32), np.zeros((0, 1), np.float32), target)
-    x = _unit(np.log1p(counts) * weights)
+        return Model(weights, np.zeros((DIMS + 2, 1), np.float32), np.zeros((0, 1), np.float32), target)
+    x = weighted(counts, weights)
     project = leading_vectors(x, min(RANK, len(x)))
     return Model(weights, project, _unit(x @ project), target)
 
@@ -142,7 +173,7 @@ def with_scores(rows: DataFrame, model: Model) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [sent.value.scores(counts) for _, _, counts in trigram_counts(batch.column(1), DIMS)]
+            out = [sent.value.scores(counts) for _, _, counts in term_counts(batch.column(1))]
             scores = pa.array(np.concatenate(out) if out else np.zeros(0))
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], ["payload", "text", "score"])
 
