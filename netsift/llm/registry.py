@@ -18,6 +18,7 @@ MODULES: list[str] = [
     "vector_search",
     "chat_format",
     "quality",
+    "toxicity",
 ]
 
 
