@@ -19,6 +19,7 @@ MODULES: list[str] = [
     "chat_format",
     "quality",
     "toxicity",
+    "packing",
 ]
 
 
