@@ -20,6 +20,7 @@ MODULES: list[str] = [
     "quality",
     "toxicity",
     "packing",
+    "near_duplicates",
 ]
 
 
