@@ -21,6 +21,7 @@ MODULES: list[str] = [
     "toxicity",
     "packing",
     "near_duplicates",
+    "language_model",
 ]
 
 
