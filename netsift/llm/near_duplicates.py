@@ -11,10 +11,13 @@ An empty bucket takes the next filled one of its hash.
    What stays ``SLACK`` standard deviations below the threshold is no candidate.
 3. Each class is first verified against its best candidate. Verified links give components. Candidates inside one
    component are implied, those between two are verified.
-4. Buckets that still hold more than one component are swept, sorted by set size: every pair of different components with
-   fitting sizes and estimate is a candidate. A bucket of more than ``BUCKET`` classes is first cut into the sub-buckets of
-   its other bands, where linked pairs meet with the same certainty. So a group of copies costs links in
-   proportion to its members, and no link between different texts is dropped.
+4. Buckets that still hold more than one component are swept, sorted by set size, for pairs of different components with
+   fitting sizes and estimate. The sweep gives no pairs but the classes concerned, and which components are in reach of
+   each other (a spanning forest). A bucket of more than ``BUCKET`` classes is first cut into the sub-buckets of its
+   other bands, where linked pairs meet with the same certainty.
+5. Components in reach of each other are a family. The classes concerned of a family are compared all with all, by
+   products of their incidence matrices, in groups of two chunks of about ``CHUNK``; a group gives at most the links that
+   join its components. So copies cost rows in proportion to their number, and no link between different texts is dropped.
 
 Verification counts the full sets of both texts. Components are smallest labels, spread over links with pointer jumping;
 every round is written to the shared folder. Only counts reach the driver; lists are broadcast below
@@ -45,6 +48,8 @@ MANTISSA = 10
 BANDS, BAND_ROWS = 32, 5
 SLACK = 4.5
 BUCKET = 4_096
+CHUNK = 256
+COLUMNS = 4_096
 SMALL = 200_000
 
 _U = np.uint64
@@ -183,20 +188,8 @@ def candidates(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, work: Work, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are linked."""
     pairs = work.kept(pairs.select("a", "b"))
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = work.kept(nodes.join(classes.select("node", "rep"), "node"))
-
-    def same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows that repeat an id may hold another text than the class."""
-        for batch in batches:
-            for a, b, w in words.column_words(batch.column(1)):
-                one, _ = digests(words.shingle_sets(w, shingle))
-                part = batch.slice(a, b - a)
-                good = pa.array(one == part.column(0).to_numpy())
-                yield part.filter(good)
-
-    found = docs.join(small(wanted.withColumnRenamed("rep", "doc_id")), "doc_id").select("node", "text")
-    texts = work.kept(found.mapInArrow(same_set, "node bigint, text string").dropDuplicates(["node"]))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    texts = class_texts(nodes, classes, docs, work, shingle)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
@@ -218,6 +211,23 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, work: Work,
     return work.kept(joined.mapInArrow(compare, "a bigint, b bigint"))
 
 
+def class_texts(nodes: DataFrame, classes: DataFrame, docs: DataFrame, work: Work, shingle: int) -> DataFrame:
+    """(node, text): one text of each class."""
+    wanted = work.kept(nodes.distinct().join(classes.select("node", "rep"), "node"))
+
+    def same_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows that repeat an id may hold another text than the class."""
+        for batch in batches:
+            for a, b, w in words.column_words(batch.column(1)):
+                one, _ = digests(words.shingle_sets(w, shingle))
+                part = batch.slice(a, b - a)
+                good = pa.array(one == part.column(0).to_numpy())
+                yield part.filter(good)
+
+    found = docs.join(small(wanted.withColumnRenamed("rep", "doc_id")), "doc_id").select("node", "text")
+    return work.kept(found.mapInArrow(same_set, "node bigint, text string").dropDuplicates(["node"]))
+
+
 def components(links: DataFrame, work: Work) -> DataFrame:
     """(node, label): the smallest node that each linked node reaches."""
     both = work.kept(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -233,8 +243,9 @@ def components(links: DataFrame, work: Work) -> DataFrame:
             return labels
 
 
-def mixed_pairs(bands: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components inside the buckets that hold more than one."""
+def in_reach(bands: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """From buckets of several components: (0, node, its label) of classes with a candidate in another component, and
+    (1, label, label) of components in reach of each other."""
     named = bands.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     counted = lambda frame: frame.groupBy("key").agg(
         F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")
@@ -249,32 +260,94 @@ def mixed_pairs(bands: DataFrame, classes: DataFrame, labels: DataFrame, percent
     ordered = rows.repartition("key").sortWithinPartitions("key", "n", "node")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Keeps the rows of one bucket whose sizes can still fit."""
+        """Keeps the rows of one bucket whose sizes can still fit; ``reach`` names what is connected so far."""
         now = None
-        sizes, nodes, labels_, regs = (np.zeros(0, np.int64) for _ in range(4))
+        sizes, nodes, held, reach, regs = (np.zeros(0, np.int64) for _ in range(5))
         for batch in batches:
             if not len(batch):
                 continue
             key, n, node, label = (batch.column(k).to_numpy() for k in range(4))
             own = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            out = []
+            out: set[tuple[int, int, int]] = set()
             borders = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
             for a, z in zip(borders[:-1], borders[1:], strict=True):
                 if key[a] != now:
-                    now, sizes, nodes, labels_, regs = key[a], n[:0], node[:0], label[:0], own[:0]
+                    now, sizes, nodes, held, reach, regs = key[a], n[:0], node[:0], label[:0], label[:0], own[:0]
                 fits = sizes * 100 >= percent * n[a]
-                sizes, nodes = np.append(sizes[fits], n[a:z]), np.append(nodes[fits], node[a:z])
-                labels_, regs = np.append(labels_[fits], label[a:z]), np.concatenate([regs[fits], own[a:z]])
+                known = dict(zip(held.tolist(), reach.tolist(), strict=True))
+                sizes, nodes, held = np.append(sizes[fits], n[a:z]), np.append(nodes[fits], node[a:z]), np.append(held[fits], label[a:z])
+                reach = np.append(reach[fits], [known.get(x, x) for x in label[a:z].tolist()]).astype(np.int64)
+                regs = np.concatenate([regs[fits], own[a:z]])
+                marked = np.zeros(len(sizes), bool)
                 for k in range(len(sizes) - (z - a), len(sizes)):
-                    at = np.flatnonzero(labels_[:k] != labels_[k])
+                    at = np.flatnonzero(held[:k] != held[k])
                     if len(at):
                         equal = (regs[at] == regs[k]).sum(axis=1)
                         at = at[passes(equal, sizes[at], np.full(len(at), sizes[k]), percent)]
-                        out += [(min(x, nodes[k]), max(x, nodes[k])) for x in nodes[at]]
-            found = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    return ordered.mapInArrow(sweep, "a bigint, b bigint").distinct()
+                    if len(at):
+                        marked[at] = marked[k] = True
+                        for other in np.unique(reach[at][reach[at] != reach[k]]).tolist():
+                            first = at[reach[at] == other][0]
+                            out.add((1, int(held[first]), int(held[k])))
+                            reach[reach == other] = reach[k]
+                out.update((0, x, y) for x, y in zip(nodes[marked].tolist(), held[marked].tolist(), strict=True))
+            found = np.array(sorted(out), np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, k].copy()) for k in range(3)], ["kind", "a", "b"])
+
+    return ordered.mapInArrow(sweep, "kind bigint, a bigint, b bigint").distinct()
+
+
+def common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of another."""
+    keys = np.concatenate([*one, *two])
+    values, back, often = np.unique(keys, return_inverse=True, return_counts=True)
+    number = np.cumsum(often > 1) - 1  # what is in one set only is in no intersection
+    row = np.repeat(np.arange(len(one) + len(two)), [len(x) for x in (*one, *two)])
+    shared = often[back] > 1
+    row, column = row[shared], number[back[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(one), len(two)), np.float32)
+    for a in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        x, y = np.searchsorted(column, [a, a + COLUMNS])
+        part = np.zeros((len(one) + len(two), COLUMNS), np.float32)
+        part[row[x:y], column[x:y] - a] = 1
+        out += part[: len(one)] @ part[len(one) :].T
+    return out.astype(np.int64)
+
+
+def family_links(reach: DataFrame, classes: DataFrame, docs: DataFrame, work: Work, shingle: int, percent: int) -> DataFrame:
+    """Verified links (a, b) between different components in reach of each other, enough to join all that are linked."""
+    families = components(reach.where("kind = 1").select("a", "b"), work)
+    members = reach.where("kind = 0").select(F.col("a").alias("node"), F.col("b").alias("own"))
+    members = members.join(families, members["own"] == families["node"]).select(members["node"], "own", F.col("label").alias("family"))
+    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    members = work.kept(members.join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")))
+    texts = class_texts(members.select("node"), classes, docs, work, shingle)
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other"))
+    rows = dealt.join(texts, "node").select("family", "i", "j", "chunk", "node", "own", "text")
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets = [s for _, _, w in words.column_words(table.column("text")) for s in words.shingle_sets(w, shingle)]
+        chunk, node, reach_ = (table.column(c).to_numpy() for c in ("chunk", "node", "own"))
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        one, two = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+        found = []
+        if len(one) and len(two):
+            both = common_counts([sets[k] for k in one], [sets[k] for k in two])
+            n = np.array([len(s) for s in sets])
+            linked = 100 * both >= percent * (n[one][:, None] + n[two] - both)
+            linked &= reach_[one][:, None] != reach_[two]
+            reach_ = reach_.copy()
+            for x, y in zip(*np.nonzero(linked), strict=True):
+                a, b = one[x], two[y]
+                if reach_[a] != reach_[b]:
+                    found.append((int(node[a]), int(node[b])))
+                    reach_[reach_ == reach_[a]] = reach_[b]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return work.kept(rows.groupBy("family", "i", "j").applyInArrow(compare, "a bigint, b bigint"))
 
 
 def near_duplicates(
@@ -303,9 +376,8 @@ def near_duplicates(
     links = links.union(verified(apart, classes, texts, work, shingle, percent))
     labels = components(links, work)
 
-    mixed = mixed_pairs(bands.select("key", "node"), classes, labels, percent)
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = links.union(verified(mixed.join(tried, ["a", "b"], "left_anti"), classes, texts, work, shingle, percent))
+    reach = work.kept(in_reach(bands.select("key", "node"), classes, labels, percent))
+    links = links.union(family_links(reach, classes, texts, work, shingle, percent))
     labels = components(links, work)
 
     named = classes.select("node", "check", "n", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
