@@ -1,17 +1,18 @@
 """IP address columns: integers, ranges, membership, direction.
 
-IPv4 work is plain integer arithmetic in the JVM. IPv6 addresses are rare, so
-they take a vectorised fallback that only sees the rows holding a colon.
+IPv4 tests against known ranges are integer arithmetic. Ranges that come as data, and
+IPv6, use keys: the family digit and the address in hexadecimal, which sort as numbers do.
+All of it is built-in functions.
 """
 
 from __future__ import annotations
 
 import ipaddress
+from functools import reduce
+from operator import or_
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from netsift.constants import INTERNAL_RANGES, PRIVATE_RANGES, PRIVATE_V6_RANGES
 
@@ -28,16 +29,75 @@ def ip_to_int(ip: Column) -> Column:
     return F.when(ip.rlike(IPV4_PATTERN), total)
 
 
+V6_GROUPS = r"[0-9a-f]{1,4}(:[0-9a-f]{1,4})*"
+V6_TEXT = rf"^({V6_GROUPS})?(::({V6_GROUPS})?)?$"
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _v6_hex(ip: Column) -> Column:
+    """IPv6 text -> 32 hexadecimal digits, null when invalid; a dotted tail counts as two groups."""
+
+    def plain(tail: Column) -> Column:
+        as_groups = lambda n: F.concat_ws(":", F.lower(F.hex(F.floor(n / 65536))), F.lower(F.hex(F.pmod(n, F.lit(65536)))))
+        head = F.substring(ip, F.lit(1), F.length(ip) - F.length(tail))
+        return F.lower(_let(ip_to_int(tail), lambda n: F.when(n.isNotNull(), F.concat(head, as_groups(n))).otherwise(ip)))
+
+    def sides(text: Column) -> Column:
+        groups = lambda part: F.filter(F.split(F.split_part(text, F.lit("::"), F.lit(part)), ":"), lambda g: g != "")
+        return F.when(
+            text.contains(":") & text.rlike(V6_TEXT),
+            F.struct(groups(1).alias("left"), groups(2).alias("right"), text.contains("::").alias("short")),
+        )
+
+    def digits(s: Column) -> Column:
+        gap = 8 - F.size(s["left"]) - F.size(s["right"])
+        wide = lambda part: F.array_join(F.transform(part, lambda g: F.lpad(g, 4, "0")), "")
+        fits = F.when(s["short"], gap >= 1).otherwise(gap == 0)
+        return F.when(fits, F.concat(wide(s["left"]), F.repeat(F.lit("0000"), gap), wide(s["right"])))
+
+    return _let(_let(_let(F.element_at(F.split(ip, ":"), -1), plain), sides), digits)
+
+
+def ip_key(ip: Column) -> Column:
+    """Sortable text of an address: the family and its hexadecimal digits; null when invalid."""
+    number = ip_to_int(ip)
+    v4 = F.concat(F.lit("4"), F.lpad(F.lower(F.hex(number)), 8, "0"))
+    return F.when(ip.contains(":"), F.concat(F.lit("6"), _v6_hex(ip))).otherwise(v4)
+
+
+def masked_key(key: Column, prefix: Column, fill: str = "0") -> Column:
+    """The first key of the range of ``prefix`` bits around an address (the last one with ``fill='f'``)."""
+    nibbles, rest = F.floor(prefix / 4).cast("int"), F.pmod(prefix, F.lit(4)).cast("int")
+    step = F.element_at(F.array(*[F.lit(n) for n in (16, 8, 4, 2)]), rest + 1)
+    edge = lambda digit: digit - F.pmod(digit, step) + (F.lit(0) if fill == "0" else step - 1)
+    digit = F.conv(F.substring(key, nibbles + 2, F.lit(1)), 16, 10).cast("int")
+    last = _let(digit, lambda d: F.lower(F.hex(edge(d).cast("bigint"))))
+    cut = F.concat(F.substring(key, F.lit(1), nibbles + 1), F.when(rest > 0, last).otherwise(F.lit("")))
+    return F.rpad(cut, F.length(key), F.lit(fill))
+
+
 def cidr_bounds(cidr: Column) -> Column:
-    """IPv4 CIDR text -> struct(lo, hi, prefix); host bits allowed, null when invalid."""
-    address = F.split_part(cidr, F.lit("/"), F.lit(1))
-    prefix = F.when(cidr.contains("/"), F.split_part(cidr, F.lit("/"), F.lit(2)).cast("int")).otherwise(32)
-    size = F.pow(F.lit(2.0), 32 - prefix).cast("bigint")
-    lo = F.floor(ip_to_int(address) / size) * size
-    return F.when(
-        cidr.rlike(CIDR4_PATTERN),
-        F.struct(lo.alias("lo"), (lo + size - 1).alias("hi"), prefix.alias("prefix")),
-    )
+    """CIDR text of either family -> struct(lo, hi, prefix) of address keys; host bits allowed, null when invalid."""
+    length = F.split_part(cidr, F.lit("/"), F.lit(2))
+
+    def bounds(p: Column) -> Column:
+        bits = F.when(p["key"].startswith("6"), 128).otherwise(32)
+        prefix = F.coalesce(p["prefix"], bits)
+        return F.when(
+            p["key"].isNotNull() & p["good"] & prefix.between(0, bits),
+            F.struct(
+                masked_key(p["key"], prefix).alias("lo"), masked_key(p["key"], prefix, "f").alias("hi"), prefix.alias("prefix")
+            ),
+        )
+
+    given = F.when(cidr.contains("/"), F.when(length.rlike("^[0-9]{1,3}$"), length.cast("int")).otherwise(-1))
+    good = F.when(cidr.contains(":"), True).otherwise(cidr.rlike(CIDR4_PATTERN))
+    parts = F.struct(ip_key(F.split_part(cidr, F.lit("/"), F.lit(1))).alias("key"), given.alias("prefix"), good.alias("good"))
+    return _let(F.when(cidr.isNotNull(), parts), bounds)
 
 
 def parse_range(cidr: str) -> tuple[int, int] | None:
@@ -51,23 +111,6 @@ def parse_range(cidr: str) -> tuple[int, int] | None:
     return int(network.network_address), int(network.broadcast_address)
 
 
-def _v6_membership(networks: list[str]):
-    nets = [ipaddress.ip_network(n, strict=False) for n in networks]
-
-    @F.pandas_udf(BooleanType())
-    def contains(addresses: pd.Series) -> pd.Series:
-        verdict: dict[str, bool] = {}
-        for text in addresses.dropna().unique():
-            try:
-                address = ipaddress.ip_address(text)
-                verdict[text] = any(address in net for net in nets)
-            except ValueError:
-                verdict[text] = False
-        return addresses.map(verdict).fillna(False).astype(bool)
-
-    return contains
-
-
 def in_ranges(number: Column, ranges: list[str]) -> Column:
     """Is the IPv4 integer inside any of the ranges (never null)."""
     test = F.lit(False)
@@ -79,20 +122,19 @@ def in_ranges(number: Column, ranges: list[str]) -> Column:
 
 
 def in_cidrs(ip: Column, ranges: list[str], number: Column | None = None) -> Column:
-    """Address text inside any range; IPv6 ranges switch on the Python fallback."""
+    """Address text inside any range of its family (never null)."""
     test = in_ranges(ip_to_int(ip) if number is None else number, ranges)
-    v6 = []
+    known = []
     for cidr in ranges:
         try:
             network = ipaddress.ip_network(str(cidr), strict=False)
         except ValueError:
             continue
         if network.version == 6:
-            v6.append(str(network))
-    if v6:
-        test = test | F.coalesce(
-            _v6_membership(v6)(F.when(ip.contains(":"), ip)), F.lit(False)
-        )
+            known.append(tuple(f"{int(end):032x}" for end in (network.network_address, network.broadcast_address)))
+    if known:
+        inside = _let(_v6_hex(ip), lambda v: reduce(or_, [v.between(*ends) for ends in known]))
+        test = test | F.coalesce(F.when(ip.contains(":"), inside), F.lit(False))
     return test
 
 

@@ -5,8 +5,7 @@ re-read the frame for every row. Instead each flow becomes two ticks, one that
 enters the count at its own time and one that leaves it after the window, and
 every counter is a running sum of ticks. Time is cut into panes, the sums of
 earlier panes travel as carry rows, and the work is shuffled once by
-(source, pane). Hot sources get narrower panes, so no pane holds more than
-about ``pane_rows`` rows of one source.
+(source, pane). Hot sources get panes narrow enough for their densest stretch.
 """
 
 from __future__ import annotations
@@ -17,7 +16,8 @@ from pyspark.sql import functions as F
 
 MINUTE_MS = 60_000
 PANE_ROWS = 200_000
-MIN_PANE_MS = 1_000
+PANE_WIDTHS = [3_600_000, 900_000, 300_000, 60_000, 15_000, 5_000, 1_000, 100, 10, 1]
+MOST_HOT = 100_000
 
 SERVICE = ["dst_ip", "dst_port", "protocol"]
 
@@ -25,19 +25,23 @@ SERVICE = ["dst_ip", "dst_port", "protocol"]
 def with_pane_width(flows: DataFrame, window_ms: int, pane_rows: int = PANE_ROWS) -> DataFrame:
     """Adds ``pane_ms`` per source: the window itself, or less for hot sources.
 
-    The list of hot sources is broadcast: it has at most rows / pane_rows
-    entries, whatever the number of sources.
+    A hot source gets the widest of ``PANE_WIDTHS`` of which no aligned pane holds more than ``pane_rows`` of its rows,
+    so bursts and stray old rows make no difference; only rows of one millisecond cannot be parted. Ticks
+    that leave the window at most double a pane. A source counts as hot above ``pane_rows`` rows and one row in
+    ``MOST_HOT``, so the broadcast lists have at most MOST_HOT entries.
     """
-    span = F.max("start_ms") - F.min("start_ms") + 1
-    fair = F.greatest(F.lit(MIN_PANE_MS), F.floor(span * F.lit(float(pane_rows)) / F.count("*")))
-    hot = (
-        flows.groupBy("src_ip")
-        .agg(F.count("*").alias("n"), fair.cast("bigint").alias("narrow_ms"))
-        .filter((F.col("n") > pane_rows) & (F.col("narrow_ms") < window_ms))
-        .select("src_ip", "narrow_ms")
-    )
+    rows = flows.groupBy("src_ip").agg(F.count("*").alias("n"))
+    total = rows.agg(F.sum("n").alias("total"))
+    hot = rows.join(F.broadcast(total), F.col("n") > F.greatest(F.lit(pane_rows), F.col("total") / MOST_HOT)).select("src_ip")
+    widths = F.array(*[F.lit(w).cast("bigint") for w in PANE_WIDTHS if w < window_ms])
+    at = flows.join(F.broadcast(hot), "src_ip").groupBy("src_ip", "start_ms").agg(F.count("*").alias("n"))
+    panes = at.select("src_ip", "start_ms", "n", F.explode(widths).alias("width"))
+    full = panes.groupBy("src_ip", "width", F.floor(F.col("start_ms") / F.col("width")).alias("pane")).agg(F.sum("n").alias("n"))
+    most = full.groupBy("src_ip", "width").agg(F.max("n").alias("n"))
+    fits = F.max(F.when(F.col("n") <= pane_rows, F.col("width")))
+    narrow = most.groupBy("src_ip").agg(F.coalesce(fits, F.min("width")).alias("narrow_ms"))
     return (
-        flows.join(F.broadcast(hot), "src_ip", "left")
+        flows.join(F.broadcast(narrow), "src_ip", "left")
         .withColumn("pane_ms", F.coalesce("narrow_ms", F.lit(window_ms)))
         .drop("narrow_ms")
     )
@@ -153,7 +157,9 @@ def trailing_counts(
 
 
 def untimed_counts(flows: DataFrame) -> DataFrame:
-    """Flows without a time see every other row of their source (no window)."""
+    """Flows without a time see every other row of their source (no window); only their sources are counted."""
+    wanted = flows.filter(F.col("start_ms").isNull()).select("src_ip").distinct()
+    flows = flows.join(wanted, "src_ip", "left_semi")
     if "hit" not in flows.columns:
         flows = flows.withColumn("hit", F.lit(False))
     hit = F.col("hit").cast("bigint")
@@ -184,14 +190,9 @@ def source_counts(flows: DataFrame, window_minutes: int, **panes) -> DataFrame:
     return timed.unionByName(untimed_counts(flows))
 
 
-def with_activity(flows: DataFrame, window_minutes: int = 180, *, timed_only: bool = False, **panes) -> DataFrame:
-    """Flows plus their activity counters; the join back is on the unique flow id."""
-    counts = (
-        trailing_counts(flows, window_minutes * MINUTE_MS, **panes)
-        if timed_only
-        else source_counts(flows, window_minutes, **panes)
-    )
-    return flows.join(counts, "flow_id")
+def with_activity(flows: DataFrame, window_minutes: int = 180, **panes) -> DataFrame:
+    """Flows plus their activity counters, with or without a time; the join back is on the unique flow id."""
+    return flows.join(source_counts(flows, window_minutes, **panes), "flow_id")
 
 
 # --- most frequent ports ------------------------------------------------------

@@ -354,8 +354,8 @@ def confusion_matrix(predicted: DataFrame, label: str = "family", guess: str = "
 
 
 def with_class_weight(rows: DataFrame, label: str = "Label") -> DataFrame:
-    """Attack rows weigh negatives / positives."""
-    counts = rows.agg(
+    """Attack rows weigh negatives / positives of the train split."""
+    counts = rows.filter(F.col("split") == "train").agg(
         F.count_if(F.col(label) == 0).alias("_neg"), F.greatest(F.lit(1), F.count_if(F.col(label) == 1)).alias("_pos")
     )
     weight = F.when(F.col(label) == 1, F.col("_neg") / F.col("_pos")).otherwise(1.0)

@@ -3,7 +3,7 @@
 A small watchlist (checked size) becomes plain column expressions: no join, no
 shuffle, no per-flow rows beyond the flow itself. Step one scores every item in
 scope and keeps the best; step two spells out only the chosen item's lists.
-Bigger watchlists go through ``matching_tables``, which joins.
+Bigger watchlists go through ``matching_tables``, which joins; ``match`` chooses.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from netsift.operators.watchlist import Watchlist
 
 MAX_ITEMS = 64
 MAX_HINTS = 512
-SEQ_SPACE = 10**8
+SEQ_SPACE = 10**14
 RANK = K.STRENGTH_RANK
 STRONG = ["behavior", "threat_source", "policy_violation", "critical_forbidden"]
 
@@ -59,12 +59,13 @@ def collect_rules(watchlist: Watchlist) -> list[Rule]:
     items = watchlist.items.orderBy("item_seq").limit(MAX_ITEMS + 1).collect()
     hints = watchlist.hints.limit(MAX_HINTS + 1).collect()
     targets = watchlist.targets.limit(MAX_HINTS + 1).collect()
-    if len(items) > MAX_ITEMS or len(hints) > MAX_HINTS or len(targets) > MAX_HINTS:
+    groups = watchlist.groups.limit(MAX_HINTS + 1).collect()
+    if len(items) > MAX_ITEMS or max(len(hints), len(targets), len(groups)) > MAX_HINTS:
         raise WatchlistTooLarge(f"more than {MAX_ITEMS} items or {MAX_HINTS} hints")
     rules = {r["item_seq"]: Rule(r["item_seq"], r["priority"], r.asDict(recursive=True)) for r in items}
     for t in sorted(targets, key=lambda t: t["target_seq"]):
         rules[t["item_seq"]].targets.append(t)
-    for g in sorted(watchlist.groups.collect(), key=lambda g: g["group_seq"]):
+    for g in sorted(groups, key=lambda g: g["group_seq"]):
         rules[g["item_seq"]].groups.append({"seq": g["group_seq"], "min": g["min_supporting"], "required": [], "supporting": []})
     for h in sorted(hints, key=lambda h: h["hint_seq"]):
         rule = rules[h["item_seq"]]

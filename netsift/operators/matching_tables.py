@@ -40,10 +40,10 @@ def address_scopes(addresses: DataFrame, targets: DataFrame) -> DataFrame:
         F.col("at").alias("side"), F.col("bounds.prefix").alias("prefix"), F.col("bounds.lo").alias("lo"), "item_seq", "target_seq", "cidr"
     )
     by_ip = addresses.join(_maybe_broadcast(exact.withColumnRenamed("t_ip", "ip")), ["side", "ip"])
-    numbered = addresses.withColumn("n", net.ip_to_int(F.col("ip"))).filter(F.col("n").isNotNull())
-    lengths = ranges.select("side", "prefix").distinct()  # at most 33 per side
-    keyed = numbered.join(F.broadcast(lengths), "side").withColumn(
-        "lo", F.col("n") - F.pmod(F.col("n"), F.pow(F.lit(2.0), 32 - F.col("prefix")).cast("bigint"))
+    numbered = addresses.withColumn("key", net.ip_key(F.col("ip"))).filter(F.col("key").isNotNull())
+    lengths = ranges.select("side", "prefix", F.substring("lo", 1, 1).alias("family")).distinct()  # at most 33 and 129 per side
+    keyed = numbered.withColumn("family", F.substring("key", 1, 1)).join(F.broadcast(lengths), ["side", "family"]).withColumn(
+        "lo", net.masked_key(F.col("key"), F.col("prefix"))
     )
     by_range = keyed.join(_maybe_broadcast(ranges), ["side", "prefix", "lo"]).select(
         "side", "ip", "item_seq", "target_seq", "cidr"

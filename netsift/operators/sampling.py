@@ -6,15 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quota_sample(rows: DataFrame, quotas: DataFrame, keys: list[str], order: str, max_quota: int) -> DataFrame:
-    """First ``quota`` rows per key.
-
-    ``max_quota`` is the largest quota in the table; as a constant bound it
-    lets Spark cut every key to that many rows before the shuffle.
-    """
+def quota_sample(rows: DataFrame, quotas: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """First ``quota`` rows per key; keys without a quota give none."""
     window = Window.partitionBy(*keys).orderBy(order)
-    ranked = rows.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= max_quota)
-    return ranked.join(quotas, keys).filter(F.col("_rank") <= F.col("quota")).drop("_rank")
+    ranked = rows.join(quotas, keys).withColumn("_rank", F.row_number().over(window))
+    return ranked.filter(F.col("_rank") <= F.col("quota")).drop("_rank")
 
 
 def quota_report(sample: DataFrame, quotas: DataFrame, keys: list[str], order: str) -> DataFrame:

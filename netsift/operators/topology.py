@@ -14,21 +14,21 @@ from netsift.operators import events
 def zone_of(addresses: DataFrame, zones: DataFrame) -> DataFrame:
     """(ip, zone): longest matching range; ties keep the earlier zone row.
 
-    The lookup runs on distinct addresses, as one equality join per prefix
-    length (33 at most), so a large zone table never becomes a nested loop.
+    The lookup runs on distinct addresses of both families, as one equality join per
+    prefix length, so a large zone table never becomes a nested loop.
     """
     ranges = (
         zones.withColumn("b", net.cidr_bounds(F.col("cidr")))
         .filter(F.col("b").isNotNull())
         .select("zone_seq", "zone", F.col("b.lo").alias("lo"), F.col("b.prefix").alias("prefix"))
     )
-    lengths = ranges.agg(F.collect_set("prefix").alias("lengths"))  # one row, 33 entries at most
-    distinct = addresses.select("ip").distinct().withColumn("n", net.ip_to_int(F.col("ip")))
+    lengths = ranges.select(F.substring("lo", 1, 1).alias("family"), "prefix").distinct()  # at most 33 and 129 rows
+    distinct = addresses.select("ip").distinct().withColumn("key", net.ip_key(F.col("ip")))
     keyed = (
-        distinct.filter(F.col("n").isNotNull())
-        .join(F.broadcast(lengths), how="cross")
-        .withColumn("prefix", F.explode("lengths"))
-        .withColumn("lo", F.col("n") - F.pmod(F.col("n"), F.pow(F.lit(2.0), 32 - F.col("prefix")).cast("bigint")))
+        distinct.filter(F.col("key").isNotNull())
+        .withColumn("family", F.substring("key", 1, 1))
+        .join(F.broadcast(lengths), "family")
+        .withColumn("lo", net.masked_key(F.col("key"), F.col("prefix")))
     )
     best = keyed.join(ranges, ["prefix", "lo"]).groupBy("ip").agg(
         F.max_by("zone", F.struct("prefix", (-F.col("zone_seq")).alias("first"))).alias("zone")

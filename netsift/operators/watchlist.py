@@ -27,7 +27,7 @@ ITEM_SCHEMA = (
 )
 HINT_SCHEMA = "struct<field:string,operator:string,value:string>"
 POLICY_SCHEMA = "struct<review_threshold:double,max_threshold_drop:double,action:string,reason:string>"
-ITEM_SPACING = 1_000_000
+ITEM_SPACING = 10**12
 
 
 @dataclass

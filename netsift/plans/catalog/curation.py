@@ -243,7 +243,7 @@ def curated_triage(spark, sf):
     built = sinks.settle_draft(C.enhance_watchlist(draft(spark, sf), context(spark, sf)), run_folder(spark, "draft"))
     curated = sinks.settle_watchlist(C.to_watchlist(built), run_folder(spark, "watchlist"))
 
-    active = activity.with_activity(scored(spark, sf), 180, timed_only=True).withColumn("recent_alert_count", F.lit(0))
+    active = activity.with_activity(scored(spark, sf), 180).withColumn("recent_alert_count", F.lit(0))
     best = matching_tables.match_watchlist(active, curated)
     return best.groupBy("match.item_id", F.col("match.match_strength").alias("strength")).agg(F.count("*").alias("flows"))
 

@@ -134,11 +134,12 @@ def condition_text(spark, sf):
     return rows.select("event_id", H.condition_text(F.col("f"), F.col("op"), H.printable(value, F.col("is_list"))).alias("text"))
 
 
-@query("hint_string_ports", inputs.ansi("SELECT flow_id, dst_port || '|443' AS ports, dst_port IN (443, src_port) OR true AS hit FROM flows", "flows"))
+@query("hint_string_ports", inputs.ansi("SELECT flow_id, dst_port || '|443' AS ports, CASE WHEN src_port % 2 = 0 THEN src_port ELSE dst_port END IN (dst_port, 443) AS hit FROM flows", "flows"))
 def hint_string_ports(spark, sf):
     text = F.concat(F.lit("alert if dst_port in [ "), F.col("dst_port").cast("string"), F.lit(" , 443]"))
     ports = H.string_port_values(text)
-    return view(spark, sf, "flows").select("flow_id", joined(ports).alias("ports"), H.hint_in(F.col("dst_port").cast("string"), ports).alias("hit"))
+    actual = F.when(F.col("src_port") % 2 == 0, F.col("src_port")).otherwise(F.col("dst_port"))
+    return view(spark, sf, "flows").select("flow_id", joined(ports).alias("ports"), H.hint_in(actual.cast("string"), ports).alias("hit"))
 
 
 @query("hint_value", inputs.ansi("SELECT f.flow_id, CAST(dst_port AS VARCHAR) AS aliased, CAST(m.IN_BYTES AS VARCHAR) AS feature, f.src_ip AS core_wins, false AS missing, '7' AS counter FROM flows f JOIN ml_features m ON m.flow_id = f.flow_id", "flows", "ml_features"))
@@ -166,7 +167,7 @@ def tables(spark):
 
 
 def active(spark, sf):
-    return activity.with_activity(scored(spark, sf), 180, timed_only=True).withColumn("recent_alert_count", F.lit(0))
+    return activity.with_activity(scored(spark, sf), 180).withColumn("recent_alert_count", F.lit(0))
 
 
 def graded(spark, sf):

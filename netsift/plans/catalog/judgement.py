@@ -16,7 +16,7 @@ M = match_ctes()
 
 
 def routed(spark, sf):
-    return triage.prepare_flows(scored(spark, sf), worked_rules(spark), timed_only=True)
+    return triage.prepare_flows(scored(spark, sf), worked_rules(spark))
 
 
 def enriched(spark, sf):
@@ -38,7 +38,7 @@ def mock_score(spark, sf):
 
 @query("effective_threshold", inputs.ansi("SELECT flow_id, round(review_t, 6) AS review_threshold, t_reason AS threshold_reason FROM eff2", "flows", extra=R))
 def effective_threshold(spark, sf):
-    active = triage.prepare_flows(scored(spark, sf), worked_rules(spark), timed_only=True)
+    active = triage.prepare_flows(scored(spark, sf), worked_rules(spark))
     frame = routing.with_effective_threshold(active.select("flow_id", "match"))
     return frame.select("flow_id", r6(F.col("review_threshold")).alias("review_threshold"), "threshold_reason")
 
@@ -212,7 +212,7 @@ def effective_watchlist_id(spark, sf):
     ),
 )
 def triage_events(spark, sf):
-    events = triage.triage_events(scored(spark, sf), worked_rules(spark), timed_only=True)
+    events = triage.triage_events(scored(spark, sf), worked_rules(spark))
     lists = [
         "watchlist_conditions", "watchlist_scope_conditions", "watchlist_matched_trigger_hints",
         "watchlist_unmatched_trigger_hints", "watchlist_matched_benign_hints",
@@ -227,7 +227,7 @@ def triage_events(spark, sf):
 @query("triage_counts", inputs.ansi("SELECT route, verdict, severity, strength AS match_strength, count(*) AS flows FROM events_out GROUP BY ALL", "flows", extra=R))
 def triage_counts(spark, sf):
     """The flagship report: how many flows ended where, and on what evidence."""
-    events = triage.triage_events(scored(spark, sf), worked_rules(spark), timed_only=True)
+    events = triage.triage_events(scored(spark, sf), worked_rules(spark))
     return events.groupBy("route", "verdict", "severity", F.col("watchlist_match_strength").alias("match_strength")).agg(
         F.count("*").alias("flows")
     )
@@ -277,7 +277,7 @@ def view_conversations(spark, sf):
     turns = inputs.table(spark, sf, "conversations")
     body = F.to_json(F.struct(
         F.when(F.col("turn") % 2 == 0, "alert").otherwise("uncertain").alias("verdict"), F.lit("high").alias("severity"),
-        F.substring("text", 1, 40).alias("rationale_ko"),
+        F.col("text").alias("rationale_ko"),
     ))
     content = (
         F.when(F.col("turn") % 3 == 0, body)
@@ -306,7 +306,7 @@ def item_results(spark, sf):
     """Every (flow, item) in scope, before the best item is taken."""
     from netsift.operators import activity
 
-    active = activity.with_activity(scored(spark, sf), 180, timed_only=True).withColumn("recent_alert_count", F.lit(0))
+    active = activity.with_activity(scored(spark, sf), 180).withColumn("recent_alert_count", F.lit(0))
     return matching.item_matches(active, worked_rules(spark)).select(
         "flow_id", "match.item_id", F.col("match.match_strength").alias("strength"),
         F.col("match.trigger_completeness").alias("completeness"),

@@ -74,7 +74,7 @@ def source_activity_unbounded(spark, sf):
 
 def review_queue(spark, sf):
     """The routed reviews, stored once: ranking reads its input more than once."""
-    routed = triage.prepare_flows(scored(spark, sf), worked_rules(spark), timed_only=True)
+    routed = triage.prepare_flows(scored(spark, sf), worked_rules(spark))
     queue = routed.filter(F.col("route") == "tier1_llm").select("flow_id", "arrival", "ml_prob", "match", "route")
     return sinks.settle(queue, run_folder(spark, "queue"))
 
@@ -153,7 +153,7 @@ def quota_sample(spark, sf):
 
     rows = view(spark, sf, "manifest").withColumnRenamed("output_dst_port", "port")
     quotas = rows.groupBy("label", "attack", "port").agg((F.lit(3) + (F.count("*") % 40)).cast("int").alias("quota"))
-    report = sampling.quota_report(sampling.quota_sample(rows, quotas, ["label", "attack", "port"], "source_index", max_quota=43), quotas, ["label", "attack", "port"], "source_index")
+    report = sampling.quota_report(sampling.quota_sample(rows, quotas, ["label", "attack", "port"], "source_index"), quotas, ["label", "attack", "port"], "source_index")
     return report.select("label", "attack", "port", "n_found", "shortfall", joined(F.col("ids")).alias("first_ids"))
 
 

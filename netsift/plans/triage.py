@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netsift import constants as K
-from netsift.operators import activity, matching, routing, verdicts
+from netsift.operators import activity, match, matching, routing, verdicts
+from netsift.operators.watchlist import Watchlist
 
 EVENT_COLUMNS = [
     "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "route", "route_reason",
@@ -25,23 +26,22 @@ EVENT_COLUMNS = [
 
 def prepare_flows(
     flows: DataFrame,
-    rules: list[matching.Rule],
+    rules: Watchlist | list[matching.Rule],
     *,
     window_minutes: int = 180,
     low: float = K.THRESHOLD_LOW,
     high: float = K.THRESHOLD_HIGH,
     priority_1: float = K.PRIORITY_1_THRESHOLD,
-    timed_only: bool = False,
 ) -> DataFrame:
     """Scored flows (with ``ml_prob``) -> activity, match and route columns.
 
     Verdict feedback (``recent_alert_count``, hits) is what the flow table
     stores about earlier runs; without such columns both counters are zero.
     """
-    active = activity.with_activity(flows, window_minutes, timed_only=timed_only)
+    active = activity.with_activity(flows, window_minutes)
     if "recent_alert_count" not in active.columns:
         active = active.withColumn("recent_alert_count", F.lit(0).cast("bigint"))
-    matched = matching.match_watchlist(active, rules)
+    matched = match.match_flows(active, rules)
     return routing.route_flows(matched, low=low, high=high, priority_1=priority_1)
 
 
@@ -54,22 +54,22 @@ def judge_rows(enriched: DataFrame, *, apply_floor: bool = True) -> DataFrame:
 
 
 def flat_events(judged: DataFrame, *extra: str) -> DataFrame:
-    match = F.col("match")
+    found = F.col("match")
     from_match = {
         "watchlist_matched": verdicts.effective_watchlist_id(),
-        "watchlist_priority": match["priority"],
-        "watchlist_reason": match["reason"],
-        "watchlist_conditions": match["matched_conditions"],
-        "watchlist_scope_conditions": match["scope_conditions"],
-        "watchlist_matched_trigger_hints": match["matched_trigger_hints"],
-        "watchlist_unmatched_trigger_hints": match["unmatched_trigger_hints"],
-        "watchlist_matched_benign_hints": match["matched_benign_hints"],
-        "watchlist_trigger_completeness": match["trigger_completeness"],
-        "watchlist_match_strength": match["match_strength"],
-        "watchlist_scope_match": match["scope_matched"],
-        "watchlist_trigger_match": match["trigger_matched"],
-        "watchlist_context_only": match["context_only"],
-        "watchlist_linter_warnings": match["linter_warnings"],
+        "watchlist_priority": found["priority"],
+        "watchlist_reason": found["reason"],
+        "watchlist_conditions": found["matched_conditions"],
+        "watchlist_scope_conditions": found["scope_conditions"],
+        "watchlist_matched_trigger_hints": found["matched_trigger_hints"],
+        "watchlist_unmatched_trigger_hints": found["unmatched_trigger_hints"],
+        "watchlist_matched_benign_hints": found["matched_benign_hints"],
+        "watchlist_trigger_completeness": found["trigger_completeness"],
+        "watchlist_match_strength": found["match_strength"],
+        "watchlist_scope_match": found["scope_matched"],
+        "watchlist_trigger_match": found["trigger_matched"],
+        "watchlist_context_only": found["context_only"],
+        "watchlist_linter_warnings": found["linter_warnings"],
     }
     return judged.select(
         *extra, *[from_match[name].alias(name) if name in from_match else F.col(name) for name in EVENT_COLUMNS]
@@ -78,7 +78,7 @@ def flat_events(judged: DataFrame, *extra: str) -> DataFrame:
 
 def triage_events(
     flows: DataFrame,
-    rules: list[matching.Rule],
+    rules: Watchlist | list[matching.Rule],
     *,
     enrich: Callable[[DataFrame], DataFrame] = routing.enrich_inline,
     apply_floor: bool = True,

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from netsift.operators import matching, matching_tables, routing, watchlist
+from netsift.operators import match, matching, matching_tables, routing, watchlist
 
 FLOW = "flow_id string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, ml_prob double, features map<string,string>, same_dst_port_count bigint"
 
@@ -53,13 +53,8 @@ TARGET = [{"ip": "10.0.0.5"}]
     ],
 )
 def test_strengths(spark, hints, kw, strength, completeness):
-    flows = flow(spark, **kw)
-    if any("2001" in str(h) for h in hints):  # the join form is IPv4 only for hint ranges
-        tables = watchlist.load_watchlist(watchlist.document_frame(spark, {"priority_1": [{"id": "A", "target_assets": TARGET, "detection_hints": hints}]}))
-        match = matching.match_watchlist(flows, matching.collect_rules(tables)).first()["match"]
-    else:
-        match = both(spark, flows, {"id": "A", "target_assets": TARGET, "detection_hints": hints})
-    assert (match["match_strength"], match["trigger_completeness"]) == (strength, completeness)
+    found = both(spark, flow(spark, **kw), {"id": "A", "target_assets": TARGET, "detection_hints": hints})
+    assert (found["match_strength"], found["trigger_completeness"]) == (strength, completeness)
 
 
 def test_groups_need_all_required(spark):
@@ -69,10 +64,10 @@ def test_groups_need_all_required(spark):
         "trigger_groups": [{"name": "a", "required": [hint("dst_port", "eq", 53)], "supporting": [hint("protocol", "eq", 6)], "min_supporting": 1},
                            {"name": "b", "required": [hint("dst_port", "eq", 443), hint("nope", "eq", 1)]}],
     }
-    match = both(spark, flow(spark), item)
-    assert match["match_strength"] == "asset_service" and match["trigger_completeness"] == "partial"
-    assert "unrecognized trigger hint: nope" in match["unmatched_trigger_hints"]
-    assert match["scope_conditions"][-1] == "src_ip in ['198.51.100.0/24']"
+    found = both(spark, flow(spark), item)
+    assert found["match_strength"] == "asset_service" and found["trigger_completeness"] == "partial"
+    assert "unrecognized trigger hint: nope" in found["unmatched_trigger_hints"]
+    assert found["scope_conditions"][-1] == "src_ip in ['198.51.100.0/24']"
 
 
 def test_best_item_prefers_strength_then_priority_then_order(spark):
@@ -93,11 +88,44 @@ def test_no_scope_no_match(spark):
     assert not both(spark, flow(spark, dst_ip="10.0.0.6"), {"id": "A", "target_assets": TARGET})["matched"]
 
 
-def test_too_large_watchlist_is_refused(spark):
-    items = [{"id": f"I{i}", "target_assets": TARGET} for i in range(matching.MAX_ITEMS + 1)]
-    tables = watchlist.load_watchlist(watchlist.document_frame(spark, {"priority_1": items}))
+def many_flows(spark):
+    """Flows of both families against a few ports."""
+    ips = ["10.0.0.5", "10.0.7.9", "2001:db8::5", "2001:DB8:0:1::9", "198.51.100.9", "fd00::1", "not an ip", "::ffff:10.0.0.5"]
+    rows = [(f"f{i}-{j}-{port}", a, b, 1, port, "6", 0.15, {}, 0) for i, a in enumerate(ips) for j, b in enumerate(ips) for port in (80, 443)]
+    zero = F.lit(0).cast("bigint")
+    return spark.createDataFrame(rows, FLOW).withColumns({c: zero for c in ("flow_count", "distinct_dst_count", "same_dst_count", "watchlist_hit_count", "recent_alert_count")})
+
+
+def test_both_forms_agree_on_both_families(spark):
+    items = [
+        {"id": "v6 range", "target_assets": [{"cidr": "2001:db8::/33"}], "detection_hints": [hint("dst_port", "eq", 443)]},
+        {"id": "v6 address", "target_assets": [{"ip": "fd00::1", "match": "src"}], "detection_hints": [hint("dst_ip", "in_cidr", ["2001:db8::/47", "10.0.0.0/21"])]},
+        {"id": "v4 range", "target_assets": [{"cidr": "10.0.0.0/16"}], "detection_hints": [hint("src_ip", "not_in_cidr", ["10.0.0.0/8", "2001:db8::/32"])]},
+        {"id": "everything", "target_assets": [{"cidr": "::/0", "match": "dst"}, {"cidr": "0.0.0.0/0", "match": "dst"}], "detection_hints": []},
+    ]
+    tables = watchlist.load_watchlist(watchlist.document_frame(spark, {"priority_2": items}))
+    flows = many_flows(spark)
+    one = {r["flow_id"]: r["match"] for r in match.match_flows(flows, tables).collect()}
+    two = {r["flow_id"]: r["match"] for r in match.joined_match(flows, tables).collect()}
+    assert one == two and {m["item_id"] for m in one.values()} == {"v6 range", "v6 address", "v4 range", "everything", None}
+
+
+def test_watchlist_of_any_size(spark):
+    """More items than the compiled form takes: the answer is that of the one item in scope."""
+    asked = {"id": "asked", "target_assets": TARGET, "detection_hints": [hint("dst_port", "eq", 443)]}
+    items = [{"id": f"I{i}", "target_assets": [{"ip": f"10.9.{i // 250}.{i % 250}"}]} for i in range(300)] + [asked]
+    large = watchlist.load_watchlist(watchlist.document_frame(spark, {"priority_1": items}))
     with pytest.raises(matching.WatchlistTooLarge):
-        matching.collect_rules(tables)
+        matching.collect_rules(large)
+    small = watchlist.load_watchlist(watchlist.document_frame(spark, {"priority_1": [asked]}))
+    flows = many_flows(spark)
+    one, two = ({r["flow_id"]: r["match"] for r in match.match_flows(flows, w).collect()} for w in (small, large))
+    assert one == two and any(m["matched"] for m in one.values())
+
+
+def test_item_numbers_do_not_meet(spark):
+    """Numbers of one priority never reach those of the next, however long the list."""
+    assert watchlist.ITEM_SPACING > 2**31 and matching.SEQ_SPACE > 3 * watchlist.ITEM_SPACING
 
 
 @pytest.mark.parametrize(

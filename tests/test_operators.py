@@ -47,6 +47,24 @@ def test_hot_sources_get_narrow_panes(spark):
     assert activity.with_pane_width(df, 600_000).agg(F.max("pane_ms")).first()[0] == 600_000
 
 
+def test_bursts_and_stray_rows_do_not_widen_panes(spark):
+    """3,000 flows in 30 s and one at time 0: no pane holds more than the bound."""
+    burst = spark.range(3000).select(F.lit("hot").alias("src_ip"), (F.col("id") * 10 + 600_000_000).alias("start_ms"))
+    rows = burst.union(spark.createDataFrame([("hot", 0), ("calm", 5)], "src_ip string, start_ms bigint"))
+    panes = activity.with_pane_width(rows, 10_800_000, pane_rows=100)
+    full = panes.groupBy("src_ip", F.floor(F.col("start_ms") / F.col("pane_ms")).alias("p")).count()
+    assert full.agg(F.max("count")).first()[0] <= 100
+    assert panes.filter("src_ip = 'calm'").first()["pane_ms"] == 10_800_000
+
+
+def test_untimed_flows_count_in_triage(spark):
+    """A flow without time sees all other rows of its source."""
+    rows = [("a", "s", "d", 1, "6", 1000), ("b", "s", "d", 1, "6", None), ("c", "s", "e", 1, "6", 2000), ("d", "t", "d", 1, "6", None)]
+    df = spark.createDataFrame(rows, "flow_id string, src_ip string, dst_ip string, dst_port int, protocol string, start_ms bigint")
+    got = {r["flow_id"]: (r["flow_count"], r["distinct_dst_count"], r["same_dst_count"]) for r in activity.with_activity(df, 180).collect()}
+    assert got == {"a": (0, 0, 0), "b": (2, 2, 1), "c": (1, 1, 0), "d": (0, 0, 0)}
+
+
 def test_prefix_rank_is_a_global_row_number(spark):
     df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v"))
     ranked = prefix_rank(df, cells={"c": F.floor(F.col("v") / 10)}, order=["v"], name="r")
