@@ -42,7 +42,7 @@ START, END = words.mix(np.array([0x53544152, 0x454E44], _U) << _U(8))  # no word
 
 def planes(values: np.ndarray) -> bytes:
     """Numbers as byte planes, which compress well when their high bytes agree."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def from_planes(data: bytes, kind) -> np.ndarray:
