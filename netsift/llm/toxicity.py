@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,19 +120,9 @@ class Trie:
         return node.entry and depth + len(rest) >= FUZZY_LENGTH
 
 
-_QUOTE = np.zeros(256, bool)
-_QUOTE[[0x22, 0xAB, 0xBB]] = True  # ", and the last bytes of the angle quotes
-_CURLY = np.array([0x9C, 0x9D, 0x9E, 0x9F], np.uint8)
-
-
-def quote_places(low: np.ndarray) -> np.ndarray:
-    """Byte places of straight, curly and angle quotation marks."""
-    marks = low == 0x22
-    if len(low) > 1:
-        marks[1:] |= (low[:-1] == 0xC2) & _QUOTE[low[1:]] & (low[1:] != 0x22)
-    if len(low) > 2:
-        marks[2:] |= (low[:-2] == 0xE2) & (low[1:-1] == 0x80) & np.isin(low[2:], _CURLY)
-    return np.flatnonzero(marks)
+def with_straight_quotes(texts: pa.Array) -> pa.Array:
+    """Curly and angle quotation marks as straight ones, so that they part words and set off hits as those do."""
+    return pc.replace_substring_regex(texts, "[\u201c\u201d\u201e\u00ab\u00bb]", '"')
 
 
 class Reader:
@@ -165,9 +156,11 @@ class Reader:
             return out
         doc = np.searchsorted(w.rows, at, "right") - 1
         lo, hi = np.maximum(at - WINDOW, w.rows[doc]), np.minimum(at + WINDOW, w.rows[doc + 1] - 1)
-        quotes = quote_places(w.low)
-        before = np.searchsorted(quotes, w.starts[at]) - np.searchsorted(quotes, w.starts[lo])
-        after = np.searchsorted(quotes, w.ends[hi]) - np.searchsorted(quotes, w.ends[at])
+        quotes = np.flatnonzero(w.low == 0x22)
+        left = np.where(lo > w.rows[doc], w.ends[lo - 1], w.bytes[doc])
+        right = np.where(hi + 1 < w.rows[doc + 1], w.starts[np.minimum(hi + 1, len(w.starts) - 1)], w.bytes[doc + 1])
+        before = np.searchsorted(quotes, w.starts[at]) - np.searchsorted(quotes, left)
+        after = np.searchsorted(quotes, right) - np.searchsorted(quotes, w.ends[at])
         told = np.concatenate([[0], np.cumsum(np.isin(w.hashes, self.reporting))])
         aims = np.concatenate([[0], np.cumsum(np.isin(w.hashes, self.second))])
         quoted = ((before > 0) & (after > 0)) | (told[at] - told[lo] > 0)
@@ -190,7 +183,7 @@ def lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(1).to_numpy() >= 0.5
-            for a, _, w in words.column_words(batch.column(0), words.ALNUM):
+            for a, _, w in words.column_words(with_straight_quotes(batch.column(0)), words.ALNUM):
                 h = w.hashes
                 row = w.row_of()
                 left, right = np.zeros_like(h), np.zeros_like(h)
@@ -258,7 +251,7 @@ def with_features(rows: DataFrame, entries: list[str], stems: list[str], passed:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(Trie(*sent.value))
         for batch in batches:
-            found = [reader.features(w) for _, _, w in words.column_words(batch.column(0), words.ALNUM)]
+            found = [reader.features(w) for _, _, w in words.column_words(with_straight_quotes(batch.column(0)), words.ALNUM)]
             flat = np.concatenate(found) if found else np.zeros((0, FEATURES))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array(list(flat), pa.list_(pa.float64()))], [passed, "features"]

@@ -54,24 +54,26 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``size`` bytes, of one row at least."""
+def pieces(offsets: np.ndarray, size: int = PIECE, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Row ranges of at most ``size`` bytes and ``rows`` rows, of one row at least."""
     at, n = 0, len(offsets) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
-        yield at, min(to, n)
-        at = min(to, n)
+        to = min(to, at + rows, n)
+        yield at, to
+        at = to
 
 
 @dataclass
 class Words:
-    """The words of some rows: byte borders in ``low`` (lower-cased bytes), hashes, and n + 1 offsets by row."""
+    """The words of some rows: byte borders in ``low`` (lower-cased bytes), hashes, n + 1 offsets by row, and those in bytes."""
 
     low: np.ndarray
     starts: np.ndarray
     ends: np.ndarray
     hashes: np.ndarray
     rows: np.ndarray
+    bytes: np.ndarray | None = None
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.rows) - 1), np.diff(self.rows))
@@ -122,7 +124,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = SPACED)
     before[filled] = False
     after[offsets[1:][np.diff(offsets) > 0] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
-    return Words(low, starts, ends, _hash_words(low, starts, ends), np.searchsorted(starts, offsets, "left"))
+    return Words(low, starts, ends, _hash_words(low, starts, ends), np.searchsorted(starts, offsets, "left"), offsets)
 
 
 def column_words(column: pa.Array, kind: np.ndarray = SPACED, size: int = PIECE) -> Iterator[tuple[int, int, Words]]:

@@ -86,7 +86,7 @@ def test_settings_of_hits():
 
     reader = X.Reader(X.Trie(["idiot", "trash"], []))
     texts = ["you are an idiot", 'he wrote "what an idiot" again', "he said idiot", "idi0t", "«idiot» here", "“idiot” here", "", "nothing at all"]
-    (_, _, w), = words.column_words(pa.array(texts), words.ALNUM)
+    (_, _, w), = words.column_words(X.with_straight_quotes(pa.array(texts)), words.ALNUM)
     got = reader.features(w) > 0
     plain, quoted, fuzzy, aimed = got[:, 0], got[:, 1], got[:, 4], got[:, 6]
     assert plain.tolist() == [True, False, False, False, False, False, False, False]
