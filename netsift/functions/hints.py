@@ -61,10 +61,8 @@ def hint_in(actual: Column, values: Column) -> Column:
 
 def hint_in_cidr(actual: Column, ranges: Column) -> Column:
     """``ranges`` is ARRAY<STRUCT<lo,hi,prefix>> of address keys; null entries are invalid ranges and skipped."""
-    value = net.ip_key(actual)
-    return F.coalesce(
-        F.exists(ranges, lambda r: F.coalesce(value.between(r["lo"], r["hi"]), F.lit(False))), F.lit(False)
-    )
+    inside = lambda key: F.exists(ranges, lambda r: F.coalesce(key.between(r["lo"], r["hi"]), F.lit(False)))
+    return F.coalesce(net.let(net.ip_key(actual), inside), F.lit(False))
 
 
 def hint_compare(actual: Column, operator: Column, expected: Column) -> Column:

@@ -33,7 +33,7 @@ V6_GROUPS = r"[0-9a-f]{1,4}(:[0-9a-f]{1,4})*"
 V6_TEXT = rf"^({V6_GROUPS})?(::({V6_GROUPS})?)?$"
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often it is named."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -44,7 +44,7 @@ def _v6_hex(ip: Column) -> Column:
     def plain(tail: Column) -> Column:
         as_groups = lambda n: F.concat_ws(":", F.lower(F.hex(F.floor(n / 65536))), F.lower(F.hex(F.pmod(n, F.lit(65536)))))
         head = F.substring(ip, F.lit(1), F.length(ip) - F.length(tail))
-        return F.lower(_let(ip_to_int(tail), lambda n: F.when(n.isNotNull(), F.concat(head, as_groups(n))).otherwise(ip)))
+        return F.lower(let(ip_to_int(tail), lambda n: F.when(n.isNotNull(), F.concat(head, as_groups(n))).otherwise(ip)))
 
     def sides(text: Column) -> Column:
         groups = lambda part: F.filter(F.split(F.split_part(text, F.lit("::"), F.lit(part)), ":"), lambda g: g != "")
@@ -59,7 +59,7 @@ def _v6_hex(ip: Column) -> Column:
         fits = F.when(s["short"], gap >= 1).otherwise(gap == 0)
         return F.when(fits, F.concat(wide(s["left"]), F.repeat(F.lit("0000"), gap), wide(s["right"])))
 
-    return _let(_let(_let(F.element_at(F.split(ip, ":"), -1), plain), sides), digits)
+    return let(let(let(F.element_at(F.split(ip, ":"), -1), plain), sides), digits)
 
 
 def ip_key(ip: Column) -> Column:
@@ -75,7 +75,7 @@ def masked_key(key: Column, prefix: Column, fill: str = "0") -> Column:
     step = F.element_at(F.array(*[F.lit(n) for n in (16, 8, 4, 2)]), rest + 1)
     edge = lambda digit: digit - F.pmod(digit, step) + (F.lit(0) if fill == "0" else step - 1)
     digit = F.conv(F.substring(key, nibbles + 2, F.lit(1)), 16, 10).cast("int")
-    last = _let(digit, lambda d: F.lower(F.hex(edge(d).cast("bigint"))))
+    last = let(digit, lambda d: F.lower(F.hex(edge(d).cast("bigint"))))
     cut = F.concat(F.substring(key, F.lit(1), nibbles + 1), F.when(rest > 0, last).otherwise(F.lit("")))
     return F.rpad(cut, F.length(key), F.lit(fill))
 
@@ -97,7 +97,7 @@ def cidr_bounds(cidr: Column) -> Column:
     given = F.when(cidr.contains("/"), F.when(length.rlike("^[0-9]{1,3}$"), length.cast("int")).otherwise(-1))
     good = F.when(cidr.contains(":"), True).otherwise(cidr.rlike(CIDR4_PATTERN))
     parts = F.struct(ip_key(F.split_part(cidr, F.lit("/"), F.lit(1))).alias("key"), given.alias("prefix"), good.alias("good"))
-    return _let(F.when(cidr.isNotNull(), parts), bounds)
+    return let(F.when(cidr.isNotNull(), parts), bounds)
 
 
 def parse_range(cidr: str) -> tuple[int, int] | None:
@@ -133,7 +133,7 @@ def in_cidrs(ip: Column, ranges: list[str], number: Column | None = None) -> Col
         if network.version == 6:
             known.append(tuple(f"{int(end):032x}" for end in (network.network_address, network.broadcast_address)))
     if known:
-        inside = _let(_v6_hex(ip), lambda v: reduce(or_, [v.between(*ends) for ends in known]))
+        inside = let(_v6_hex(ip), lambda v: reduce(or_, [v.between(*ends) for ends in known]))
         test = test | F.coalesce(F.when(ip.contains(":"), inside), F.lit(False))
     return test
 
