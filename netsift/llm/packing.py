@@ -38,7 +38,7 @@ LEAST_CUT = 32
 FAN_IN = 64
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-REMEMBER = 3_000_000
+REMEMBER = 1_000_000
 JOINED = 200
 
 PIECE_COLUMNS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

@@ -27,6 +27,7 @@ DIMS = 4096
 RANK = 64
 FIT_ROWS = 4096
 NEIGHBOURS = 24
+BLOCK_ROWS = 512
 POWER = 4
 THRESHOLD = 0.3
 FOLDS = 5
@@ -54,7 +55,7 @@ def term_counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
     """
     half = DIMS // 2
     data, offsets = words.text_bytes(column)
-    for a, b in words.pieces(offsets, 1 << 20):
+    for a, b in words.pieces(offsets, 1 << 20, BLOCK_ROWS):
         raw = data[offsets[a] : offsets[b]]
         own = offsets[a : b + 1] - offsets[a]
         counts = np.zeros((b - a, DIMS + 2), np.float32)
@@ -151,18 +152,25 @@ def fit(docs: DataFrame, known: DataFrame, text_col: str = "text", id_col: str =
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, counts in term_counts(batch.column(0)):
+                small = np.minimum(counts, np.iinfo(np.uint16).max).astype(np.uint16)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c.tobytes() for c in counts], pa.binary()), batch.column(1).slice(a, b - a)], ["counts", "label"]
+                    [pa.array([c.tobytes() for c in small], pa.binary()), batch.column(1).slice(a, b - a)], ["counts", "label"]
                 )
 
     got = sample.mapInArrow(counted, "counts binary, label double").toArrow()  # at most FIT_ROWS rows
-    counts = np.frombuffer(b"".join(got.column(0).to_pylist()), np.float32).reshape(-1, DIMS + 2)
+    x = np.zeros((len(got), DIMS + 2), np.float32)
+    at = 0
+    for batch in got.to_batches(max_chunksize=256):
+        counts = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16).reshape(-1, DIMS + 2)
+        x[at : at + len(counts)] = weighted(counts.astype(np.float32), weights)
+        at += len(counts)
     target = got.column(1).to_numpy()
-    filled = counts.any(axis=1)
-    counts, target = counts[filled], target[filled]
+    del got
+    filled = x.any(axis=1)
+    if not filled.all():
+        x, target = x[filled], target[filled]
     if not len(target):
         return Model(weights, np.zeros((DIMS + 2, 1), np.float32), np.zeros((0, 1), np.float32), target)
-    x = weighted(counts, weights)
     project = leading_vectors(x, min(RANK, len(x)))
     return Model(weights, project, _unit(x @ project), target)
 
