@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -211,7 +212,7 @@ def corpus_size(rows: DataFrame, buckets: int) -> tuple[int, int]:
     def unigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, kept, total = [], 0, 0
         for batch in batches:
-            texts = batch.column(0).filter(pa.compute.invert(batch.column(1)))
+            texts = batch.column(0).filter(pc.invert(batch.column(1)))
             for _, _, w in words.column_words(texts):
                 total += len(w.hashes) + len(w.rows) - 1
                 held.append(np.unique(w.hashes))
@@ -302,9 +303,9 @@ def score_texts(
             for b, k, mine, counts in parts:
                 totals = sums[back[at : at + len(mine)]]
                 at += len(mine)
-                changed = totals != counts
-                if changed.any():
-                    out.append((bucket, b, k, pack_keys(mine[changed]), planes(totals[changed])))
+                changed = np.flatnonzero(totals != counts)
+                if len(changed):  # as places among the keys that the block has sent
+                    out.append((bucket, b, k, pack_keys(changed.astype(_U)), planes(totals[changed])))
         return _table(out, ["bucket", "block", "level", "keys", "counts"])
 
     shape = "bucket int, block int, level int, keys binary, counts binary"
@@ -315,8 +316,9 @@ def score_texts(
         held = table.column("held_out").to_numpy()
         block = Block(table.column("text"), order)
         counts = {k: block.counts(k, ~held) for k in range(1, order + 1)}
-        for k, keys, totals in zip(*(answers.column(c).to_pylist() for c in ("level", "keys", "counts")), strict=True):
-            counts[k][np.searchsorted(block.keys[k], unpack_keys(keys))] = from_planes(totals, np.int64)
+        first = {k: np.searchsorted(block.keys[k], _edges(buckets)) for k in block.keys}
+        for b, k, places, totals in zip(*(answers.column(c).to_pylist() for c in ("bucket", "level", "keys", "counts")), strict=True):
+            counts[k][first[k][b] + unpack_keys(places).astype(np.int64)] = from_planes(totals, np.int64)
         model = Automaton(block, counts, order, total, distinct, mu)
         text = np.repeat(np.arange(len(held)), np.diff(block.rows))
         token = block.at[1]
