@@ -82,8 +82,7 @@ def hint_matches(actual: Column, operator: Column, is_list: Column, values: Colu
     return (
         F.when((operator == "in") & is_list, hint_in(actual, values))
         .when(operator.isin("not_in", "nin") & is_list, ~hint_in(actual, values))
-        .when((operator == "in_cidr") & is_list, hint_in_cidr(actual, ranges))
-        .when((operator == "not_in_cidr") & is_list, ~hint_in_cidr(actual, ranges))
+        .when(operator.isin("in_cidr", "not_in_cidr") & is_list, hint_in_cidr(actual, ranges) == (operator == "in_cidr"))
         .when((operator == "eq") & ~is_list, hint_eq(actual, scalar))
         .when(operator.isin("gt", "gte", "lt", "lte") & ~is_list, hint_compare(actual, operator, scalar))
         .otherwise(F.lit(False))
