@@ -31,8 +31,8 @@ from netsift.llm import labels, registry, words
 
 ORDER = 2
 MU = 200.0
-BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+BUCKET_BYTES = 8 << 20
 SEGMENT = 512
 FOLDS, HELD_OUT = 7, 2
 
@@ -217,9 +217,9 @@ def corpus_size(rows: DataFrame, buckets: int) -> tuple[int, int]:
                 total += len(w.hashes) + len(w.rows) - 1
                 held.append(np.unique(w.hashes))
                 kept += len(held[-1])
-                if kept > 4_000_000:
+                if kept > 1_000_000:
                     held = [np.unique(np.concatenate(held))]
-                    if len(held[0]) > 2_000_000:
+                    if len(held[0]) > 500_000:
                         yield from _split(held[0], total, buckets)
                         held, total = [], 0
                     kept = sum(map(len, held))
