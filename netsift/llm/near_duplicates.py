@@ -13,8 +13,8 @@ An empty bucket takes the next filled one of its hash.
    component are implied, those between two are verified.
 4. Buckets that still hold more than one component are swept, sorted by set size, for pairs of different components with
    fitting sizes and estimate. The sweep gives no pairs but the classes concerned, and which components are in reach of
-   each other (a spanning forest). A bucket of more than ``BUCKET`` classes is first cut into the sub-buckets of its
-   other bands, where linked pairs meet with the same certainty.
+   each other (a spanning forest). A bucket of more than ``BUCKET`` classes is dealt into cells by set size and hash, and
+   cells are swept two by two, so all its pairs still meet.
 5. Components in reach of each other are a family. The classes concerned of a family are compared all with all, by
    products of their incidence matrices, in groups of two chunks of about ``CHUNK``; a group gives at most the links that
    join its components. So copies cost rows in proportion to their number, and no link between different texts is dropped.
@@ -30,6 +30,7 @@ are told apart by their sets. Repeated rows are copies of each other. An empty t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -243,44 +244,75 @@ def components(links: DataFrame, work: Work) -> DataFrame:
             return labels
 
 
-def in_reach(bands: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """From buckets of several components: (0, node, its label) of classes with a candidate in another component, and
-    (1, label, label) of components in reach of each other."""
+def swept(bands: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(key, node, label, part) of the groups to sweep: buckets of several components, wide ones in parts."""
     named = bands.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     counted = lambda frame: frame.groupBy("key").agg(
         F.count(F.lit(1)).alias("m"), F.min("label").alias("low"), F.max("label").alias("high")
     ).where("low <> high").select("key", "m")
     rows = named.join(counted(named), "key")
-    wide = rows.where(F.col("m") > BUCKET).select("key", "node", "label")
-    again = banded(classes).select(F.col("key").alias("other"), "node")
-    cut = wide.join(again, "node").select(F.xxhash64("key", "other").alias("key"), "node", "label")
-    cut = cut.join(counted(cut), "key")
-    rows = rows.where(F.col("m") <= BUCKET).select("key", "node", "label").union(cut.select("key", "node", "label"))
-    rows = rows.join(classes.select("node", "n", "registers"), "node").select("key", "n", "node", "label", "registers")
+    narrow = rows.where(F.col("m") <= BUCKET).select("key", "node", "label", F.lit(-1).alias("part"))
+    return narrow.union(dealt(rows.where(F.col("m") > BUCKET).select("key", "node", "label"), classes, percent))
+
+
+def dealt(wide: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(key, node, label, part) of the rows of wide buckets, in groups of two cells; every two rows that need a comparison meet.
+
+    A cell holds about half of BUCKET, of one range of set sizes; rows of fitting size are in one range or two neighbouring
+    ones. A component that fills a cell has cells of its own, and two cells of one component are no group. Part 0 is
+    compared with part 1; a cell that is grouped with itself has part -1.
+    """
+    step = math.log(100 / percent) + 1e-6
+    rows = wide.join(classes.select("node", F.floor(F.log("n") / step).alias("range")), "node")
+    rows = rows.join(rows.groupBy("key", "range", "label").agg(F.count(F.lit(1)).alias("alike")), ["key", "range", "label"])
+    rows = rows.withColumn("own", F.when(F.col("alike") > BUCKET // 2, F.col("label"))).withColumn("alone", F.col("own").isNotNull())
+    rows = rows.withColumn("own", F.coalesce("own", F.lit(0)))
+    split = rows.groupBy("key", "range", "alone", "own").agg(F.ceil(F.count(F.lit(1)) * 2 / BUCKET).alias("cells"))
+    rows = rows.join(split, ["key", "range", "alone", "own"])
+    cell = F.struct("alone", "own", F.pmod(F.xxhash64("node"), F.col("cells")).alias("k")).alias("cell")
+    rows = rows.select("key", "range", cell, "node", "label")
+    cells = rows.groupBy("key", "range", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    one = cells.select("key", *(F.col(c).alias(f"{c}_1") for c in ("range", "cell", "low", "high")))
+    one = one.withColumn("range", F.explode(F.array(F.col("range_1"), F.col("range_1") + 1)))
+    met = one.join(cells, ["key", "range"]).where("range <> range_1 or cell_1 <= cell")
+    met = met.where("least(low, low_1) <> greatest(high, high_1)")
+    same = (F.col("range") == F.col("range_1")) & (F.col("cell") == F.col("cell_1"))
+    side = lambda r, c, part: F.struct(F.col(r).alias("range"), F.col(c).alias("cell"), F.lit(part).alias("part"))
+    sides = F.when(same, F.array(side("range", "cell", -1))).otherwise(F.array(side("range_1", "cell_1", 0), side("range", "cell", 1)))
+    met = met.select("key", F.xxhash64("key", "range_1", "cell_1", "range", "cell").alias("group"), F.explode(sides).alias("s"))
+    met = met.select("key", "group", "s.range", "s.cell", "s.part")
+    return rows.join(met, ["key", "range", "cell"]).select(F.col("group").alias("key"), "node", "label", "part")
+
+
+def in_reach(bands: DataFrame, classes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """From buckets of several components: (0, node, its label) of classes with a candidate in another component, and
+    (1, label, label) of components in reach of each other."""
+    rows = swept(bands, classes, labels, percent)
+    rows = rows.join(classes.select("node", "n", "registers"), "node").select("key", "n", "node", "label", "part", "registers")
     ordered = rows.repartition("key").sortWithinPartitions("key", "n", "node")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keeps the rows of one bucket whose sizes can still fit; ``reach`` names what is connected so far."""
         now = None
-        sizes, nodes, held, reach, regs = (np.zeros(0, np.int64) for _ in range(5))
+        sizes, nodes, held, reach, parts, regs = (np.zeros(0, np.int64) for _ in range(6))
         for batch in batches:
             if not len(batch):
                 continue
-            key, n, node, label = (batch.column(k).to_numpy() for k in range(4))
-            own = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            key, n, node, label, part = (batch.column(k).to_numpy() for k in range(5))
+            own = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(-1, REGISTERS)
             out: set[tuple[int, int, int]] = set()
             borders = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
             for a, z in zip(borders[:-1], borders[1:], strict=True):
                 if key[a] != now:
-                    now, sizes, nodes, held, reach, regs = key[a], n[:0], node[:0], label[:0], label[:0], own[:0]
+                    now, sizes, nodes, held, reach, parts, regs = key[a], n[:0], node[:0], label[:0], label[:0], part[:0], own[:0]
                 fits = sizes * 100 >= percent * n[a]
                 known = dict(zip(held.tolist(), reach.tolist(), strict=True))
                 sizes, nodes, held = np.append(sizes[fits], n[a:z]), np.append(nodes[fits], node[a:z]), np.append(held[fits], label[a:z])
                 reach = np.append(reach[fits], [known.get(x, x) for x in label[a:z].tolist()]).astype(np.int64)
-                regs = np.concatenate([regs[fits], own[a:z]])
+                parts, regs = np.append(parts[fits], part[a:z]), np.concatenate([regs[fits], own[a:z]])
                 marked = np.zeros(len(sizes), bool)
                 for k in range(len(sizes) - (z - a), len(sizes)):
-                    at = np.flatnonzero(held[:k] != held[k])
+                    at = np.flatnonzero((held[:k] != held[k]) & ((parts[:k] != parts[k]) | (parts[k] < 0)))
                     if len(at):
                         equal = (regs[at] == regs[k]).sum(axis=1)
                         at = at[passes(equal, sizes[at], np.full(len(at), sizes[k]), percent)]

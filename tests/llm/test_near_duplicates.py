@@ -93,3 +93,37 @@ def test_estimate_is_fair():
             n = np.array([size])
             errors.append(N.estimated(np.array([(regs[0] == regs[1]).sum()]), n, n)[0] - both / (2 * size - both))
         assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.1
+
+
+def test_wide_buckets_are_dealt_whole(spark, monkeypatch):
+    """No group of a wide bucket holds much more than BUCKET rows, and all pairs of fitting size from two components meet."""
+    monkeypatch.setattr(N, "BUCKET", 40)
+    rng = random.Random(3)
+    sizes = [rng.choice([1, 2, 50, 60, 61, 75, 100, 101, 170, 200]) for _ in range(400)]
+    names = [7 if k < 250 else 1000 + k // 2 for k in range(400)]
+    rows = [(k, sizes[k], bytes(512)) for k in range(400)]
+    classes = spark.createDataFrame(rows, "node bigint, n bigint, registers binary")
+    bands = spark.createDataFrame([(1, k) for k in range(400)] + [(2, k) for k in range(240, 260)], "key bigint, node bigint")
+    labels = spark.createDataFrame(list(enumerate(names)), "node bigint, label bigint")
+    groups = {}
+    for key, node, label, part in N.swept(bands, classes, labels, 85).select("key", "node", "label", "part").collect():
+        assert label == names[node]
+        groups.setdefault(key, []).append((node, part))
+    assert max(map(len, groups.values())) <= 80
+    met = {(a, b) for g in groups.values() for a, p in g for b, q in g if p != q or p < 0}
+    wanted = {
+        (a, b) for a in range(400) for b in range(400)
+        if names[a] != names[b] and 100 * min(sizes[a], sizes[b]) >= 85 * max(sizes[a], sizes[b])
+    }
+    assert wanted <= met
+
+
+def test_one_other_class_leaves_no_whole_bucket(spark, monkeypatch):
+    """A wide bucket of one component and a single class of another: rows stay in proportion, no group holds it whole."""
+    monkeypatch.setattr(N, "BUCKET", 40)
+    classes = spark.createDataFrame([(k, 100, bytes(512)) for k in range(800)], "node bigint, n bigint, registers binary")
+    bands = spark.createDataFrame([(1, k) for k in range(800)], "key bigint, node bigint")
+    labels = spark.createDataFrame([(k, 0 if k else 5) for k in range(800)], "node bigint, label bigint")
+    rows = N.swept(bands, classes, labels, 85)
+    assert rows.groupBy("key").count().agg({"count": "max"}).first()[0] <= 80
+    assert 800 <= rows.count() <= 2 * 800
