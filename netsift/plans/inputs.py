@@ -323,7 +323,7 @@ VIEWS["indicators"] = (
         "tags": "CASE c_mktsegment WHEN 'BUILDING' THEN 'vpn-bruteforce' WHEN 'AUTOMOBILE' THEN 'database-scanner' "
         "WHEN 'MACHINERY' THEN 'web-rce-scanner' ELSE 'generic' END",
     },
-    "WHERE c_acctbal < 0",
+    "",
 )
 
 TABLES = [

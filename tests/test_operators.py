@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netsift import session
 from netsift.operators import activity, learning, summary, tables, verdicts
 from netsift.operators.ranks import lower_quantiles, prefix_rank, rank_by_value
+from netsift.plans import inputs
 from netsift.session import shared_folder
 from netsift.sources import context, flows
 
@@ -173,3 +174,7 @@ def test_shared_folder_follows_the_session(spark, monkeypatch):
     monkeypatch.setattr(session, "CHECKPOINT_KEY", "spark.checkpoint.unset")
     first = shared_folder(spark)
     assert first == shared_folder(spark) and "netsift-" in first
+
+
+def test_every_customer_is_an_indicator(spark, data):
+    assert inputs.view(spark, data, "indicators").count() == inputs.table(spark, data, "customer").count()
