@@ -30,6 +30,7 @@ def drain(spark, sf, checkpoint, handle, *, name="flows", change=None, hold=None
     rows = change(rows) if change else rows
     for n, (lo, hi) in enumerate(zip(THIRDS, THIRDS[1:])):
         part = (F.col("start_ms") >= lo) & (F.col("start_ms") < hi)
+        part = F.coalesce(part, F.lit(n == len(THIRDS) - 2))  # flows without a time come last
         if hold is not None:
             part = (part & ~hold) | (hold if n == len(THIRDS) - 2 else F.lit(False))
         rows.filter(part).write.mode("overwrite").parquet(f"{folder}/part={n}")
@@ -61,7 +62,7 @@ def stream_activity(spark, sf):
     """In-order input: the stream must give what the batch form gives."""
     columns = ["flow_id", "flow_count", "distinct_dst_count", "same_dst_count", "same_dst_port_count"]
     base = _run_activity(spark, sf, lambda b: lambda df, n: ingest.write_batch(df.select(*columns), n, f"{b}/out"), 1440)
-    return spark.read.parquet(f"{base}/out").select(*columns)
+    return ingest.current(spark.read.parquet(f"{base}/out"), "flow_id").select(*columns)
 
 
 @query("stream_triage", inputs.ansi("SELECT route, verdict, strength AS match_strength, count(*) AS n FROM events_out GROUP BY ALL", "flows", extra=route_ctes()))
@@ -78,7 +79,7 @@ def stream_triage(spark, sf):
         return handle
 
     base = _run_activity(spark, sf, then)
-    stored = spark.read.parquet(f"{base}/events")
+    stored = ingest.current(spark.read.parquet(f"{base}/events"), "flow_id")
     return stored.groupBy("route", "verdict", F.col("watchlist_match_strength").alias("match_strength")).agg(F.count("*").alias("n"))
 
 

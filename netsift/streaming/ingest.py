@@ -69,15 +69,28 @@ def current(log: DataFrame, key: str, *order: str) -> DataFrame:
     return tables.keep_last(log, key, ["batch_id", *order]).drop("batch_id")
 
 
-def _stored(spark: SparkSession, path: str, schema: StructType, since_ms: int, batch_id: int) -> DataFrame:
-    """Flows of earlier batches inside the lookback; only their hour folders are read."""
+def _log(spark: SparkSession, path: str, schema: StructType, batch_id: int) -> DataFrame:
+    """Stored flows up to a batch, with their batch_id and hour."""
     stored_schema = StructType(schema.fields).add("batch_id", "integer").add("hour", "long")
-    return (
-        spark.read.schema(stored_schema)
-        .parquet(path)
-        .filter((F.col("batch_id") < batch_id) & (F.col("hour") >= since_ms // HOUR_MS) & (F.col("start_ms") >= since_ms))
-        .select(*schema.fieldNames())
-    )
+    return spark.read.schema(stored_schema).parquet(path).filter(F.col("batch_id") <= batch_id)
+
+
+def _stored(spark: SparkSession, path: str, schema: StructType, since_ms: int, batch_id: int) -> DataFrame:
+    """Timed flows inside the lookback; only their hour folders are read."""
+    return _log(spark, path, schema, batch_id).filter((F.col("hour") >= since_ms // HOUR_MS) & (F.col("start_ms") >= since_ms))
+
+
+def _last_versions(rows: DataFrame, log: DataFrame) -> DataFrame:
+    """Rows whose flow was not sent again in a later batch; of the log only ids and batches are read."""
+    last = log.groupBy("flow_id").agg(F.max("batch_id").alias("last_batch"))
+    kept = rows.join(last, "flow_id", "left").filter(F.coalesce(F.col("batch_id") == F.col("last_batch"), F.lit(True)))
+    return kept.drop("last_batch", "batch_id", "hour")
+
+
+def _once(batch: DataFrame) -> DataFrame:
+    """One row per flow id, the one with the latest time; rows without id stay."""
+    named = batch.filter(F.col("flow_id").isNotNull())
+    return tables.keep_last(named, "flow_id", ["start_ms"]).select(*batch.columns).unionByName(batch.filter(F.col("flow_id").isNull()))
 
 
 def activity_batches(
@@ -91,26 +104,33 @@ def activity_batches(
     """A foreachBatch handler: stores the flows, adds their recent activity, hands them on.
 
     A late flow still counts for flows that arrive after it, and never changes
-    results written before. Rows older than the newest stored time minus the
+    results written before. A flow without a time sees every stored row of its source. A flow that is sent again is
+    handed on again and replaces its earlier version in all later counts. Rows older than the newest stored time minus the
     allowed lateness are copied to ``late_path``.
     """
     window_ms = window_minutes * activity.MINUTE_MS
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        write_batch(batch.withColumn("hour", F.floor(F.col("start_ms") / HOUR_MS)), batch_id, flows_path, "hour")
+        write_batch(_once(batch).withColumn("hour", F.floor(F.col("start_ms") / HOUR_MS)), batch_id, flows_path, "hour")
         mine = spark.read.schema(batch.schema).parquet(f"{flows_path}/batch_id={batch_id}").select(*batch.columns)
-        span = mine.agg(F.min("start_ms").alias("lo"), F.max("start_ms").alias("hi")).first()
-        if span["lo"] is None:
+        span = mine.agg(F.min("start_ms").alias("lo"), F.count("start_ms").alias("timed"), F.count("*").alias("n")).first()
+        if span["n"] == 0:
             return
-        earlier = _stored(spark, flows_path, batch.schema, span["lo"] - window_ms, batch_id)
-        if lateness_minutes is not None and late_path is not None:
-            newest = _stored(spark, flows_path, batch.schema, 0, batch_id).agg(F.max("start_ms").alias("m")).first()["m"]
-            if newest is not None:
-                cut = newest - lateness_minutes * activity.MINUTE_MS
-                write_batch(mine.filter(F.col("start_ms") < cut), batch_id, late_path)
-        both = earlier.withColumn("_mine", F.lit(False)).unionByName(mine.withColumn("_mine", F.lit(True)))
-        counts = activity.trailing_counts(both, window_ms)
+        log = _log(spark, flows_path, batch.schema, batch_id)
+        parts = []
+        if span["timed"]:
+            if lateness_minutes is not None and late_path is not None:
+                newest = _stored(spark, flows_path, batch.schema, 0, batch_id - 1).agg(F.max("start_ms").alias("m")).first()["m"]
+                if newest is not None:
+                    cut = newest - lateness_minutes * activity.MINUTE_MS
+                    write_batch(mine.filter(F.col("start_ms") < cut), batch_id, late_path)
+            recent = _stored(spark, flows_path, batch.schema, span["lo"] - window_ms, batch_id)
+            parts.append(activity.trailing_counts(_last_versions(recent, log), window_ms))
+        if span["n"] > span["timed"]:
+            sources = mine.filter(F.col("start_ms").isNull()).select("src_ip").distinct()
+            parts.append(activity.untimed_counts(_last_versions(log.join(sources, "src_ip", "left_semi"), log)))
+        counts = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         then(mine.join(counts, "flow_id"), batch_id)
 
     return handle
