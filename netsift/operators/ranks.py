@@ -9,6 +9,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netsift.session import run_folder
+from netsift.sources.sinks import settle
+
+
+def range_rank(df: DataFrame, order: list, name: str = "rank", keys: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """Adds the 1-based rank over ``order`` (inside ``keys``, if given) and with ``total`` how many rows were ranked there.
+
+    Rows are dealt into ranges of about equal size, whose borders Spark takes from a sample of the rows. The sorted ranges are
+    stored once, so that their numbers stay as they are, and each range starts after the counts of all earlier ones: a
+    sum over as many rows as there are ranges. Equal rows are told apart by their place in the input, so one value, one
+    key or one repeated row may hold any share of the rows and still spreads over many ranges.
+    """
+    keys = keys or []
+    spark = df.sparkSession
+    placed = df.withColumn("_tie", F.monotonically_increasing_id())
+    by = [*keys, *order, "_tie"]
+    sorted_ranges = placed.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
+    stored = settle(sorted_ranges.withColumn("_at", F.monotonically_increasing_id()), run_folder(spark, "ranks"))
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    ranked = stored.withColumn("_part", part).join(F.broadcast(starts), "_part")  # one row per range
+    ranked = ranked.withColumn(name, F.col("_start") + place + 1)
+    if keys:
+        named = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+        spans = ranked.groupBy(*named).agg((F.min(name) - 1).alias("_first"), F.count("*").alias("_of"))
+        ranked = ranked.join(spans, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+        ranked = ranked.withColumn(name, F.col(name) - F.col("_first"))
+    if total:
+        ranked = ranked.withColumn(total, F.col("_of") if keys else F.col("_all"))
+    return ranked.select(*df.columns, name, *([total] if total else []))
+
 
 def prefix_rank(
     df: DataFrame,
