@@ -22,6 +22,9 @@ MODULES: list[str] = [
     "packing",
     "near_duplicates",
     "language_model",
+    "spelling",
+    "prefix_trie",
+    "simhash",
 ]
 
 

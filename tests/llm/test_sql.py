@@ -23,5 +23,5 @@ def test_query_matches_sql(name, spark):
     assert rows_of(frame.columns, frame.collect()) == rows_of(columns, result.fetchall())
 
 
-def test_ten_operators():
-    assert {name.split("_")[0] for name in registry.QUERIES} == {f"op{k}" for k in range(1, 11)}
+def test_all_operators():
+    assert {name.split("_")[0] for name in registry.QUERIES} == {f"op{k}" for k in range(1, 14)}
