@@ -1,4 +1,4 @@
-"""Training and scoring with Spark ML, and the metrics around it."""
+"""Training frames: features, encodings, splits, and the metrics of scored rows."""
 
 from __future__ import annotations
 
@@ -95,18 +95,6 @@ def validate_training_frame(rows: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
-def check_contract(metadata: dict) -> None:
-    """A scoring model must have been trained on the current feature contract."""
-    wanted = {
-        "feature_order": K.FEATURE_ORDER,
-        "categorical_features": K.CATEGORICAL_FEATURES,
-        "excluded_features": K.EXCLUDED_FEATURES,
-    }
-    failed = [name for name, value in wanted.items() if metadata.get(name) != value]
-    if failed:
-        raise ValueError("model metadata does not match the feature contract: " + ", ".join(failed))
-
-
 # --- splits ------------------------------------------------------------------------
 
 
@@ -348,124 +336,3 @@ def multiclass_metrics(predicted: DataFrame, label: str = "family", guess: str =
 
 def confusion_matrix(predicted: DataFrame, label: str = "family", guess: str = "predicted") -> DataFrame:
     return predicted.groupBy(F.col(label).alias("actual")).pivot(guess, K.FAMILIES).agg(F.count(F.lit(1))).na.fill(0)
-
-
-# --- models ----------------------------------------------------------------------
-
-
-def with_class_weight(rows: DataFrame, label: str = "Label") -> DataFrame:
-    """Attack rows weigh negatives / positives of the train split."""
-    counts = rows.filter(F.col("split") == "train").agg(
-        F.count_if(F.col(label) == 0).alias("_neg"), F.greatest(F.lit(1), F.count_if(F.col(label) == 1)).alias("_pos")
-    )
-    weight = F.when(F.col(label) == 1, F.col("_neg") / F.col("_pos")).otherwise(1.0)
-    return rows.join(F.broadcast(counts), how="cross").withColumn("weight", weight).drop("_neg", "_pos")  # one row
-
-
-def train_binary(matrix: DataFrame, *, rounds: int = 20, depth: int = 5, step: float = 0.1, seed: int = 42):
-    """Boosted trees with class weights; the validation split stops training early."""
-    from pyspark.ml.classification import GBTClassifier
-
-    used = with_class_weight(matrix.filter(F.col("split").isin("train", "validation"))).withColumn(
-        "is_validation", F.col("split") == "validation"
-    )
-    model = GBTClassifier(
-        featuresCol="x", labelCol="Label", weightCol="weight", validationIndicatorCol="is_validation",
-        maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.9, featureSubsetStrategy="all", seed=seed,
-    )
-    return model.fit(used)
-
-
-def score_binary(model, matrix: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    raw = vector_to_array(F.col("probability")).getItem(1)
-    prob = F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw))
-    scored = model.transform(matrix).withColumn("prob", prob)
-    return scored.withColumns(
-        {
-            "category_hint": F.when(F.col("prob") >= 0.5, "malicious").otherwise("benign"),
-            "category_confidence": F.greatest(F.col("prob"), 1 - F.col("prob")),
-        }
-    ).drop("rawPrediction", "probability", "prediction")
-
-
-def train_family(matrix: DataFrame, *, trees: int = 20, depth: int = 6, seed: int = 42):
-    """A forest over the attack families, numbered in fixed order."""
-    from pyspark.ml.classification import RandomForestClassifier
-
-    numbered = matrix.withColumn("family_index", F.array_position(F.array(*[F.lit(f) for f in K.FAMILIES]), F.col("family")) - 1)
-    forest = RandomForestClassifier(featuresCol="x", labelCol="family_index", numTrees=trees, maxDepth=depth, seed=seed)
-    return forest.fit(numbered.withColumn("family_index", F.col("family_index").cast("double")))
-
-
-def score_family(model, matrix: DataFrame) -> DataFrame:
-    """Most likely family and its probability; without a model nothing is evaluated."""
-    if model is None:
-        return matrix.withColumns({"category_hint": F.lit("not_evaluated"), "category_confidence": F.lit(0.0)})
-    from pyspark.ml.functions import vector_to_array
-
-    scored = model.transform(matrix).withColumn("_p", vector_to_array(F.col("probability")))
-    best = F.array_max("_p")
-    names = F.array(*[F.lit(f) for f in K.FAMILIES])
-    return scored.withColumns(
-        {
-            "category_hint": F.element_at(names, F.array_position("_p", best).cast("int")),
-            "category_confidence": F.greatest(F.lit(0.0), F.least(F.lit(1.0), best)),
-        }
-    ).drop("_p", "rawPrediction", "probability", "prediction")
-
-
-def _tree_arrays(node, columns: list) -> int:
-    """Flattens one fitted tree into parallel lists; returns the index of the node."""
-    index = len(columns)
-    columns.append([-1, 0.0, -1, -1, float(node.prediction())])
-    if node.getClass().getSimpleName() == "InternalNode":
-        split = node.split()
-        columns[index][0] = split.featureIndex()
-        columns[index][1] = float(split.threshold())
-        columns[index][2] = _tree_arrays(node.leftChild(), columns)
-        columns[index][3] = _tree_arrays(node.rightChild(), columns)
-    return index
-
-
-def explain_scores(model, matrix: DataFrame, features: list[str], limit: int = 5) -> DataFrame:
-    """Adds ``attributions``: how much each feature moved the score along the tree paths.
-
-    The change of the node value at every split is credited to its feature;
-    the model's trees travel to the tasks as small arrays.
-    """
-    import numpy as np
-    import pandas as pd
-    from pyspark.ml.functions import vector_to_array
-
-    trees = []
-    for tree in model.trees:
-        nodes: list = []
-        _tree_arrays(tree._java_obj.rootNode(), nodes)
-        trees.append(np.array(nodes))
-    weights = list(model.treeWeights)
-
-    def credit(batches):
-        for batch in batches:
-            x = np.array(batch["xs"].tolist(), dtype="float64").reshape(len(batch), -1)
-            total = np.zeros_like(x)
-            for nodes, weight in zip(trees, weights, strict=True):
-                at = np.zeros(len(x), dtype="int64")
-                active = nodes[at, 0] >= 0
-                while active.any():
-                    rows = np.nonzero(active)[0]
-                    feature = nodes[at[rows], 0].astype("int64")
-                    left = x[rows, feature] <= nodes[at[rows], 1]
-                    following = np.where(left, nodes[at[rows], 2], nodes[at[rows], 3]).astype("int64")
-                    np.add.at(total, (rows, feature), weight * (nodes[following, 4] - nodes[at[rows], 4]))
-                    at[rows] = following
-                    active = nodes[at, 0] >= 0
-            out = []
-            for value, gained in zip(x, total, strict=True):
-                order = np.argsort(-np.abs(gained), kind="stable")[:limit]
-                out.append([{"feature": features[i], "value": float(value[i]), "contribution": float(gained[i])} for i in order])
-            yield pd.DataFrame({"flow_id": batch["flow_id"], "attributions": out})
-
-    rows = matrix.select("flow_id", vector_to_array(F.col("x")).alias("xs"))
-    return rows.mapInPandas(credit, "flow_id string, attributions array<struct<feature:string,value:double,contribution:double>>")

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from netsift import constants as K
 from netsift.operators import learning as L
+from netsift.operators import models as M
 from netsift.plans import inputs
 from netsift.plans.catalog import query
 from netsift.plans.catalog.common import joined, r6, view
+from netsift.session import run_folder
+from netsift.sources import sinks
 
-FEATURES = ["L4_DST_PORT", "PROTOCOL", "TCP_FLAGS", "IN_BYTES", "IN_PKTS", "OUT_BYTES", "OUT_PKTS", "FLOW_DURATION_MILLISECONDS", "MIN_TTL", "MAX_TTL"]
-CATEGORICAL = ["PROTOCOL", "TCP_FLAGS"]
+FEATURES, CATEGORICAL = K.FEATURE_ORDER, K.CATEGORICAL_FEATURES
 TIME = "FLOW_START_MILLISECONDS"
 
 
@@ -70,18 +72,42 @@ def downsample_benign(spark, sf):
     return kept.groupBy(F.col("Label").alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("fit_categorical_maps", inputs.ansi("SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS code FROM (SELECT DISTINCT 'PROTOCOL' AS feature, PROTOCOL AS value FROM sp WHERE split = 'train' UNION SELECT DISTINCT 'TCP_FLAGS', TCP_FLAGS FROM sp WHERE split = 'train')", "ml_features", extra=SPLIT))
+ENCODED = " UNION ALL ".join(f"SELECT DISTINCT '{f}' AS feature, {f} AS value FROM sp WHERE split = 'train'" for f in CATEGORICAL)
+
+
+@query("fit_categorical_maps", inputs.ansi(f"SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS code FROM ({ENCODED})", "ml_features", extra=SPLIT))
 def fit_categorical_maps(spark, sf):
     return L.fit_categorical_maps(timed(spark, sf).filter(F.col("split") == "train"), CATEGORICAL)
 
 
+_STORED: dict[tuple[str, str, str], object] = {}
+
+
+def once(spark, sf, name, make):
+    """What ``make`` returns, kept for the application: models and their matrix serve several queries."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
+def encoded_rows(spark, sf):
+    """(matrix, encoders) of the whole table, stored once: boosting reads it in every round."""
+
+    def make():
+        rows = L.stratified_split(frame(spark, sf), "Attack")
+        maps = L.collect_maps(L.fit_categorical_maps(rows.filter(F.col("split") == "train"), CATEGORICAL))
+        made = L.make_matrix(rows, FEATURES, maps).select("flow_id", "x", "Label", "Attack", "split")
+        return sinks.settle(made, run_folder(spark, "matrix")), maps
+
+    return once(spark, sf, "matrix", make)
+
+
 def matrix(spark, sf):
-    rows = L.stratified_split(frame(spark, sf), "Attack")
-    maps = L.collect_maps(L.fit_categorical_maps(rows.filter(F.col("split") == "train"), CATEGORICAL))
-    return L.make_matrix(rows, FEATURES, maps)
+    return encoded_rows(spark, sf)[0]
 
 
-@query("make_matrix", inputs.ansi("SELECT flow_id, CAST(L4_DST_PORT AS DOUBLE) AS x0, CASE PROTOCOL WHEN '17' THEN 0e0 ELSE 1e0 END AS x1, CAST(IN_BYTES AS DOUBLE) AS x3, 10 AS width FROM ml_features", "ml_features"))
+@query("make_matrix", inputs.ansi("SELECT flow_id, CAST(L4_DST_PORT AS DOUBLE) AS x0, CASE PROTOCOL WHEN '17' THEN 0e0 ELSE 1e0 END AS x1, CAST(IN_BYTES AS DOUBLE) AS x3, 47 AS width FROM ml_features", "ml_features"))
 def make_matrix(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
@@ -164,52 +190,84 @@ def confusion_matrix(spark, sf):
     return L.confusion_matrix(guesses(spark, sf))
 
 
-# --- models: trained on the given tables, compared by rows only -------------------------
+# --- models: trained on the given tables, so compared by rows and by their invariants -------
+
+
+def version(spark, sf, kind):
+    """The stored and checked version of a model, trained with the reference settings."""
+
+    def make():
+        rows, maps = encoded_rows(spark, sf)
+        models = M.train_binary(rows) if kind == M.BINARY else M.train_family(family_matrix(spark, sf))
+        folder = run_folder(spark, f"model-{kind}")
+        M.save_version(spark, folder, kind, models, maps)
+        return M.load_version(spark, folder, kind)
+
+    return once(spark, sf, kind, make)
 
 
 @query("train_binary")
 def train_binary(spark, sf):
     """Trains and reports quality on the held-out split."""
-    m = matrix(spark, sf)
-    model = L.train_binary(m, rounds=5, depth=3)
-    return L.binary_metrics(L.score_binary(model, m.filter(F.col("split") == "test")))
+    scored = M.score_binary(version(spark, sf, M.BINARY), matrix(spark, sf).filter(F.col("split") == "test"))
+    return L.binary_metrics(scored)
 
 
 @query("score_binary")
 def score_binary(spark, sf):
-    m = matrix(spark, sf)
-    model = L.train_binary(m, rounds=5, depth=3)
-    return L.score_binary(model, m).select("flow_id", "prob", "category_hint", "category_confidence")
+    scored = M.score_binary(version(spark, sf, M.BINARY), matrix(spark, sf))
+    return scored.select("flow_id", "prob", "category_hint", "category_confidence")
 
 
 def family_matrix(spark, sf):
-    m = matrix(spark, sf).filter(F.col("Label") == 1)
-    return L.attack_frame(m)
+    return L.attack_frame(matrix(spark, sf).filter(F.col("Label") == 1))
 
 
 @query("train_family")
 def train_family(spark, sf):
-    m = family_matrix(spark, sf)
-    model = L.train_family(m.filter(F.col("split") == "train"), trees=5, depth=4)
-    scored = L.score_family(model, m.filter(F.col("split") == "test"))
+    """Quality of the family boosters on held-out attack rows."""
+    scored = M.score_family(version(spark, sf, M.FAMILY), family_matrix(spark, sf).filter(F.col("split") == "test"))
     return L.multiclass_metrics(scored, guess="category_hint")
 
 
 @query("score_family")
 def score_family(spark, sf):
-    m = family_matrix(spark, sf)
-    model = L.train_family(m.filter(F.col("split") == "train"), trees=5, depth=4)
-    return L.score_family(model, m).select("flow_id", "category_hint", "category_confidence")
+    """A family for every flow that is not dismissed, whatever its label; dismissed flows are not evaluated."""
+    routes = view(spark, sf, "routes").select("flow_id", "route")
+    rows = matrix(spark, sf).join(routes, "flow_id").select("flow_id", "route", "x")
+    alive = F.col("route") != "auto_dismiss"
+    out = ["flow_id", "category_hint", "category_confidence"]
+    scored = M.score_family(version(spark, sf, M.FAMILY), rows.filter(alive)).select(*out)
+    return scored.unionByName(M.score_family(None, rows.filter(~alive)).select(*out))
 
 
 @query("explain_scores")
 def explain_scores(spark, sf):
-    m = matrix(spark, sf)
-    return L.explain_scores(L.train_binary(m, rounds=5, depth=3), m, FEATURES)
+    """Exact contributions of all features for every flow, and the five largest."""
+    explained = M.explain_scores(version(spark, sf, M.BINARY), matrix(spark, sf))
+    return M.with_attributions(explained, FEATURES).select("flow_id", "base", "margin", "contributions", "attributions")
+
+
+RULES = ["feature_order", "feature_types", "categorical_features", "excluded_features", "categorical_encoders", "class_labels"]
+KINDS = [M.BINARY, M.FAMILY]
+
+
+def _values(items):
+    return ", ".join(f"('{x}')" for x in items)
 
 
-@query("check_contract")
+@query("check_contract", inputs.ansi(
+    f"""SELECT k.kind, v.changed, r.rule, v.changed <> r.rule AS kept, CASE WHEN v.changed = r.rule THEN 0 WHEN r.rule = 'feature_order' THEN {len(FEATURES)} WHEN r.rule = 'feature_types' THEN {len(FEATURES)} WHEN r.rule = 'excluded_features' THEN {len(K.EXCLUDED_FEATURES)}
+      WHEN r.rule = 'class_labels' THEN CASE k.kind WHEN 'binary' THEN 1 ELSE (SELECT count(DISTINCT family) FROM (SELECT {FAMILY_CASE} AS family FROM ml_features WHERE Label = 1)) END ELSE (SELECT count(DISTINCT feature) FROM ({ENCODED})) END AS entries
+      FROM (VALUES {_values(KINDS)}) k(kind), (VALUES {_values(["none", *RULES])}) v(changed), (VALUES {_values(RULES)}) r(rule)""", "ml_features", extra=SPLIT))
 def check_contract(spark, sf):
-    """Scores only behind the contract check; every flow of the table is scored."""
-    L.check_contract({"feature_order": list(K.FEATURE_ORDER), "categorical_features": list(K.CATEGORICAL_FEATURES), "excluded_features": list(K.EXCLUDED_FEATURES)})
-    return L.score_family(None, frame(spark, sf)).select("flow_id", "category_hint", "category_confidence")
+    """The stored metadata of both models against the six rules: as trained, and with the value of one rule emptied at a time."""
+    found = []
+    for kind in KINDS:
+        stored = spark.read.schema("rule string, value string").json(f"{version(spark, sf, kind).folder}/metadata")
+        for changed in ["none", *RULES]:
+            value = F.when(F.col("rule") == changed, F.lit("{}")).otherwise(F.col("value"))
+            metadata = M.read_metadata(stored.withColumn("value", value))
+            kept = M.checked_rules(metadata, kind)
+            found += [(kind, changed, rule, kept[rule], len(metadata[rule])) for rule in RULES]
+    return spark.createDataFrame(found, "kind string, changed string, rule string, kept boolean, entries int")

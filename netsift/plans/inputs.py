@@ -90,6 +90,47 @@ FLOW_COLUMNS = {
     "arrival": "event_id",
 }
 
+#: The rest of the model's features: packet shapes that differ a little by kind of traffic, rates, windows and gaps.
+FLOW_STATISTICS = {
+    "L7_PROTO": "cast(event_id % 14 * 7 + user_id % 3 AS {S})",
+    "CLIENT_TCP_FLAGS": "cast({K} % 27 AS {S})",
+    "SERVER_TCP_FLAGS": "cast({K} % 19 AS {S})",
+    "DURATION_IN": "cast(floor(value * 6) AS BIGINT)",
+    "DURATION_OUT": "cast(floor(value * 4) AS BIGINT)",
+    "LONGEST_FLOW_PKT": "200 + event_id % 14 * 60 + {K}",
+    "SHORTEST_FLOW_PKT": "40 + event_id % 7 * 4 + {K} % 5",
+    "MIN_IP_PKT_LEN": "40 + event_id % 7 * 4",
+    "MAX_IP_PKT_LEN": "200 + event_id % 14 * 60 + {K} % 50",
+    "SRC_TO_DST_SECOND_BYTES": "cast(floor(value * 90) AS BIGINT)",
+    "DST_TO_SRC_SECOND_BYTES": "cast(floor(value * 33) AS BIGINT)",
+    "RETRANSMITTED_IN_BYTES": "cast(floor(value) AS BIGINT) % 17 * 60",
+    "RETRANSMITTED_IN_PKTS": "cast(floor(value) AS BIGINT) % 17",
+    "RETRANSMITTED_OUT_BYTES": "cast(floor(value) AS BIGINT) % 11 * 60",
+    "RETRANSMITTED_OUT_PKTS": "cast(floor(value) AS BIGINT) % 11",
+    "SRC_TO_DST_AVG_THROUGHPUT": "cast(floor(value * 800) AS BIGINT)",
+    "DST_TO_SRC_AVG_THROUGHPUT": "cast(floor(value * 300) AS BIGINT)",
+    "NUM_PKTS_UP_TO_128_BYTES": "event_id % 50 + {K} % 10",
+    "NUM_PKTS_128_TO_256_BYTES": "event_id % 20",
+    "NUM_PKTS_256_TO_512_BYTES": "event_id % 14 + {K} % 6",
+    "NUM_PKTS_512_TO_1024_BYTES": "user_id % 9",
+    "NUM_PKTS_1024_TO_1514_BYTES": "user_id % 5",
+    "TCP_WIN_MAX_IN": "8192 + {K} * 64",
+    "TCP_WIN_MAX_OUT": "8192 + user_id * 32",
+    "ICMP_TYPE": "cast(user_id % 4 * 256 AS {S})",
+    "ICMP_IPV4_TYPE": "cast(user_id % 4 AS {S})",
+    "DNS_QUERY_TYPE": "cast({K} % 6 AS {S})",
+    "DNS_TTL_ANSWER": "{K} % 6 * 300",
+    "FTP_COMMAND_RET_CODE": "cast(CASE WHEN event_id % 14 = 7 THEN 530 ELSE {K} % 3 * 110 END AS {S})",
+    "SRC_TO_DST_IAT_MIN": "{K} % 9",
+    "SRC_TO_DST_IAT_MAX": "{K} % 9 + user_id",
+    "SRC_TO_DST_IAT_AVG": "{K} % 9 + user_id % 30",
+    "SRC_TO_DST_IAT_STDDEV": "user_id % 30",
+    "DST_TO_SRC_IAT_MIN": "{K} % 8",
+    "DST_TO_SRC_IAT_MAX": "{K} % 8 + user_id",
+    "DST_TO_SRC_IAT_AVG": "{K} % 8 + user_id % 25",
+    "DST_TO_SRC_IAT_STDDEV": "user_id % 25",
+}
+
 VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
     "flows": ("events", FLOW_COLUMNS, ""),
     # The same flows, some of them without a flow time: they fall back to arrival time.
@@ -116,6 +157,7 @@ VIEWS: dict[str, tuple[str, dict[str, str], str]] = {
             "FLOW_DURATION_MILLISECONDS": "cast(floor(value * 10) AS BIGINT)",
             "MIN_TTL": "32 + {K} % 4 * 32",
             "MAX_TTL": "64 + {K} % 3 * 64",
+            **FLOW_STATISTICS,
             "Label": f"CASE WHEN {MALICIOUS} THEN 1 ELSE 0 END",
             "Attack": f"CASE WHEN {MALICIOUS} THEN {ATTACK} ELSE 'Benign' END",
             "mock_prob": PROB,
