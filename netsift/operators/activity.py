@@ -3,9 +3,9 @@
 A range frame over one source would put a third of all rows into one task and
 re-read the frame for every row. Instead each flow becomes two ticks, one that
 enters the count at its own time and one that leaves it after the window, and
-every counter is a running sum of ticks. Time is cut into panes, the sums of
-earlier panes travel as carry rows, and the work is shuffled once by
-(source, pane). Hot sources get panes narrow enough for their densest stretch.
+every counter is a running sum of ticks. The time of a hot source is cut into panes
+of equal row count, the sums of earlier panes travel as carry rows, and the
+work is shuffled once by (source, pane).
 """
 
 from __future__ import annotations
@@ -14,62 +14,57 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netsift.operators.ranks import range_sums
+from netsift.session import run_folder
+from netsift.sources.sinks import settle
+
 MINUTE_MS = 60_000
 PANE_ROWS = 200_000
-PANE_WIDTHS = [3_600_000, 900_000, 300_000, 60_000, 15_000, 5_000, 1_000, 100, 10, 1]
 MOST_HOT = 100_000
+MOST_PANES = 4_096
+CARRIED = -(1 << 62)  # the time of carry rows, before all others
 
 SERVICE = ["dst_ip", "dst_port", "protocol"]
 
 
-def with_pane_width(flows: DataFrame, window_ms: int, pane_rows: int = PANE_ROWS) -> DataFrame:
-    """Adds ``pane_ms`` per source: the window itself, or less for hot sources.
+def with_panes(rows: DataFrame, at: str = "at", pane_rows: int = PANE_ROWS) -> DataFrame:
+    """Adds ``pane``: 0, or for hot sources the number of the stretch of time that a row falls in.
 
-    A hot source gets the widest of ``PANE_WIDTHS`` of which no aligned pane holds more than ``pane_rows`` of its rows,
-    so bursts and stray old rows make no difference; only rows of one millisecond cannot be parted. Ticks
-    that leave the window at most double a pane. A source counts as hot above ``pane_rows`` rows and one row in
-    ``MOST_HOT``, so the broadcast lists have at most MOST_HOT entries.
+    A source is hot above ``pane_rows`` rows and one row in ``MOST_HOT``, so there are at most MOST_HOT. Its stretches hold
+    ``pane_rows`` rows each (more, if there would be more than ``MOST_PANES``): the rows before an instant, divided
+    by that size, name its pane. So a burst makes many short panes for itself and changes no other. Rows of one instant
+    stay together. Sums over the panes of a source read at most MOST_PANES of them.
     """
-    rows = flows.groupBy("src_ip").agg(F.count("*").alias("n"))
-    total = rows.agg(F.sum("n").alias("total"))
-    hot = rows.join(F.broadcast(total), F.col("n") > F.greatest(F.lit(pane_rows), F.col("total") / MOST_HOT)).select("src_ip")
-    widths = F.array(*[F.lit(w).cast("bigint") for w in PANE_WIDTHS if w < window_ms])
-    at = flows.join(F.broadcast(hot), "src_ip").groupBy("src_ip", "start_ms").agg(F.count("*").alias("n"))
-    panes = at.select("src_ip", "start_ms", "n", F.explode(widths).alias("width"))
-    full = panes.groupBy("src_ip", "width", F.floor(F.col("start_ms") / F.col("width")).alias("pane")).agg(F.sum("n").alias("n"))
-    most = full.groupBy("src_ip", "width").agg(F.max("n").alias("n"))
-    fits = F.max(F.when(F.col("n") <= pane_rows, F.col("width")))
-    narrow = most.groupBy("src_ip").agg(F.coalesce(fits, F.min("width")).alias("narrow_ms"))
-    return (
-        flows.join(F.broadcast(narrow), "src_ip", "left")
-        .withColumn("pane_ms", F.coalesce("narrow_ms", F.lit(window_ms)))
-        .drop("narrow_ms")
-    )
-
-
-def _pane(at: Column) -> Column:
-    return F.floor(at / F.col("pane_ms")).cast("bigint")
-
-
-def _ticks(flows: DataFrame, keys: list[str], window_ms: int | None) -> DataFrame:
-    """Two ticks per flow, +1 at its time and -1 after the window, from one pass over the flows."""
+    spark = rows.sparkSession
+    sizes = rows.groupBy("src_ip").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.sum("n").alias("total"))
+    hot = sizes.join(F.broadcast(total), F.col("n") > F.greatest(F.lit(pane_rows), F.col("total") / MOST_HOT))
+    size = F.greatest(F.lit(pane_rows), F.ceil(F.col("n") / MOST_PANES)).cast("bigint")
+    hot = settle(hot.select("src_ip", size.alias("size")), run_folder(spark, "hot-sources"))
+    if hot.isEmpty():
+        return rows.withColumn("pane", F.lit(0).cast("bigint"))
+    instants = rows.join(F.broadcast(hot), "src_ip").groupBy("src_ip", at).agg(F.count("*").alias("m"), F.max("size").alias("size"))
+    placed = range_sums(instants, [at], {"upto": F.col("m")}, keys=["src_ip"])
+    placed = placed.select("src_ip", at, F.floor((F.col("upto") - F.col("m")) / F.col("size")).alias("_pane"))
+    return rows.join(placed, ["src_ip", at], "left").withColumn("pane", F.coalesce("_pane", F.lit(0)).cast("bigint")).drop("_pane")
+
+
+def _ticks(flows: DataFrame, keys: list[str], window_ms: int | None, pane_rows: int) -> DataFrame:
+    """Two ticks per flow with their panes, +1 at its time and -1 after the window."""
     kind = "struct<flow_id:string,at:bigint,delta:bigint>"
     enter = F.struct(F.col("flow_id"), F.col("start_ms"), F.lit(1)).cast(kind)
     ticks = [enter]
     if window_ms is not None:
         ticks.append(F.struct(F.lit(None), F.col("start_ms") + window_ms, F.lit(-1)).cast(kind))
-    exploded = flows.select("src_ip", *keys, "pane_ms", F.explode(F.array(*ticks)).alias("t"))
-    ticks = exploded.select("src_ip", *keys, "pane_ms", "t.flow_id", "t.at", "t.delta")
-    return ticks.withColumn("pane", _pane(F.col("at")))
+    exploded = flows.select("src_ip", *keys, F.explode(F.array(*ticks)).alias("t"))
+    return with_panes(exploded.select("src_ip", *keys, "t.flow_id", "t.at", "t.delta"), "at", pane_rows)
 
 
 def _earlier(keys: list[str]):
     return Window.partitionBy("src_ip", *keys).orderBy("pane").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def trailing_counts(
-    flows: DataFrame, window_ms: int | None, *, pane_rows: int = PANE_ROWS, pane_ms: int | None = None
-) -> DataFrame:
+def trailing_counts(flows: DataFrame, window_ms: int | None, *, pane_rows: int = PANE_ROWS) -> DataFrame:
     """flow_id plus flow_count, distinct_dst_count, same_dst_count, same_dst_port_count, watchlist_hit_count.
 
     Counts flows of the same source with ``start - window <= t < start``;
@@ -78,32 +73,22 @@ def trailing_counts(
     """
     hits = "hit" in flows.columns
     keys = [*SERVICE, *(["hit"] if hits else [])]
-    flows = flows.select("flow_id", "src_ip", *keys, "start_ms")
-    if pane_ms is not None:
-        flows = flows.withColumn("pane_ms", F.lit(pane_ms))
-    else:
-        flows = with_pane_width(flows, window_ms or 86_400_000, pane_rows)
-    ticks = _ticks(flows, keys, window_ms)
+    ticks = _ticks(flows.select("flow_id", "src_ip", *keys, "start_ms"), keys, window_ms, pane_rows)
     nothing = F.lit(0).cast("bigint")
     hit_delta = F.when(F.col("hit"), F.col("delta")).otherwise(nothing) if hits else nothing
 
     # Pane totals, each level from the finer one; every level feeds the carry rows of its own.
-    by_svc = ticks.groupBy("src_ip", *SERVICE, "pane").agg(
-        F.max("pane_ms").alias("pane_ms"), F.sum("delta").alias("delta"), F.sum(hit_delta).alias("d_hit")
-    )
-    by_dst = by_svc.groupBy("src_ip", "dst_ip", "pane").agg(
-        F.max("pane_ms").alias("pane_ms"), F.sum("delta").alias("delta"), F.sum("d_hit").alias("d_hit")
-    )
+    by_svc = ticks.groupBy("src_ip", *SERVICE, "pane").agg(F.sum("delta").alias("delta"), F.sum(hit_delta).alias("d_hit"))
+    by_dst = by_svc.groupBy("src_ip", "dst_ip", "pane").agg(F.sum("delta").alias("delta"), F.sum("d_hit").alias("d_hit"))
     before_dst = F.coalesce(F.sum("delta").over(_earlier(["dst_ip"])), nothing)
     dst_state = by_dst.withColumn("before", before_dst)
     turned = (F.col("before") + F.col("delta") > 0).cast("bigint") - (F.col("before") > 0).cast("bigint")
     by_src = dst_state.groupBy("src_ip", "pane").agg(
-        F.max("pane_ms").alias("pane_ms"), F.sum("delta").alias("delta"), F.sum("d_hit").alias("d_hit"),
-        F.sum(turned).alias("d_distinct"),
+        F.sum("delta").alias("delta"), F.sum("d_hit").alias("d_hit"), F.sum(turned).alias("d_distinct"),
     )
 
     text, whole = F.lit(None).cast("string"), F.lit(None).cast("int")
-    start = (F.col("pane") * F.col("pane_ms") - 1).alias("at")
+    start = F.lit(CARRIED).alias("at")
 
     def row(dst, port, protocol, flow_id, at, src, dst_delta, svc, hit, distinct):
         return [
@@ -247,20 +232,17 @@ def top_ports(
 
     Ties go to the lower port with a window, to the first seen port without
     one. A pane starts from the port counts left open by earlier panes, at most
-    one row per port.
+    one row per port: 65,536, fewer than the rows of a full pane.
     """
     flows = flows.select("flow_id", "src_ip", "dst_port", "start_ms")
-    flows = with_pane_width(flows, window_ms or 86_400_000, pane_rows)
-    ticks = _ticks(flows, ["dst_port"], window_ms).withColumn("seen_at", F.col("at"))
-    change = ticks.groupBy("src_ip", "dst_port", "pane").agg(
-        F.sum("delta").alias("delta"), F.min("at").alias("seen_at"), F.max("pane_ms").alias("pane_ms")
-    )
+    ticks = _ticks(flows, ["dst_port"], window_ms, pane_rows).withColumn("seen_at", F.col("at"))
+    change = ticks.groupBy("src_ip", "dst_port", "pane").agg(F.sum("delta").alias("delta"), F.min("at").alias("seen_at"))
     so_far = Window.partitionBy("src_ip", "dst_port").orderBy("pane").rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy("src_ip", "dst_port").orderBy("pane")
     busy = ticks.groupBy("src_ip").agg(F.max("pane").alias("last_pane"))
     open_counts = (
         change.select(
-            "src_ip", "dst_port", "pane", "pane_ms",
+            "src_ip", "dst_port", "pane",
             F.sum("delta").over(so_far).alias("delta"),
             F.min("seen_at").over(so_far).alias("seen_at"),
             F.lead("pane").over(ahead).alias("next_pane"),
@@ -273,7 +255,7 @@ def top_ports(
         .withColumn("pane", F.explode(F.sequence(F.col("pane") + 1, F.col("until"))))
         .select(
             "src_ip", "dst_port", "pane", F.lit(None).cast("string").alias("flow_id"),
-            (F.col("pane") * F.col("pane_ms") - 1).alias("at"), "delta", "seen_at",
+            F.lit(CARRIED).alias("at"), "delta", "seen_at",
         )
     )
     rows = ticks.select("src_ip", "dst_port", "pane", "flow_id", "at", "delta", "seen_at").unionByName(open_counts)
@@ -290,9 +272,7 @@ def recent_verdicts(
     flows: DataFrame, window_ms: int, limit: int = 5, *, pane_rows: int = PANE_ROWS
 ) -> DataFrame:
     """flow_id, the last non-null verdicts of the window (newest first), alerts among them."""
-    flows = with_pane_width(
-        flows.select("flow_id", "src_ip", "start_ms", "verdict"), window_ms, pane_rows
-    ).withColumn("pane", _pane(F.col("start_ms")))
+    flows = with_panes(flows.select("flow_id", "src_ip", "start_ms", "verdict"), "start_ms", pane_rows)
     instant = Window.partitionBy("src_ip", "pane", "start_ms").orderBy(F.desc("flow_id"))
     groups = (
         flows.filter(F.coalesce(F.col("verdict") != "", F.lit(False)))
@@ -376,9 +356,7 @@ def prior_flows(flows: DataFrame, window_minutes: int, *, pane_rows: int = PANE_
     """
     window_ms = window_minutes * MINUTE_MS
     counts = trailing_counts(flows, window_ms, pane_rows=pane_rows).select("flow_id", F.col("flow_count").alias("prior_count"))
-    placed = with_pane_width(flows.select("flow_id", "src_ip", "start_ms"), window_ms, pane_rows).withColumn(
-        "pane", _pane(F.col("start_ms"))
-    )
+    placed = with_panes(flows.select("flow_id", "src_ip", "start_ms"), "start_ms", pane_rows)
     closing = placed.groupBy("src_ip", "pane").agg(F.max("start_ms").alias("last_ms"))
     earlier = Window.partitionBy("src_ip").orderBy("pane").rowsBetween(Window.unboundedPreceding, -1)
     handed = closing.select("src_ip", "pane", F.max("last_ms").over(earlier).alias("handed_ms"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netsift.functions import scalars as S
 from netsift.functions.timefn import event_date_utc, ntz_millis
+from netsift.operators.ranks import range_rank
 
 EVENT_COLUMNS = [
     "flow_id", "start_ms", "end_ms", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "raw_label",
@@ -216,10 +217,11 @@ def table_counts(tables: dict[str, DataFrame], routes: DataFrame, verdicts: Data
 
 def page_events(events: DataFrame, page: int, size: int) -> DataFrame:
     """Page n of the newest-first list; the page is clamped to the existing ones."""
-    total = events.agg(F.count("*").alias("n"))
-    pages = F.greatest(F.lit(1), F.ceil(F.col("n") / size))
-    wanted = total.select((F.greatest(F.lit(1), F.least(F.lit(page), pages)) - 1).alias("page")).first()["page"]
-    return events.orderBy(*recency()).offset(int(wanted) * size).limit(size)
+    ranked = range_rank(events, recency(), "_place", total="_all")
+    pages = F.greatest(F.lit(1), F.ceil(F.col("_all") / size))
+    wanted = F.greatest(F.lit(1), F.least(F.lit(page), pages))
+    on_page = ranked.filter(F.ceil(F.col("_place") / size) == wanted)  # at most ``size`` rows
+    return on_page.orderBy("_place").drop("_place", "_all")
 
 
 def outcome_trend(events: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netsift import constants as K
 from netsift.functions.scalars import attack_family, literal_map
-from netsift.operators.ranks import prefix_rank, rank_by_value
+from netsift.operators.ranks import range_rank, range_sums
 
 SPLITS = ["train", "validation", "test"]
 
@@ -106,19 +106,8 @@ def _hash_order(seed: int, key: str) -> Column:
 def stratified_split(
     rows: DataFrame, stratum: str, key: str = "flow_id", val_size: float = 0.15, test_size: float = 0.15, seed: int = 42
 ) -> DataFrame:
-    """Adds ``split``: exact shares of each stratum, in seeded hash order.
-
-    The rank inside a stratum comes from 4096 hash cells, so a stratum with
-    most of the rows still spreads over as many tasks.
-    """
-    ranked = prefix_rank(
-        rows.withColumn("_h", _hash_order(seed, key)),
-        cells={"_cell": F.floor(F.col("_h") / (1 << 50))},
-        order=["_h", key],
-        partition=[stratum],
-        name="_rank",
-        total="_n",
-    )
+    """Adds ``split``: exact shares of each stratum, in seeded hash order; a stratum may hold most of the rows."""
+    ranked = range_rank(rows.withColumn("_h", _hash_order(seed, key)), ["_h", key], "_rank", keys=[stratum], total="_n")
     n, rank = F.col("_n"), F.col("_rank")
     test = F.round(n * test_size)
     val = F.round(n * val_size)
@@ -126,14 +115,9 @@ def stratified_split(
     return ranked.withColumn("split", split).drop("_h", "_rank", "_n")
 
 
-def time_split(
-    rows: DataFrame, time: str, key: str = "flow_id", val_size: float = 0.15, test_size: float = 0.15, cell_ms: int = 600_000
-) -> DataFrame:
+def time_split(rows: DataFrame, time: str, key: str = "flow_id", val_size: float = 0.15, test_size: float = 0.15) -> DataFrame:
     """Adds ``split`` by time order: first 70%, next 15%, last 15%."""
-    ranked = rank_by_value(
-        rows, values=[time], cells={"_cell": F.floor(F.col(time) / cell_ms)}, tie=key,
-        tie_cell=F.substring(key, 1, 10), name="_rank", total="_n",
-    )
+    ranked = range_rank(rows, [time, key], "_rank", total="_n")
     train_end = F.floor(F.col("_n") * (1.0 - val_size - test_size))
     val_end = F.floor(F.col("_n") * (1.0 - test_size))
     split = F.when(F.col("_rank") <= train_end, "train").when(F.col("_rank") <= val_end, "validation").otherwise("test")
@@ -167,14 +151,11 @@ def category_diffs(rows: DataFrame, column: str = "Attack") -> DataFrame:
 
 
 def downsample_benign(train: DataFrame, ratio: float, seed: int = 42, key: str = "flow_id") -> DataFrame:
-    """All attacks and the first n_attack * ratio benign rows in seeded hash order.
-
-    A hash cut finds the cell of the last kept row; only that cell is ranked.
-    """
+    """All attacks and the first n_attack * ratio benign rows in seeded hash order."""
     attacks = train.filter(F.col("Label").cast("int") == 1)
     benign = train.filter(F.col("Label").cast("int") == 0).withColumn("_h", _hash_order(seed, key))
     target = attacks.agg(F.floor(F.count("*") * ratio).alias("_target"))
-    ranked = prefix_rank(benign, cells={"_cell": F.floor(F.col("_h") / (1 << 50))}, order=["_h", key], name="_rank")
+    ranked = range_rank(benign, ["_h", key], "_rank")
     kept = ranked.join(F.broadcast(target), how="cross").filter(F.col("_rank") <= F.col("_target"))  # one row
     return attacks.unionByName(kept.select(*attacks.columns))
 
@@ -263,27 +244,16 @@ def routing_metrics(scored: DataFrame, low: float, high: float, label: str = "La
     ).drop("total", "attacks")
 
 
-def binary_metrics(scored: DataFrame, label: str = "Label", prob: str = "prob", cells: int = 4096) -> DataFrame:
+def binary_metrics(scored: DataFrame, label: str = "Label", prob: str = "prob") -> DataFrame:
     """ROC-AUC, average precision, and precision / recall / f1 / confusion at 0.5.
 
-    Scores are first reduced to counts per distinct value. Both areas are sums
-    over distinct scores of terms that need the counts above; those come from
-    cell totals plus a running sum inside the cell.
+    Scores are first reduced to counts per distinct value. Both areas are sums over distinct scores of terms that need
+    the counts above, which are running sums from the highest score down.
     """
     attack = F.col(label).cast("int") == 1
     values = scored.groupBy(F.col(prob).alias("p")).agg(F.count_if(attack).alias("pos"), F.count_if(~attack).alias("neg"))
-    celled = values.withColumn("cell", F.floor(F.col("p") * cells))
-    totals = celled.groupBy("cell").agg(F.sum("pos").alias("cp"), F.sum("neg").alias("cn"))
-    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)  # at most `cells` rows
-    offsets = totals.select(
-        "cell", F.coalesce(F.sum("cp").over(above), F.lit(0)).alias("p_above"), F.coalesce(F.sum("cn").over(above), F.lit(0)).alias("n_above")
-    )
-    inside = Window.partitionBy("cell").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = (
-        celled.withColumns({"p_in": F.sum("pos").over(inside), "n_in": F.sum("neg").over(inside)})
-        .join(offsets, "cell")
-        .withColumns({"tp": F.col("p_in") + F.col("p_above"), "fp": F.col("n_in") + F.col("n_above")})
-    )
+    curve = range_sums(values, [F.desc("p")], {"tp": F.col("pos"), "fp": F.col("neg")})
+    values = curve
     size = values.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     areas = curve.agg(
         # positives ranked above each negative, ties half

@@ -1,7 +1,9 @@
-"""Global ranks and exact quantiles without a single-task sort.
+"""Global ranks, running sums and exact quantiles without a single-task sort.
 
-Rows fall into ordered cells; per-cell counts give every cell its offset and
-only the rows of one cell are sorted together.
+Rows are dealt into sorted ranges of about equal size, whose borders Spark takes from a sample of the rows. The ranges are
+stored once, so that their numbers stay as they are; what lies before a range is a sum over as many rows as there are ranges.
+Equal rows are told apart by their place in the input, so one value, one key or one repeated row may hold any share of the
+rows and still spreads over many ranges.
 """
 
 from __future__ import annotations
@@ -13,135 +15,73 @@ from netsift.session import run_folder
 from netsift.sources.sinks import settle
 
 
-def range_rank(df: DataFrame, order: list, name: str = "rank", keys: list[str] | None = None, total: str | None = None) -> DataFrame:
-    """Adds the 1-based rank over ``order`` (inside ``keys``, if given) and with ``total`` how many rows were ranked there.
-
-    Rows are dealt into ranges of about equal size, whose borders Spark takes from a sample of the rows. The sorted ranges are
-    stored once, so that their numbers stay as they are, and each range starts after the counts of all earlier ones: a
-    sum over as many rows as there are ranges. Equal rows are told apart by their place in the input, so one value, one
-    key or one repeated row may hold any share of the rows and still spreads over many ranges.
-    """
-    keys = keys or []
-    spark = df.sparkSession
+def _sorted_ranges(df: DataFrame, by: list) -> DataFrame:
+    """The rows with ``_part``, the number of their range, and ``_at``, their place in it from 0."""
+    by = [*by, "_tie"]
     placed = df.withColumn("_tie", F.monotonically_increasing_id())
-    by = [*keys, *order, "_tie"]
-    sorted_ranges = placed.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
-    stored = settle(sorted_ranges.withColumn("_at", F.monotonically_increasing_id()), run_folder(spark, "ranks"))
+    ordered = placed.repartitionByRange(*by).sortWithinPartitions(*by).drop("_tie")
+    stored = settle(ordered.withColumn("_at", F.monotonically_increasing_id()), run_folder(df.sparkSession, "ranges"))
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = stored.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    ranked = stored.withColumn("_part", part).join(F.broadcast(starts), "_part")  # one row per range
-    ranked = ranked.withColumn(name, F.col("_start") + place + 1)
+    return stored.withColumns({"_part": part, "_at": place})
+
+
+def _before_each(totals: DataFrame, names: list[str]) -> DataFrame:
+    """For each range the sums over all earlier ones; one row per range."""
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("_part", *[F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(n) for n in names])
+
+
+def range_rank(df: DataFrame, order: list, name: str = "rank", keys: list[str] | None = None, total: str | None = None) -> DataFrame:
+    """Adds the 1-based rank over ``order`` (inside ``keys``, if given) and with ``total`` how many rows were ranked there."""
+    keys = keys or []
+    stored = _sorted_ranges(df, [*keys, *order])
+    counts = stored.groupBy("_part").agg(F.count("*").alias("_start"))
+    starts = F.broadcast(_before_each(counts, ["_start"]))  # one row per range
+    ranked = stored.join(starts, "_part").withColumn(name, F.col("_start") + F.col("_at") + 1)
     if keys:
         named = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
         spans = ranked.groupBy(*named).agg((F.min(name) - 1).alias("_first"), F.count("*").alias("_of"))
         ranked = ranked.join(spans, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
         ranked = ranked.withColumn(name, F.col(name) - F.col("_first"))
+    elif total:
+        ranked = ranked.join(F.broadcast(counts.agg(F.sum("_start").alias("_of"))), how="cross")  # one row
     if total:
-        ranked = ranked.withColumn(total, F.col("_of") if keys else F.col("_all"))
+        ranked = ranked.withColumn(total, F.col("_of"))
     return ranked.select(*df.columns, name, *([total] if total else []))
 
 
-def prefix_rank(
-    df: DataFrame,
-    *,
-    cells: dict[str, Column],
-    order: list,
-    name: str = "rank",
-    partition: list[str] | None = None,
-    total: str | None = None,
-) -> DataFrame:
-    """Adds a 1-based rank over ``order``, and with ``total`` the size of the partition.
-
-    ``cells`` are monotone in ``order`` (compared left to right); choose them so
-    that no cell can hold a large share of the rows. Where values repeat, use
-    ``rank_by_value``.
-    """
-    partition = partition or []
-    names = list(cells)
-    marked = df.withColumns(cells)
-    counts = marked.groupBy(*partition, *names).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*partition).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = [F.sum("_n").over(Window.partitionBy(*partition)).alias(total)] if total else []
-    offsets = counts.select(*partition, *names, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), *sizes)
-    inside = Window.partitionBy(*partition, *names).orderBy(*order)
-    ranked = marked.withColumn("_in", F.row_number().over(inside))
-    return (
-        ranked.join(offsets, [*partition, *names])
-        .withColumn(name, F.col("_before") + F.col("_in"))
-        .drop("_in", "_before", *names)
-    )
-
-
-def rank_by_value(
-    df: DataFrame, *, values: list[str], cells: dict[str, Column], tie: str, tie_cell: Column, name: str = "rank", total: str | None = None
-) -> DataFrame:
-    """A 1-based global rank over ``values``, then ``tie``, when one value may hold many rows.
-
-    Distinct values are counted first; ``cells`` (monotone in ``values``) give
-    every value its offset. Rows of one value are cut again by ``tie_cell``
-    (monotone in ``tie``), so no task sorts all rows of a hot value.
-    """
-    names = list(cells)
-    marked = df.withColumns({**cells, "_tie": tie_cell})
-    pieces = marked.groupBy(*names, *values, "_tie").agg(F.count("*").alias("_n"))
-    whole = pieces.groupBy(*names, *values).agg(F.sum("_n").alias("_n"))
-    per_cell = whole.groupBy(*names).agg(F.sum("_n").alias("_n"))
-    over_cells = Window.orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)  # as many rows as there are cells
-    all_cells = Window.partitionBy()
-    starts = per_cell.select(
-        *names, F.coalesce(F.sum("_n").over(over_cells), F.lit(0)).alias("_start"), F.sum("_n").over(all_cells).alias("_all")
-    )
-    in_cell = Window.partitionBy(*names).orderBy(*values).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = whole.withColumn("_inside", F.coalesce(F.sum("_n").over(in_cell), F.lit(0))).join(starts, names)
-    in_value = Window.partitionBy(*names, *values).orderBy("_tie").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        pieces.withColumn("_earlier", F.coalesce(F.sum("_n").over(in_value), F.lit(0)))
-        .join(offsets.drop("_n"), [*names, *values])
-        .select(*names, *values, "_tie", (F.col("_start") + F.col("_inside") + F.col("_earlier")).alias("_before"), "_all")
-    )
-    piece = Window.partitionBy(*names, *values, "_tie").orderBy(tie)
-    ranked = marked.withColumn("_in", F.row_number().over(piece)).join(placed, [*names, *values, "_tie"])
-    ranked = ranked.withColumn(name, F.col("_before") + F.col("_in"))
-    if total:
-        ranked = ranked.withColumn(total, F.col("_all"))
-    return ranked.drop("_before", "_all", "_in", "_tie", *names)
-
-
-def lower_quantiles(df: DataFrame, column: str, fractions: list[float], cells: int = 1024) -> DataFrame:
+def range_sums(df: DataFrame, order: list, sums: dict[str, Column], keys: list[str] | None = None) -> DataFrame:
+    """Adds for each name the sum of its column over all rows up to this one in ``order`` (inside ``keys``, if given)."""
+    keys = keys or []
+    stored = _sorted_ranges(df.withColumns({f"_v_{n}": c for n, c in sums.items()}), [*keys, *order])
+    totals = stored.groupBy("_part", *keys).agg(*[F.sum(f"_v_{n}").alias(f"_b_{n}") for n in sums])
+    if keys:  # only a key that spans ranges has something before it: one per range border
+        last = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.select("_part", *keys, *[F.sum(f"_b_{n}").over(last).alias(f"_b_{n}") for n in sums])
+        before = before.where(F.col(f"_b_{next(iter(sums))}").isNotNull())
+    else:
+        before = _before_each(totals, [f"_b_{n}" for n in sums])
+    inside = Window.partitionBy("_part", *keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    summed = stored.withColumns({f"_v_{n}": F.sum(f"_v_{n}").over(inside) for n in sums})
+    summed = summed.join(F.broadcast(before), ["_part", *keys], "left")  # at most one row per range
+    return summed.select(*df.columns, *[(F.col(f"_v_{n}") + F.coalesce(f"_b_{n}", F.lit(0))).alias(n) for n in sums])
+
+
+def lower_quantiles(df: DataFrame, column: str, fractions: list[float]) -> DataFrame:
     """sorted[int((n - 1) * p)] for each p (the lower index, no interpolation), plus min, mean, max, n.
 
-    Distinct values are counted first, so copies cost nothing; values are cut
-    into equal-width cells and only the cells holding a wanted rank are sorted.
+    Distinct values are counted first, so copies cost nothing; their running counts bracket each wanted place.
     """
     value = F.col(column)
     counts = df.filter(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("c"))
-    total = counts.agg(
+    placed = range_sums(counts, ["v"], {"upto": F.col("c")})
+    total = placed.agg(
         F.sum("c").alias("n"), F.min("v").alias("min"), F.max("v").alias("max"),
         (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"),
     )
-    width = (F.col("max") - F.col("min")) / cells
-    celled = counts.join(F.broadcast(total.select("n", "min", "max")), how="cross").withColumn(
-        "cell",
-        F.when(width > 0, F.least(F.lit(cells - 1), F.floor((F.col("v") - F.col("min")) / width).cast("int"))).otherwise(0),
-    )
-    per_cell = celled.groupBy("cell").agg(F.sum("c").alias("cell_n"), F.max("n").alias("n"))
-    running = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # at most `cells` rows
-    ranges = per_cell.withColumn("upto", F.sum("cell_n").over(running)).withColumn("start", F.col("upto") - F.col("cell_n"))
-    wanted = F.array(*[F.struct(F.lit(p).alias("p"), F.floor((F.col("n") - 1) * p).alias("idx")) for p in fractions])
-    targets = (
-        ranges.withColumn("w", F.explode(wanted))
-        .filter((F.col("w.idx") >= F.col("start")) & (F.col("w.idx") < F.col("upto")))
-        .select("cell", "start", F.col("w.p").alias("p"), F.col("w.idx").alias("idx"))
-    )
-    in_cell = Window.partitionBy("p", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    picked = (
-        celled.select("cell", "v", "c")
-        .join(F.broadcast(targets), "cell")
-        .withColumn("end", F.col("start") + F.sum("c").over(in_cell))
-        .filter((F.col("idx") < F.col("end")) & (F.col("idx") >= F.col("end") - F.col("c")))
-    )
     names = {p: f"p{int(p * 100)}" for p in fractions}
-    spread = picked.groupBy().agg(*[F.max(F.when(F.col("p") == p, F.col("v"))).alias(n) for p, n in names.items()])
+    at = lambda p: F.floor((F.col("n") - 1) * p)
+    held = lambda p: (at(p) < F.col("upto")) & (at(p) >= F.col("upto") - F.col("c"))
+    with_n = placed.join(F.broadcast(total.select("n")), how="cross")  # one row
+    spread = with_n.groupBy().agg(*[F.max(F.when(held(p), F.col("v"))).alias(n) for p, n in names.items()])
     return total.join(spread, how="cross").select("n", "min", *names.values(), "mean", "max")

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 
 from netsift import constants as K
 from netsift.functions.scalars import blank_to_null, two_decimals
-from netsift.operators.ranks import rank_by_value
+from netsift.operators.ranks import range_rank
 
 VERDICT_COLUMNS = [
     "verdict", "severity", "rationale", "recommended_action", "verdict_watchlist", "confidence",
@@ -193,18 +193,14 @@ def review_priority(routed: DataFrame, policy: str = "watchlist") -> DataFrame:
     """Reviewed flows with their global ``review_rank`` (1-based).
 
     Order: reviewable priority-1 first, then higher probability, then arrival;
-    ``fifo`` keeps arrival only. Ranks come from per-cell counts, so no task
-    sees the whole queue.
+    ``fifo`` keeps arrival only.
     """
     queue = routed.filter(F.col("route") == "tier1_llm")
     if policy == "fifo":
         queue = queue.withColumns({"k1": F.lit(0), "k2": F.lit(0.0)})
     else:
         queue = queue.withColumns({"k1": review_rank_key(F.col("match")), "k2": -F.col("ml_prob")})
-    return rank_by_value(
-        queue, values=["k1", "k2"], cells={"c1": F.col("k1"), "c2": F.floor(F.col("k2") * 1000)},
-        tie="arrival", tie_cell=F.floor(F.col("arrival") / 100_000), name="review_rank",
-    ).drop("k1", "k2")
+    return range_rank(queue, ["k1", "k2", "arrival"], "review_rank").drop("k1", "k2")
 
 
 def review_budget(routed: DataFrame, limit: int, policy: str = "watchlist") -> DataFrame:

@@ -215,12 +215,11 @@ def asset_map(spark, sf):
 
 @query("asset_order", inputs.ansi("SELECT ip, row_number() OVER (ORDER BY CASE criticality WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END, label, ip) AS place FROM amap", "assets", "zones", extra=MAP_SQL))
 def asset_order(spark, sf):
-    from netsift.operators.ranks import rank_by_value
+    from netsift.operators.ranks import range_rank
 
     rank, label, ip = topology.asset_order()
-    keyed = asset_map_frame(spark, sf).withColumns({"o1": rank, "o2": label, "o3": ip})
-    cells = {"c1": F.col("o1"), "c2": F.substring("o2", 1, 2)}
-    return rank_by_value(keyed, values=["o1", "o2"], cells=cells, tie="o3", tie_cell=F.substring("o3", 1, 9), name="place").select("ip", "place")
+    keyed = asset_map_frame(spark, sf).select("ip", rank.alias("o1"), label.alias("o2"), ip.alias("o3"))
+    return range_rank(keyed, ["o1", "o2", "o3"], "place").select("ip", "place")
 
 
 @query("group_edges", inputs.ansi(

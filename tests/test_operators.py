@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from netsift import session
 from netsift.operators import activity, learning, summary, tables, verdicts
-from netsift.operators.ranks import lower_quantiles, prefix_rank, rank_by_value
+from netsift.operators.ranks import lower_quantiles
 from netsift.plans import inputs
 from netsift.session import shared_folder
 from netsift.sources import context, flows
@@ -42,20 +42,25 @@ def test_hot_source_activity_equals_brute_force(spark, pane_rows):
         assert ports[fid] == sorted(set(prior), key=lambda p: (-prior.count(p), p))[:5]
 
 
-def test_hot_sources_get_narrow_panes(spark):
-    df = spark.range(1000).select(F.lit("hot").alias("src_ip"), (F.col("id") * 1000).alias("start_ms"))
-    assert activity.with_pane_width(df, 600_000, pane_rows=10).agg(F.max("pane_ms")).first()[0] <= 10_000
-    assert activity.with_pane_width(df, 600_000).agg(F.max("pane_ms")).first()[0] == 600_000
+def test_hot_sources_get_panes_of_equal_count(spark):
+    df = spark.range(1000).select(F.lit("hot").alias("src_ip"), (F.col("id") * 1000).alias("at"))
+    sizes = activity.with_panes(df, pane_rows=10).groupBy("pane").count().collect()
+    assert len(sizes) == 100 and {r["count"] for r in sizes} == {10}
+    assert activity.with_panes(df).select("pane").distinct().collect() == [(0,)]
 
 
-def test_bursts_and_stray_rows_do_not_widen_panes(spark):
-    """3,000 flows in 30 s and one at time 0: no pane holds more than the bound."""
-    burst = spark.range(3000).select(F.lit("hot").alias("src_ip"), (F.col("id") * 10 + 600_000_000).alias("start_ms"))
-    rows = burst.union(spark.createDataFrame([("hot", 0), ("calm", 5)], "src_ip string, start_ms bigint"))
-    panes = activity.with_pane_width(rows, 10_800_000, pane_rows=100)
-    full = panes.groupBy("src_ip", F.floor(F.col("start_ms") / F.col("pane_ms")).alias("p")).count()
-    assert full.agg(F.max("count")).first()[0] <= 100
-    assert panes.filter("src_ip = 'calm'").first()["pane_ms"] == 10_800_000
+def test_a_burst_narrows_its_own_panes_only(spark, monkeypatch):
+    """3,000 flows in 30 s, then one a day for years: the quiet stretch keeps wide panes, their number stays bounded."""
+    burst = spark.range(3000).select(F.lit("hot").alias("src_ip"), (F.col("id") * 10 + 600_000_000).alias("at"))
+    quiet = spark.range(1000).select(F.lit("hot").alias("src_ip"), (F.col("id") * 86_400_000 + 700_000_000).alias("at"))
+    rows = burst.union(quiet).union(spark.createDataFrame([("hot", 0), ("calm", 5)], "src_ip string, at bigint"))
+    panes = activity.with_panes(rows, pane_rows=100)
+    spans = panes.where("src_ip = 'hot'").groupBy("pane").agg(F.count("*").alias("n"), (F.max("at") - F.min("at")).alias("ms")).orderBy("pane").collect()
+    assert max(r.n for r in spans) <= 100 and len(spans) <= 42
+    assert max(r.ms for r in spans[1:29]) <= 1_000 and min(r.ms for r in spans[31:-1]) > 90 * 86_400_000
+    assert panes.filter("src_ip = 'calm'").first()["pane"] == 0
+    monkeypatch.setattr(activity, "MOST_PANES", 8)
+    assert activity.with_panes(rows, pane_rows=100).select("src_ip", "pane").distinct().count() <= 10
 
 
 def test_untimed_flows_count_in_triage(spark):
@@ -66,19 +71,6 @@ def test_untimed_flows_count_in_triage(spark):
     assert got == {"a": (0, 0, 0), "b": (2, 2, 1), "c": (1, 1, 0), "d": (0, 0, 0)}
 
 
-def test_prefix_rank_is_a_global_row_number(spark):
-    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("v"))
-    ranked = prefix_rank(df, cells={"c": F.floor(F.col("v") / 10)}, order=["v"], name="r")
-    assert ranked.filter(F.col("r") != F.col("v") + 1).count() == 0
-
-
-def test_rank_by_value_with_one_hot_value(spark):
-    df = spark.range(600).select(F.when(F.col("id") < 400, 5).otherwise(F.col("id") % 9).cast("double").alias("v"), F.col("id").alias("t"))
-    got = rank_by_value(df, values=["v"], cells={"c": F.floor(F.col("v") / 3)}, tie="t", tie_cell=F.floor(F.col("t") / 7), name="r", total="n")
-    ordered = sorted(((r["v"], r["t"]) for r in df.collect()))
-    assert {(r["v"], r["t"]): (r["r"], r["n"]) for r in got.collect()} == {k: (i + 1, 600) for i, k in enumerate(ordered)}
-
-
 def test_lower_quantiles_take_the_lower_index(spark):
     values = [5.0, 1.0, 1.0, 2.0, 9.0, 9.0, 9.0, 3.0]
     df = spark.createDataFrame([(v,) for v in values], "x double")
