@@ -175,6 +175,36 @@ def source_counts(flows: DataFrame, window_minutes: int, **panes) -> DataFrame:
     return timed.unionByName(untimed_counts(flows))
 
 
+def with_stored_verdicts(flows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Adds ``stored_verdict`` and ``hit`` from the verdicts (flow_id, verdict, watchlist_matched) of earlier runs; one per flow."""
+    hit = F.coalesce(F.col("watchlist_matched") != "", F.lit(False))
+    known = stored.select("flow_id", F.col("verdict").alias("stored_verdict"), hit.alias("hit"))
+    return flows.join(known, "flow_id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def with_feedback(flows: DataFrame, stored: DataFrame, window_minutes: int = 180, **panes) -> DataFrame:
+    """Flows plus activity counters with earlier watchlist hits, ``recent_verdicts`` and the alerts among them."""
+    known = with_stored_verdicts(flows, stored)
+    rows = known.select("flow_id", "src_ip", "start_ms", F.col("stored_verdict").alias("verdict"))
+    timed = recent_verdicts(rows.filter(F.col("start_ms").isNotNull()), window_minutes * MINUTE_MS, **panes)
+    recent = timed.unionByName(untimed_verdicts(rows))
+    return with_activity(known, window_minutes, **panes).join(recent, "flow_id").drop("stored_verdict", "hit")
+
+
+def untimed_verdicts(flows: DataFrame, limit: int = 5) -> DataFrame:
+    """Flows without a time see the newest verdicts of all other rows of their source, untimed ones last."""
+    newest = Window.partitionBy("src_ip").orderBy(F.coalesce("start_ms", F.lit(0)).desc(), F.desc("flow_id"))
+    judged = flows.filter(F.coalesce(F.col("verdict") != "", F.lit(False))).withColumn("rn", F.row_number().over(newest))
+    kept = judged.filter(F.col("rn") <= limit + 1)  # one more than is shown, as a flow does not see itself
+    item = F.struct("rn", F.col("flow_id").alias("id"), "verdict")
+    last = kept.groupBy("src_ip").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    found = flows.filter(F.col("start_ms").isNull()).join(last, "src_ip", "left")
+    others = F.slice(F.filter(F.coalesce("items", F.array().cast(last.schema["items"].dataType)), lambda x: x["id"] != F.col("flow_id")), 1, limit)
+    return found.withColumn("seen", F.transform(others, lambda x: x["verdict"])).select(
+        "flow_id", F.col("seen").alias("recent_verdicts"), F.size(F.filter("seen", lambda v: v == "alert")).cast("bigint").alias("recent_alert_count")
+    )
+
+
 def with_activity(flows: DataFrame, window_minutes: int = 180, **panes) -> DataFrame:
     """Flows plus their activity counters, with or without a time; the join back is on the unique flow id."""
     return flows.join(source_counts(flows, window_minutes, **panes), "flow_id")

@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from netsift.operators import matching, watchlist
 from netsift.plans import fixtures, inputs
 
-_RULES: dict[str, list[matching.Rule]] = {}
+_RULES: dict[tuple[str, bool], list[matching.Rule]] = {}
 
 
-def worked_rules(spark: SparkSession) -> list[matching.Rule]:
-    """The worked watchlist, linted and compiled once per application."""
-    app = spark.sparkContext.applicationId
-    if app not in _RULES:
-        tables = watchlist.load_watchlist(watchlist.document_frame(spark, fixtures.WATCHLIST))
-        _RULES[app] = matching.collect_rules(tables)
-    return _RULES[app]
+def worked_rules(spark: SparkSession, feedback: bool = False) -> list[matching.Rule]:
+    """The worked watchlist, linted and compiled once per application; with ``feedback`` also the items on stored verdicts."""
+    key = (spark.sparkContext.applicationId, feedback)
+    if key not in _RULES:
+        document = fixtures.FEEDBACK_WATCHLIST if feedback else fixtures.WATCHLIST
+        _RULES[key] = matching.collect_rules(watchlist.load_watchlist(watchlist.document_frame(spark, document)))
+    return _RULES[key]
 
 
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from netsift import constants as K
 from netsift.operators import matching, routing, verdicts
-from netsift.plans import inputs, triage
+from netsift.plans import fixtures, inputs, triage
 from netsift.plans.catalog import query
 from netsift.plans.catalog.common import joined, r6, scored, view, worked_rules
 from netsift.plans.catalog.sqltext import match_ctes, route_ctes
@@ -233,6 +233,25 @@ def triage_counts(spark, sf):
     )
 
 
+FEEDBACK = route_ctes(watchlist=fixtures.FEEDBACK_WATCHLIST, feedback=True, minutes=4320)
+
+
+@query("triage_with_feedback", inputs.ansi(
+    """SELECT e.flow_id, route, verdict, severity, item_id AS watchlist_matched, strength AS watchlist_match_strength, round(effective_review_threshold, 6) AS effective_review_threshold, trigger_matched AS watchlist_trigger_match,
+    coalesce(list_aggregate(trigger_list, 'string_agg', '|'), '') AS watchlist_matched_trigger_hints, act.watchlist_hit_count, act.recent_alert_count FROM events_out e JOIN act ON act.flow_id = e.flow_id""",
+    "flows", "verdicts", extra=FEEDBACK))
+def triage_with_feedback(spark, sf):
+    """The triage with the verdicts of three earlier days: hints on recent alerts and watchlist hits of a source fire."""
+    rules, stored = worked_rules(spark, feedback=True), view(spark, sf, "verdicts")
+    prepared = triage.prepare_flows(scored(spark, sf), rules, stored=stored, window_minutes=4320)
+    events = triage.flat_events(triage.judge_rows(routing.enrich_inline(prepared)), "watchlist_hit_count", "recent_alert_count")
+    return events.select(
+        "flow_id", "route", "verdict", "severity", "watchlist_matched", "watchlist_match_strength", "watchlist_trigger_match",
+        r6(F.col("effective_review_threshold")).alias("effective_review_threshold"),
+        joined(F.col("watchlist_matched_trigger_hints")).alias("watchlist_matched_trigger_hints"), "watchlist_hit_count", "recent_alert_count",
+    )
+
+
 @query("judge_payload")
 def judge_payload(spark, sf):
     """The evidence record of every reviewed flow."""

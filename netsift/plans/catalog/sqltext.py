@@ -49,12 +49,12 @@ def _word(op: str) -> str:
     return {"eq": "==", "in": "in", "in_cidr": "in", "not_in": "not in", "nin": "not in", "not_in_cidr": "not in"}.get(op, op)
 
 
-def worked_watchlist() -> dict[str, str]:
-    """The worked watchlist as relational constants (facts only, no derived strength)."""
+def worked_watchlist(watchlist: dict = WATCHLIST) -> dict[str, str]:
+    """A worked watchlist as relational constants (facts only, no derived strength)."""
     items, targets, hints = [], [], []
     seq = 0
     for rank, priority in enumerate(("priority_1", "priority_2", "priority_3")):
-        for item in WATCHLIST[priority]:
+        for item in watchlist[priority]:
             seq += 1
             policy = item.get("routing_policy") or {}
             items.append([
@@ -94,17 +94,27 @@ FROM flows a LEFT JOIN flows b ON b.src_ip = a.src_ip AND b.start_ms < a.start_m
 GROUP BY a.flow_id"""
 
 
-def match_ctes(activity: bool = True, minutes: int = 180) -> dict[str, str]:
+FEEDBACK = """SELECT c.*, coalesce(h.hits, 0) AS watchlist_hit_count, coalesce(v.alerts, 0) AS recent_alert_count FROM ({counts}) c
+  LEFT JOIN (SELECT a.flow_id, count(*) AS hits FROM flows a JOIN flows b ON b.src_ip = a.src_ip AND b.start_ms < a.start_ms AND b.start_ms >= a.start_ms - {ms}
+    JOIN verdicts v ON v.flow_id = b.flow_id AND v.watchlist_matched <> '' GROUP BY a.flow_id) h ON h.flow_id = c.flow_id
+  LEFT JOIN (SELECT flow_id, count(*) FILTER (WHERE verdict = 'alert') AS alerts FROM (SELECT a.flow_id, v.verdict, row_number() OVER (PARTITION BY a.flow_id ORDER BY b.start_ms DESC, b.flow_id DESC) AS rn
+    FROM flows a JOIN flows b ON b.src_ip = a.src_ip AND b.start_ms < a.start_ms AND b.start_ms >= a.start_ms - {ms} JOIN verdicts v ON v.flow_id = b.flow_id AND v.verdict <> '') WHERE rn <= 5 GROUP BY flow_id) v ON v.flow_id = c.flow_id"""
+
+
+def match_ctes(activity: bool = True, minutes: int = 180, watchlist: dict = WATCHLIST, feedback: bool = False) -> dict[str, str]:
     """From flows to graded (flow, item) rows and the best item, relationally."""
-    ctes = worked_watchlist()
-    if activity:
+    ctes = worked_watchlist(watchlist)
+    if feedback:
+        ctes["act"] = FEEDBACK.format(counts=ACTIVITY.format(ms=minutes * 60000), ms=minutes * 60000)
+    elif activity:
         ctes["act"] = ACTIVITY.format(ms=minutes * 60000)
     else:
         ctes["act"] = "SELECT flow_id, CAST(NULL AS BIGINT) AS same_dst_port_count FROM flows"
     lo = "list_reduce(list_transform(string_split(split_part(cidr, '/', 1), '.'), lambda x: CAST(x AS BIGINT)), lambda p, q: p * 256 + q)"
     ctes["ranges"] = f"""SELECT seq, tseq, ip, cidr, side, CASE WHEN cidr IS NULL THEN NULL ELSE {lo} END AS lo,
       CASE WHEN cidr IS NULL THEN NULL ELSE CAST(pow(2, 32 - CAST(split_part(cidr, '/', 2) AS INT)) AS BIGINT) END AS size FROM wl_targets"""
-    ctes["env"] = f"SELECT f.*, act.same_dst_port_count, {ip_int('f.src_ip')} AS src_n, {ip_int('f.dst_ip')} AS dst_n FROM flows f JOIN act USING (flow_id)"
+    told = "act.watchlist_hit_count, act.recent_alert_count" if feedback else "0 AS watchlist_hit_count, 0 AS recent_alert_count"
+    ctes["env"] = f"SELECT f.*, act.same_dst_port_count, {told}, {ip_int('f.src_ip')} AS src_n, {ip_int('f.dst_ip')} AS dst_n FROM flows f JOIN act USING (flow_id)"
     part = (
         "SELECT e.flow_id, r.seq, r.tseq * 10 + {n} AS pos, {text} AS cond, '{kind}' AS kind FROM env e JOIN ranges r ON {test} AND r.side IN ('{side}', 'either')"
     )
@@ -120,7 +130,8 @@ def match_ctes(activity: bool = True, minutes: int = 180) -> dict[str, str]:
     ctes["scoped"] = """SELECT flow_id, seq, list(cond ORDER BY pos) AS base, bool_or(kind = 'cidr_src') AS src_range,
       bool_or(kind IN ('ip_src', 'cidr_src')) AS from_src FROM scope_rows GROUP BY flow_id, seq"""
     actual = """CASE h.field WHEN 'src_ip' THEN e.src_ip WHEN 'dst_ip' THEN e.dst_ip WHEN 'dst_port' THEN CAST(e.dst_port AS VARCHAR)
-      WHEN 'protocol' THEN e.protocol WHEN 'recent_source_same_dst_port_count' THEN CAST(e.same_dst_port_count AS VARCHAR) END"""
+      WHEN 'protocol' THEN e.protocol WHEN 'recent_source_same_dst_port_count' THEN CAST(e.same_dst_port_count AS VARCHAR)
+      WHEN 'recent_source_alert_count' THEN CAST(e.recent_alert_count AS VARCHAR) WHEN 'watchlist_hit_count' THEN CAST(e.watchlist_hit_count AS VARCHAR) END"""
     number = "list_reduce(list_transform(string_split(split_part(c, '/', 1), '.'), lambda x: CAST(x AS BIGINT)), lambda p, q: p * 256 + q)"
     ctes["hint_ranges"] = f"""SELECT seq, kind, hseq, list({number}) AS los, list({number} + CAST(pow(2, 32 - CAST(split_part(c, '/', 2) AS INT)) AS BIGINT) - 1) AS his
       FROM (SELECT seq, kind, hseq, unnest(string_split(vals, '|')) AS c FROM wl_hints WHERE op IN ('in_cidr', 'not_in_cidr')) GROUP BY ALL"""
@@ -133,7 +144,7 @@ def match_ctes(activity: bool = True, minutes: int = 180) -> dict[str, str]:
       CASE WHEN h.field IN ('dst_port', 'protocol') THEN 'asset_service'
         WHEN h.field = 'dst_ip' AND (h.op = 'not_in_cidr' OR h.vals = '169.254.169.254') THEN 'review_candidate' WHEN h.field = 'dst_ip' THEN 'asset_service'
         WHEN h.field = 'src_ip' AND h.op = 'not_in_cidr' THEN 'policy_violation' WHEN h.field = 'src_ip' AND h.op = 'in' THEN 'threat_source'
-        WHEN h.field = 'src_ip' THEN 'review_candidate' WHEN h.field LIKE 'recent_source_%' THEN 'behavior' ELSE 'none' END AS strength
+        WHEN h.field = 'src_ip' THEN 'review_candidate' WHEN h.field LIKE 'recent_source_%' OR h.field = 'watchlist_hit_count' THEN 'behavior' ELSE 'none' END AS strength
       FROM scoped s JOIN env e USING (flow_id) JOIN wl_hints h USING (seq) LEFT JOIN hint_ranges hr ON hr.seq = h.seq AND hr.kind = h.kind AND hr.hseq = h.hseq"""
     ctes["hinted"] = """SELECT *, coalesce(known AND yes, false) AS hit, coalesce(known AND NOT yes, false) AS miss,
       (field = 'src_ip' AND op = 'in_cidr' AND src_range) AS scoped_only FROM hint_rows"""
@@ -189,8 +200,8 @@ def match_ctes(activity: bool = True, minutes: int = 180) -> dict[str, str]:
     return ctes
 
 
-def route_ctes() -> dict[str, str]:
-    ctes = match_ctes()
+def route_ctes(**settings) -> dict[str, str]:
+    ctes = match_ctes(**settings)
     ctes["eff0"] = """SELECT *, mock_prob AS prob, (priority = 'priority_1' AND trigger_matched AND NOT context_only) IS TRUE AS may,
       CASE strength WHEN 'behavioral_review' THEN 0.12e0 WHEN 'behavior' THEN 0.12e0 WHEN 'threat_source' THEN 0.08e0
         WHEN 'policy_violation' THEN 0.08e0 WHEN 'critical_forbidden' THEN 0.04e0 ELSE 0.2e0 END AS base_t FROM matches"""

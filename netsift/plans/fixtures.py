@@ -90,3 +90,23 @@ WATCHLIST = {
         {"id": "W-WIDE", "target_assets": [{"cidr": "10.60.0.0/16"}], "reason": "everything inside"},
     ],
 }
+
+#: The same with items that look at what earlier runs decided about a source.
+FEEDBACK_WATCHLIST = {
+    **WATCHLIST,
+    "priority_1": [
+        *WATCHLIST["priority_1"],
+        {
+            "id": "W-ALERTED",
+            "target_assets": [{"cidr": "198.51.100.0/24", "match": "src"}],
+            "reason": "outside source with recent alerts",
+            "detection_hints": [HINT("recent_source_alert_count", "gte", 1)],
+        },
+        {
+            "id": "W-AGAIN",
+            "target_assets": [{"cidr": "10.60.50.0/24", "match": "src"}],
+            "reason": "source with recent watchlist hits",
+            "detection_hints": [HINT("watchlist_hit_count", "gt", 3), HINT("dst_port", "in", [443, 8443])],
+        },
+    ],
+}

@@ -32,15 +32,17 @@ def prepare_flows(
     low: float = K.THRESHOLD_LOW,
     high: float = K.THRESHOLD_HIGH,
     priority_1: float = K.PRIORITY_1_THRESHOLD,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """Scored flows (with ``ml_prob``) -> activity, match and route columns.
 
-    Verdict feedback (``recent_alert_count``, hits) is what the flow table
-    stores about earlier runs; without such columns both counters are zero.
+    ``stored`` are the verdicts of earlier runs (flow_id, verdict, watchlist_matched): they give the recent alerts and
+    watchlist hits of a source. Without them both counters are zero.
     """
-    active = activity.with_activity(flows, window_minutes)
-    if "recent_alert_count" not in active.columns:
-        active = active.withColumn("recent_alert_count", F.lit(0).cast("bigint"))
+    if stored is not None:
+        active = activity.with_feedback(flows, stored, window_minutes)
+    else:
+        active = activity.with_activity(flows, window_minutes).withColumn("recent_alert_count", F.lit(0).cast("bigint"))
     matched = match.match_flows(active, rules)
     return routing.route_flows(matched, low=low, high=high, priority_1=priority_1)
 

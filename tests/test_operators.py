@@ -71,6 +71,24 @@ def test_untimed_flows_count_in_triage(spark):
     assert got == {"a": (0, 0, 0), "b": (2, 2, 1), "c": (1, 1, 0), "d": (0, 0, 0)}
 
 
+def test_stored_verdicts_of_timed_and_untimed_flows(spark):
+    """The newest five verdicts before a flow, or of the whole source without a time; own and empty ones do not count."""
+    rng = random.Random(2)
+    rows = [(f"f{i:02}", rng.choice("ab"), "d", 80, "6", None if i % 9 == 0 else rng.randrange(40) * 60_000) for i in range(60)]
+    stored = [(r[0], rng.choice(["alert", "benign", ""]), rng.choice(["W", "", None])) for r in rows if rng.random() < 0.8]
+    flows_ = spark.createDataFrame(rows, "flow_id string, src_ip string, dst_ip string, dst_port int, protocol string, start_ms bigint")
+    got = {
+        r.flow_id: (r.recent_verdicts, r.recent_alert_count, r.watchlist_hit_count)
+        for r in activity.with_feedback(flows_, spark.createDataFrame(stored, "flow_id string, verdict string, watchlist_matched string"), 20).collect()
+    }
+    known = {f: (v, w) for f, v, w in stored}
+    for fid, src, _, _, _, t in rows:
+        seen = [r for r in rows if r[1] == src and r[0] != fid and (t is None or (r[5] is not None and t - 20 * 60_000 <= r[5] < t))]
+        newest = sorted((r for r in seen if known.get(r[0], ("",))[0]), key=lambda r: (r[5] or 0, r[0]), reverse=True)[:5]
+        verdicts_ = [known[r[0]][0] for r in newest]
+        assert got[fid] == (verdicts_, verdicts_.count("alert"), sum(bool(known.get(r[0], ("", None))[1]) for r in seen)), fid
+
+
 def test_lower_quantiles_take_the_lower_index(spark):
     values = [5.0, 1.0, 1.0, 2.0, 9.0, 9.0, 9.0, 3.0]
     df = spark.createDataFrame([(v,) for v in values], "x double")
