@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from netsift import constants as K
 from netsift.functions.scalars import case_of, two_decimals
+from netsift.session import run_folder
+from netsift.sources.sinks import settle
 
 MOCK_HINT = ("mock", 0.5)
 
@@ -137,18 +139,18 @@ def enrich_after_route(
 ) -> DataFrame:
     """Runs the costly models only on survivors of routing.
 
-    The frame is split by route before scoring, because a model inside a CASE
-    may run on every row. ``hint`` and ``explain`` are DataFrame functions.
+    The frame is split by route before scoring, because a model inside a CASE may run on every row. It is
+    stored first, so everything before the split is computed once; ``hint`` sees each survivor once.
+    ``hint`` and ``explain`` are DataFrame functions that keep all columns.
     """
     none = F.array().cast(ATTRIBUTIONS)
-    name = F.col("route")
-    dismissed = routed.filter(name == "auto_dismiss").select(
+    stored = settle(routed, run_folder(routed.sparkSession, "routed"))
+    dismissed = stored.filter(F.col("route") == "auto_dismiss").select(
         "*", F.lit("not_evaluated").alias("category_hint"), F.lit(0.0).alias("category_confidence"), none.alias("attributions")
     )
-    alerted = hint(routed.filter(name == "auto_alert")).withColumn("attributions", none)
-    reviewed = explain(hint(routed.filter(name == "tier1_llm"))).withColumn(
-        "attributions", F.col("attributions").cast(ATTRIBUTIONS)
-    )
+    hinted = settle(hint(stored.filter(F.col("route") != "auto_dismiss")), run_folder(routed.sparkSession, "hinted"))
+    alerted = hinted.filter(F.col("route") == "auto_alert").withColumn("attributions", none)
+    reviewed = explain(hinted.filter(F.col("route") == "tier1_llm")).withColumn("attributions", F.col("attributions").cast(ATTRIBUTIONS))
     return dismissed.unionByName(alerted).unionByName(reviewed)
 
 

@@ -6,11 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def quota_sample(rows: DataFrame, quotas: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """First ``quota`` rows per key; keys without a quota give none."""
-    window = Window.partitionBy(*keys).orderBy(order)
-    ranked = rows.join(quotas, keys).withColumn("_rank", F.row_number().over(window))
-    return ranked.filter(F.col("_rank") <= F.col("quota")).drop("_rank")
+CELLS = 256
+
+
+def quota_sample(rows: DataFrame, quotas: DataFrame, keys: list[str], order: str, cells: int = CELLS) -> DataFrame:
+    """First ``quota`` rows per key; keys without a quota give none.
+
+    Each key is dealt into ``cells`` parts by a hash. A part keeps its own first ``quota`` rows, so the
+    second ranking sees at most cells x quota rows of a key, however many it has.
+    """
+    part = Window.partitionBy(*keys, "_cell").orderBy(order)
+    whole = Window.partitionBy(*keys).orderBy(order)
+    dealt = rows.join(quotas, keys).withColumn("_cell", F.pmod(F.xxhash64(order), F.lit(cells)))
+    first = dealt.withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= F.col("quota"))
+    ranked = first.withColumn("_rank", F.row_number().over(whole)).filter(F.col("_rank") <= F.col("quota"))
+    return ranked.drop("_rank", "_cell")
 
 
 def quota_report(sample: DataFrame, quotas: DataFrame, keys: list[str], order: str) -> DataFrame:

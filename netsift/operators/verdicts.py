@@ -215,8 +215,23 @@ def review_budget(routed: DataFrame, limit: int, policy: str = "watchlist") -> D
 # --- judge calls --------------------------------------------------------------
 
 
-def evidence() -> Column:
-    """The nested evidence record a judge sees, as JSON text."""
+BRIEF_CHARS = 1200
+
+
+def source_activity(window_minutes: int, ports: Column | None = None, recent: Column | None = None) -> Column:
+    """The activity part of the evidence, from the counters of the flow."""
+    none = F.array().cast("array<string>")
+    said = F.format_string(K.ACTIVITY_SENTENCE, F.lit(window_minutes), F.col("flow_count"), F.col("distinct_dst_count"))
+    return F.struct(
+        F.lit(window_minutes).alias("window_minutes"), "flow_count", "distinct_dst_count",
+        (F.array().cast("array<int>") if ports is None else ports).alias("top_dst_ports"), (none if recent is None else recent).alias("recent_verdicts"),
+        F.col("same_dst_count").alias("same_src_same_dst_count"), F.col("same_dst_port_count").alias("same_src_same_dst_port_count"),
+        "watchlist_hit_count", "recent_alert_count", said.alias("summary_ko"),
+    )
+
+
+def evidence(activity: Column, brief: str = "") -> Column:
+    """The nested evidence record a judge sees, as JSON text; ``brief`` is cut to ``BRIEF_CHARS``."""
     from netsift.functions import net, scalars
 
     match = F.col("match")
@@ -236,8 +251,10 @@ def evidence() -> Column:
             F.struct(
                 F.col("ml_prob").alias("prob"), "category_hint", "category_confidence", F.col("attributions").alias("top_features")
             ).alias("ml"),
+            activity.alias("source_activity"),
             context.alias("flow_context"),
             match.alias("watchlist_match"),
+            F.lit(brief[:BRIEF_CHARS]).alias("brief_context_excerpt"),
             F.struct(
                 "route", F.col("route_reason").alias("reason"), "effective_review_threshold",
                 "dynamic_threshold_applied", "dynamic_threshold_reason",
@@ -257,11 +274,11 @@ def model_judge(
     *,
     retries: int = 1,
     backoff_seconds: float = 2.0,
-    parallel_calls: int = 16,
+    parallel_calls: int | None = None,
 ) -> DataFrame:
     """Calls an injected judge on rows (flow_id, evidence); no network client is shipped.
 
-    ``parallel_calls`` bounds the concurrent calls, whatever the input size.
+    The rows are spread over the cluster; ``parallel_calls`` bounds the concurrent calls where a provider asks for it.
     Transient errors are retried with exponential backoff.
     """
 
@@ -289,7 +306,8 @@ def model_judge(
                 errors.append(error)
             yield pd.DataFrame({"flow_id": batch["flow_id"], "content": contents, "error": errors})
 
-    spread = reviews.select("flow_id", "evidence").repartition(parallel_calls, "flow_id")
+    rows = reviews.select("flow_id", "evidence")
+    spread = rows.repartition("flow_id") if parallel_calls is None else rows.repartition(parallel_calls, "flow_id")
     return spread.mapInPandas(call, "flow_id string, content string, error string")
 
 

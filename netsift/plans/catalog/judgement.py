@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from netsift import constants as K
-from netsift.operators import matching, routing, verdicts
+from netsift.operators import activity, matching, routing, verdicts
 from netsift.plans import fixtures, inputs, triage
 from netsift.plans.catalog import query
 from netsift.plans.catalog.common import joined, r6, scored, view, worked_rules
@@ -252,11 +252,37 @@ def triage_with_feedback(spark, sf):
     )
 
 
-@query("judge_payload")
+def reviews(spark, sf):
+    """The evidence record of every reviewed flow, with three days of stored feedback."""
+    flows, stored = scored(spark, sf), view(spark, sf, "verdicts")
+    prepared = triage.prepare_flows(flows, worked_rules(spark, feedback=True), stored=stored, window_minutes=4320)
+    found = routing.enrich_inline(prepared).filter(F.col("route") == "tier1_llm")
+    found = found.join(activity.top_ports(flows, 4320 * activity.MINUTE_MS), "flow_id", "left")
+    told = verdicts.source_activity(4320, F.col("top_dst_ports"), F.col("recent_verdicts"))
+    return found.select("flow_id", verdicts.evidence(told, BRIEF).alias("evidence"))
+
+
+BRIEF = "Only listed sources reach the database. " * 40
+PORTS_SQL = "SELECT flow_id, string_agg(CAST(dst_port AS VARCHAR), ',' ORDER BY n DESC, dst_port) AS ports FROM (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY n DESC, dst_port) AS rn FROM (SELECT a.flow_id, b.dst_port, count(*) AS n FROM flows a JOIN flows b ON b.src_ip = a.src_ip AND b.start_ms < a.start_ms AND b.start_ms >= a.start_ms - 259200000 GROUP BY ALL)) WHERE rn <= 5 GROUP BY flow_id"
+JUDGED_FIELDS = {
+    "dst_port": "flow.dst_port", "flow_count": "source_activity.flow_count", "distinct_dst_count": "source_activity.distinct_dst_count",
+    "same_dst_port": "source_activity.same_src_same_dst_port_count", "hits": "source_activity.watchlist_hit_count",
+    "alerts": "source_activity.recent_alert_count", "sentence": "source_activity.summary_ko", "item_id": "watchlist_match.item_id",
+    "strength": "watchlist_match.match_strength", "completeness": "watchlist_match.trigger_completeness", "route_reason": "route.reason",
+    "excerpt": "brief_context_excerpt",
+}
+
+
+@query("judge_payload", inputs.ansi(
+    f"""SELECT e.flow_id, CAST(e.dst_port AS VARCHAR) AS dst_port, CAST(flow_count AS VARCHAR) AS flow_count, CAST(distinct_dst_count AS VARCHAR) AS distinct_dst_count, CAST(a.same_dst_port_count AS VARCHAR) AS same_dst_port,
+    CAST(watchlist_hit_count AS VARCHAR) AS hits, CAST(recent_alert_count AS VARCHAR) AS alerts, '최근 4320분 기준 DB에서 같은 출발지 flow ' || flow_count || '건, 목적지 ' || distinct_dst_count || '개를 확인했습니다.' AS sentence,
+    item_id, strength, completeness, route_reason, '{BRIEF[:1200]}' AS excerpt, '[' || coalesce(ports, '') || ']' AS ports FROM events_out e JOIN act a ON a.flow_id = e.flow_id LEFT JOIN ({PORTS_SQL}) p ON p.flow_id = e.flow_id WHERE route = 'tier1_llm'""",
+    "flows", "verdicts", extra=FEEDBACK))
 def judge_payload(spark, sf):
-    """The evidence record of every reviewed flow."""
-    reviews = enriched(spark, sf).filter(F.col("route") == "tier1_llm")
-    return reviews.select("flow_id", verdicts.evidence().alias("evidence"))
+    """What the evidence record of every reviewed flow says."""
+    told = reviews(spark, sf)
+    said = [F.get_json_object("evidence", f"$.{path}").alias(name) for name, path in JUDGED_FIELDS.items()]
+    return told.select("flow_id", *said, F.get_json_object("evidence", "$.source_activity.top_dst_ports").alias("ports"))
 
 
 def _sample_judge(evidence: str) -> str:
@@ -269,11 +295,13 @@ def _sample_judge(evidence: str) -> str:
     return f"thinking... {json.dumps({'verdict': verdict, 'severity': 'high', 'confidence': 0.7})} done"
 
 
-@query("model_judge")
+@query("model_judge", inputs.ansi(
+    """SELECT flow_id, CASE WHEN prob > 0.6e0 AND prob <= 0.9e0 THEN 'alert' ELSE 'uncertain' END AS verdict, CASE WHEN prob > 0.9e0 THEN 'medium' ELSE 'high' END AS severity,
+    CASE WHEN prob > 0.9e0 THEN 0.5e0 ELSE 0.7e0 END AS confidence, CASE WHEN prob > 0.9e0 THEN 'LLM provider call failed: bad request' END AS fallback_reason FROM events_out WHERE route = 'tier1_llm'""",
+    "flows", "verdicts", extra=FEEDBACK))
 def model_judge(spark, sf):
     """Evidence -> injected judge -> parsed, validated verdicts."""
-    reviews = judge_payload(spark, sf)
-    answers = verdicts.parse_responses(verdicts.model_judge(reviews, _sample_judge, backoff_seconds=0.0))
+    answers = verdicts.parse_responses(verdicts.model_judge(reviews(spark, sf), _sample_judge, backoff_seconds=0.0))
     checked = verdicts.validate_verdicts(
         answers.withColumn("response", verdicts.response_struct(F.col("object_json"))).withColumn(
             "match", F.struct(F.lit(None).cast("string").alias("item_id"))
@@ -285,11 +313,13 @@ def model_judge(spark, sf):
     )
 
 
-@query("parse_model_responses")
+@query("parse_model_responses", """SELECT conv_id, turn, CASE WHEN found THEN CASE WHEN turn % 2 = 0 THEN 'alert' ELSE 'uncertain' END END AS verdict, CASE WHEN found THEN 'high' END AS severity,
+  CASE WHEN found THEN text END AS rationale FROM (SELECT *, coalesce(turn % 3 = 0 OR (turn % 3 = 1 AND text IS NOT NULL), false) AS found FROM conversations)""")
 def parse_model_responses(spark, sf):
-    """Answers embedded in conversation turns: whole JSON, JSON inside prose, or none."""
-    turns = view_conversations(spark, sf)
-    return verdicts.parse_responses(turns).select("conv_id", "turn", "object_json")
+    """Answers embedded in conversation turns: whole JSON, JSON inside prose and broken JSON, or none."""
+    turns = verdicts.parse_responses(view_conversations(spark, sf))
+    said = turns.withColumn("r", verdicts.response_struct(F.col("object_json")))
+    return said.select("conv_id", "turn", "r.verdict", "r.severity", "r.rationale")
 
 
 def view_conversations(spark, sf):

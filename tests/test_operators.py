@@ -186,3 +186,49 @@ def test_shared_folder_follows_the_session(spark, monkeypatch):
 
 def test_every_customer_is_an_indicator(spark, data):
     assert inputs.view(spark, data, "indicators").count() == inputs.table(spark, data, "customer").count()
+
+
+def test_seed_falls_back_without_important_assets(spark):
+    from netsift import constants as K
+    from netsift.operators import curation
+
+    kind = "seq bigint, ip string, role string, criticality string, services array<string>"
+    rows = [(1, "10.0.0.1", "laptop", "low", None), (2, "10.0.0.2", None, "high", ["ssh"])]
+    seed = lambda part: curation.seed_watchlist(spark.createDataFrame(part, kind), "2024-01-31").collect()
+    (only,) = seed(rows[:1])
+    assert (only.item_id, only.ip, only.role, only.item_seq) == ("P1-20240131-001", K.SEED_SAMPLE_IP, "web-application-server", 0)
+    assert [int(p) for p in only.ports] == [80, 443] and only.reason == K.SEED_FALLBACK["reason"]
+    assert [r.ip for r in seed(rows)] == ["10.0.0.2"] and len(seed([])) == 1
+
+
+def test_quota_of_a_hot_key(spark):
+    from netsift.operators import sampling
+
+    rows = [("hot", i * 7919 % 5_000) for i in range(5_000)] + [("cold", i) for i in range(3)] + [("other", 1)]
+    frame = spark.createDataFrame(rows, "k string, i int")
+    quotas = spark.createDataFrame([("hot", 40), ("cold", 9), ("none", 5)], "k string, quota int")
+    got = sampling.quota_sample(frame, quotas, ["k"], "i", cells=16)
+    assert sorted((r.k, r.i) for r in got.collect()) == [("cold", i) for i in range(3)] + [("hot", i) for i in range(40)]
+
+
+def test_enrichment_scores_survivors_once(spark):
+    from netsift.operators import routing
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    routed = spark.range(30).select(
+        F.col("id").cast("string").alias("flow_id"), F.lit(0.5).alias("ml_prob"),
+        F.element_at(F.array(F.lit("auto_dismiss"), F.lit("auto_alert"), F.lit("tier1_llm")), (F.col("id") % 3 + 1).cast("int")).alias("route"),
+    )
+    once = routed.mapInPandas(counted, routed.schema)
+    out = routing.enrich_after_route(once, hint=lambda rows: routing.mock_hint(rows.mapInPandas(counted, rows.schema)))
+    rows = out.collect()
+    assert len(rows) == 30 and seen.value == 30 + 20
+    assert {(r.route, r.category_hint, len(r.attributions)) for r in rows} == {
+        ("auto_dismiss", "not_evaluated", 0), ("auto_alert", "mock", 0), ("tier1_llm", "mock", 1)
+    }
