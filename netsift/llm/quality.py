@@ -22,12 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsift.llm import carry, labels, registry, words
+from netsift.session import run_folder
 
 DIMS = 4096
 RANK = 64
 FIT_ROWS = 4096
 NEIGHBOURS = 24
 BLOCK_ROWS = 512
+BLOCK = 256
+PASSES = 4
 POWER = 4
 THRESHOLD = 0.3
 FOLDS = 5
@@ -132,14 +135,44 @@ class Model:
         return np.clip(out, 0, 1)
 
 
-def leading_vectors(x: np.ndarray, rank: int) -> np.ndarray:
-    """The leading right singular vectors by a randomised range finder with a fixed seed."""
-    probe = np.random.default_rng(7).standard_normal((x.shape[1], min(rank + 16, *x.shape))).astype(np.float32)
-    y = x @ probe
-    for _ in range(3):
-        y = x @ (x.T @ np.linalg.qr(y)[0])
-    q = np.linalg.qr(y)[0]
-    return np.linalg.svd(q.T @ x, full_matrices=False)[2][:rank].T.astype(np.float32)
+def sample_blocks(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(weighted terms, labels) of the sample's rows that have terms, ``BLOCK`` rows at a time."""
+    for batch in batches:
+        for a in range(0, len(batch), BLOCK):
+            part = batch.slice(a, BLOCK)
+            counts = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint16).reshape(-1, DIMS + 2).astype(np.float32)
+            filled = counts.any(axis=1)
+            yield weighted(counts[filled], weights), part.column(1).to_numpy()[filled]
+
+
+def leading_vectors(sample: DataFrame, weights: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors by subspace iteration with a fixed seed.
+
+    The sample stays on the executors: each pass sends (terms x probes) numbers and brings as many back.
+    """
+    context = sample.sparkSession.sparkContext
+
+    def passed(probe: np.ndarray) -> np.ndarray:
+        sent = context.broadcast((weights, probe))
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weights, probe = sent.value
+            total = np.zeros(probe.shape, np.float32)
+            for x, _ in sample_blocks(batches, weights):
+                total += x.T @ (x @ probe)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+        out = np.zeros(probe.shape, np.float32)
+        for row in sample.mapInArrow(work, "total binary").toLocalIterator():
+            out += np.frombuffer(row["total"], np.float32).reshape(probe.shape)
+        sent.destroy()
+        return out
+
+    base = np.random.default_rng(7).standard_normal((DIMS + 2, rank + 16)).astype(np.float32)
+    for _ in range(PASSES):
+        base = np.linalg.qr(passed(base))[0]
+    turn = np.linalg.eigh(base.T @ passed(base))[1][:, ::-1]
+    return (base @ turn[:, :rank]).astype(np.float32)
 
 
 def fit(docs: DataFrame, known: DataFrame, text_col: str = "text", id_col: str = "doc_id", label: str = "quality") -> Model:
@@ -147,7 +180,7 @@ def fit(docs: DataFrame, known: DataFrame, text_col: str = "text", id_col: str =
     seen, total = document_frequency(rows)
     weights = (np.log((1 + total) / (1 + seen)) + 0.1).astype(np.float32)
     learn = labels.remainder(F.col("id"), FOLDS) != 0
-    sample = labels.labelled_sample(docs, known, label, learn, FIT_ROWS, id_col, text_col)
+    chosen = labels.labelled_sample(docs, known, label, learn, FIT_ROWS, id_col, text_col)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,22 +190,25 @@ def fit(docs: DataFrame, known: DataFrame, text_col: str = "text", id_col: str =
                     [pa.array([c.tobytes() for c in small], pa.binary()), batch.column(1).slice(a, b - a)], ["counts", "label"]
                 )
 
-    got = sample.mapInArrow(counted, "counts binary, label double").toArrow()  # at most FIT_ROWS rows
-    x = np.zeros((len(got), DIMS + 2), np.float32)
-    at = 0
-    for batch in got.to_batches(max_chunksize=256):
-        counts = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint16).reshape(-1, DIMS + 2)
-        x[at : at + len(counts)] = weighted(counts.astype(np.float32), weights)
-        at += len(counts)
-    target = got.column(1).to_numpy()
-    del got
-    filled = x.any(axis=1)
-    if not filled.all():
-        x, target = x[filled], target[filled]
-    if not len(target):
-        return Model(weights, np.zeros((DIMS + 2, 1), np.float32), np.zeros((0, 1), np.float32), target)
-    project = leading_vectors(x, min(RANK, len(x)))
-    return Model(weights, project, _unit(x @ project), target)
+    path = run_folder(docs.sparkSession, "quality")
+    chosen.mapInArrow(counted, "counts binary, label double").write.parquet(path)  # at most FIT_ROWS rows
+    sample = docs.sparkSession.read.schema("counts binary, label double").parquet(path)
+
+    def embedded(project: np.ndarray) -> pa.Table:
+        """(vector, label) of the sample's rows that have terms."""
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x, y in sample_blocks(batches, weights):
+                vectors = _unit(x @ project)
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(y)], ["vector", "label"])
+
+        return sample.mapInArrow(work, "vector binary, label double").toArrow()
+
+    rows_known = sample.count()
+    project = leading_vectors(sample, weights, min(RANK, rows_known)) if rows_known else np.zeros((DIMS + 2, 1), np.float32)
+    got = embedded(project)
+    vectors = np.frombuffer(b"".join(got.column(0).to_pylist()), np.float32).reshape(-1, project.shape[1])
+    return Model(weights, project, vectors, got.column(1).to_numpy())
 
 
 def with_scores(rows: DataFrame, model: Model) -> DataFrame:
