@@ -56,8 +56,12 @@ def url_path(url: Column) -> Column:
 
 
 def host_key(host: Column) -> Column:
-    """Labels in reverse, each with a zero character behind it; the empty host has the empty key."""
-    labels = F.transform(F.reverse(F.split(host, r"\.")), lambda x: F.concat(x, F.lit("\0")))
+    """Labels in reverse, each with a zero character behind it; the empty host has the empty key.
+
+    Zero characters inside a label become two others, so only the end of a label is one.
+    """
+    plain = F.replace(F.replace(host, F.lit("\1"), F.lit("\1\2")), F.lit("\0"), F.lit("\1\1"))
+    labels = F.transform(F.reverse(F.split(plain, r"\.")), lambda x: F.concat(x, F.lit("\0")))
     return F.when(host == "", F.lit("")).otherwise(F.array_join(labels, ""))
 
 

@@ -25,8 +25,8 @@ def test_rules_against_brute_force(spark):
     host = lambda: ".".join(label() for _ in range(rng.randint(0, 4)))
     path = lambda: "".join(rng.choice(["/", "a", "/b", "?q=/a", "#f", "/a/b"]) for _ in range(rng.randint(0, 4)))
     urls = [None, "", "no scheme", "://", "http://", "a://b://c/d", "http://H.COM?x", "s://a.b\n/c"] + [f"http://{host()}{path()}" for _ in range(600)]
-    urls += ["http://hot.com/a"] * 300
-    rules = [(rng.choice(["allow", "block"]), host(), path().split("?")[0].split("#")[0]) for _ in range(60)] + [("block", "hot.com", "/"), ("block", "hot.com", "/")]
+    urls += ["http://hot.com/a"] * 300 + ["http://com\0evil/", "http://a.com\0b/", "http://com\1\1evil/", "http://x.com\0/", "http://y.com\1/"]
+    rules = [(rng.choice(["allow", "block"]), host(), path().split("?")[0].split("#")[0]) for _ in range(60)] + [("block", "hot.com", "/"), ("block", "hot.com", "/"), ("block", "com", "/"), ("allow", "com\0", "/")]
     rules = list({(h.lower() if h.isascii() else h, p): (v, h, p) for v, h, p in rules}.values())
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string").selectExpr("*", "'x' host", "'y' rule", "1 key")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in U.judge_urls(pages, U.rule_frame(spark, rules)).collect()}
