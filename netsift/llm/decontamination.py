@@ -12,8 +12,8 @@ dealt into blocks of about ``BLOCK_BYTES`` of text. A block's tables are all tha
 pass, so that is bounded by a parameter; a larger benchmark takes more passes inside the same stage. Documents
 are never shuffled: a hot passage or source costs its own rows only.
 
-Null texts and texts without words have no hit. Items without text, words or id take no part. Repeated items and
-documents are treated alike each time. No item: nothing is hit. Other columns pass unchanged.
+Null texts and texts without words have no hit. Items without text or words take no part; those without an id are hit like
+others, but not counted or named. Repeated items count once, repeated documents are treated alike each time. No item: nothing is hit. Other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -56,13 +56,13 @@ class Block:
         return np.unique(self.shingle_len).tolist()
 
 
-def build_block(ids: list[str], texts: list[str], size: int, shingle: int) -> Block:
+def build_block(ids: list[str | None], texts: list[str], size: int, shingle: int) -> Block:
     found: dict[bytes, set[str]] = {}
     for first, _, w in words.column_words(pa.array(texts, pa.large_string()), words.ALNUM):
         for k in range(len(w.rows) - 1):
             own = w.hashes[w.rows[k] : w.rows[k + 1]]
             for at in range(max(len(own) - size + 1, min(len(own), 1))):
-                found.setdefault(own[at : at + size].tobytes(), set()).add(ids[first + k])
+                found.setdefault(own[at : at + size].tobytes(), set()).update([ids[first + k]] if ids[first + k] is not None else [])
     keys = sorted(found)
     lengths = np.array([len(k) // 8 for k in keys], np.int64)
     table = np.zeros((len(keys), size), np.uint64)
@@ -102,10 +102,9 @@ class Lookup:
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, size: int, block_bytes: int) -> tuple[DataFrame, int]:
-    """Item pieces (block, id, text) and the number of blocks."""
-    good = items.select(items[id_col].cast("string").alias("id"), items[text_col].cast("string").alias("text")).where(
-        "id is not null and text is not null"
-    )
+    """Distinct item pieces (block, id, text) and the number of blocks."""
+    good = items.select(items[id_col].cast("string").alias("id"), items[text_col].cast("string").alias("text")).where("text is not null")
+    good = good.distinct()  # one item repeated many times would be one block of any size
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -122,7 +121,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, size: int, block_b
     total = good.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
     cut_up = good.mapInPandas(cut, "id string, text string")
-    return cut_up.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))), blocks
+    return cut_up.distinct().withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks))), blocks
 
 
 def shingle_counts(rows: DataFrame, block: Block) -> dict[tuple[int, int], int]:
@@ -289,7 +288,7 @@ dw as (select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') k
        from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) p from d cross join lens)),
 hit as (select dw.doc_id, dw.p, dw.n, bw.item_id from dw join bw on dw.k = bw.k and dw.n = bw.n),
 pos as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + n)) q from hit) group by 1),
-its as (select doc_id, count(*) n_items, string_agg(i, ',' order by i) s
+its as (select doc_id, count(i) n_items, string_agg(i, ',' order by i) s
         from (select distinct doc_id, item_id::varchar i from hit) group by 1)
 select d.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
   sha256(coalesce(s, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated

@@ -17,11 +17,11 @@ def brute(docs, items, size):
         for item, passage in items:
             p = words_of(passage)
             windows = {tuple(p[a : a + size]) for a in range(max(len(p) - size + 1, 1))} if p else set()
-            for window in windows if item is not None else ():
+            for window in windows:
                 for a in range(len(w) - len(window) + 1):
                     if tuple(w[a : a + len(window)]) == window:
                         hit |= {*range(a, a + len(window))}
-                        seen.add(str(item))
+                        seen |= {str(item)} if item is not None else set()
         out.append((key, len(w), len(hit), sorted(seen)))
     return sorted(out, key=repr)
 
@@ -38,7 +38,7 @@ def test_is_brute_force(spark, monkeypatch, size, shingle, block):
     monkeypatch.setattr(D, "EXPAND", 5)
     rng = random.Random(size)
     text = lambda n: "".join(rng.choice(["a", "B", "c9", "é", "日本"]) + rng.choice([" ", ", ", "\n"]) for _ in range(n))
-    items = [(k, text(rng.randint(0, 30))) for k in range(12)] + [(12, "a b"), (12, "B c9"), (3, None), (None, "a a a a"), (13, "...")]
+    items = [(k, text(rng.randint(0, 30))) for k in range(12)] + [(12, "a b"), (12, "B c9"), (3, None), (None, "a a a a"), (13, "..."), *[(14, "c9 é B")] * 9]
     docs = [(k, text(rng.randint(0, 60))) for k in range(40)] + [(40, None), (41, ""), (2, "a b"), (None, "a B c9")]
     passage = text(25)
     items.append((99, passage))
