@@ -8,6 +8,7 @@ so classing bytes equals classing code points. Work proceeds in pieces of about
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,10 +16,12 @@ import numpy as np
 import pyarrow as pa
 
 PIECE = 2 << 20
-HASH_BYTES = 1 << 20
+HASH_BYTES = 1 << 16
+GIVE_BACK_ROWS = 1000
 
-_BASE = 0x9E3779B97F4A7C15
+_SEED = 0x9E3779B97F4A7C15
 _U = np.uint64
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library alone
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -54,14 +57,23 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system. Workers live on between stages and else keep what their largest one touched."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def pieces(offsets: np.ndarray, size: int = PIECE, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``size`` bytes and ``rows`` rows, of one row at least."""
+    """Row ranges of at most ``size`` bytes and ``rows`` rows, of one row at least. After the last, freed memory goes back."""
     at, n = 0, len(offsets) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         to = min(to, at + rows, n)
         yield at, to
         at = to
+    if n >= GIVE_BACK_ROWS:
+        give_back()
 
 
 @dataclass
@@ -82,32 +94,22 @@ class Words:
         return self.low[self.starts[k] : self.ends[k]].tobytes()
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS.get("up", ())) < n:
-        inverse = pow(_BASE, -1, 1 << 64)
-        for name, factor in (("up", _BASE), ("down", inverse)):
-            table = np.full(n, factor, _U)
-            table[:1] = 1
-            with np.errstate(over="ignore"):
-                _POWERS[name] = np.cumprod(table, dtype=_U)
-    return _POWERS["up"], _POWERS["down"]
-
-
 def _hash_words(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each byte is mixed together with its place in the word, and a word's sum is mixed once more.
+
+    A polynomial over 64-bit numbers would do with less work, but has pairs of plain words with one hash.
+    """
     out = np.empty(len(starts), _U)
     at = 0
     while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + HASH_BYTES, "right")))
         first, last = int(starts[at]), int(ends[to - 1])
-        up, down = _powers(max(last - first + 1, HASH_BYTES + 1))
+        s, e = starts[at:to] - first, ends[at:to] - first
+        place = np.arange(last - first) - np.repeat(s, np.diff(s, append=last - first))
+        sums = np.zeros(last - first + 1, _U)
         with np.errstate(over="ignore"):
-            sums = np.zeros(last - first + 1, _U)
-            np.cumsum((low[first:last].astype(_U) + _U(1)) * up[: last - first], out=sums[1:])
-            s, e = starts[at:to] - first, ends[at:to] - first
-            out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(_U))
+            np.cumsum(mix(((place.astype(_U) << _U(8)) | low[first:last]) + _U(_SEED)), out=sums[1:])
+            out[at:to] = mix(sums[e] - sums[s] + (e - s).astype(_U))
         at = to
     return out
 

@@ -33,3 +33,12 @@ def test_shingle_sets():
     sets = words.shingle_sets(w, 3)
     assert [len(s) for s in sets] == [2, 1, 0, 3]
     assert sets[0][0] in sets[3] or sets[0][1] in sets[3]
+
+
+def test_words_with_one_polynomial_have_different_hashes():
+    """These two collide under any polynomial modulo a power of two."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1 << 12))
+    (_, _, w), = words.column_words(pa.array([one, one.translate({97: 98, 98: 97})]))
+    assert len(set(w.hashes.tolist())) == 2
+    a, b = words.shingle_sets(w, 3)
+    assert a[0] != b[0]
