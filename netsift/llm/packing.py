@@ -74,12 +74,13 @@ class WordIds:
     def learn(self, hashes: np.ndarray, stretches: list[str]) -> None:
         """Encodes new stretches, some at a time with blanks between; offsets tell which ids belong to which."""
         counts, ids = np.zeros(len(stretches), np.int32), []
-        groups = [stretches[k : k + JOINED] for k in range(0, len(stretches), JOINED)]
-        for g, found in enumerate(self.tokenizer.encode_batch([" ".join(x) for x in groups], add_special_tokens=False)):
+        for k in range(0, len(stretches), JOINED):
+            group = stretches[k : k + JOINED]
+            found = self.tokenizer.encode(" ".join(group), add_special_tokens=False)  # one at a time: its record is large
             if found.ids:
-                begins = np.cumsum([0, *[len(x) + 1 for x in groups[g]]])
+                begins = np.cumsum([0, *[len(x) + 1 for x in group]])
                 at = np.searchsorted(begins, np.array(found.offsets)[:, 0], "right") - 1
-                counts[g * JOINED : g * JOINED + len(groups[g])] = np.bincount(at, minlength=len(groups[g]))
+                counts[k : k + len(group)] = np.bincount(at, minlength=len(group))
                 ids.append(np.array(found.ids, np.uint32))
         new = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
         if self.used + len(new) > len(self.flat):
