@@ -87,10 +87,13 @@ def _last_versions(rows: DataFrame, log: DataFrame) -> DataFrame:
     return kept.drop("last_batch", "batch_id", "hour")
 
 
-def _once(batch: DataFrame) -> DataFrame:
-    """One row per flow id, the one with the latest time; rows without id stay."""
+def _once(batch: DataFrame, batch_id: int) -> DataFrame:
+    """One row per flow id, the one with the latest time. Each row without id stays, under an id of its own."""
     named = batch.filter(F.col("flow_id").isNotNull())
-    return tables.keep_last(named, "flow_id", ["start_ms"]).select(*batch.columns).unionByName(batch.filter(F.col("flow_id").isNull()))
+    nameless = batch.filter(F.col("flow_id").isNull()).withColumn(
+        "flow_id", F.format_string(f"no-id-{batch_id}-%d", F.monotonically_increasing_id()).cast(batch.schema["flow_id"].dataType)
+    )
+    return tables.keep_last(named, "flow_id", ["start_ms"]).select(*batch.columns).unionByName(nameless)
 
 
 def activity_batches(
@@ -105,14 +108,15 @@ def activity_batches(
 
     A late flow still counts for flows that arrive after it, and never changes
     results written before. A flow without a time sees every stored row of its source. A flow that is sent again is
-    handed on again and replaces its earlier version in all later counts. Rows older than the newest stored time minus the
+    handed on again and replaces its earlier version in all later counts. A flow without id is stored and handed on under
+    a made one (batch and place), so it counts and gets its event like any other. Rows older than the newest stored time minus the
     allowed lateness are copied to ``late_path``.
     """
     window_ms = window_minutes * activity.MINUTE_MS
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        write_batch(_once(batch).withColumn("hour", F.floor(F.col("start_ms") / HOUR_MS)), batch_id, flows_path, "hour")
+        write_batch(_once(batch, batch_id).withColumn("hour", F.floor(F.col("start_ms") / HOUR_MS)), batch_id, flows_path, "hour")
         mine = spark.read.schema(batch.schema).parquet(f"{flows_path}/batch_id={batch_id}").select(*batch.columns)
         span = mine.agg(F.min("start_ms").alias("lo"), F.count("start_ms").alias("timed"), F.count("*").alias("n")).first()
         if span["n"] == 0:

@@ -25,3 +25,12 @@ def test_untimed_and_resent_flows(spark, tmp_path):
         plain = lambda found: sorted((r.asDict() for r in found if r.flow_id in ids), key=lambda r: r["flow_id"])
         assert plain(seen[n]) == plain(want)
         assert len(seen[n]) == len(ids)
+
+
+def test_flows_without_id_are_kept(spark, tmp_path):
+    """Each counts for its source and is handed on under an id of its own."""
+    rows = [(None, "10.0.0.1", "10.1.0.1", 443, "6", 1_000), (None, "10.0.0.1", "10.1.0.1", 443, "6", 1_000), ("a", "10.0.0.1", "10.1.0.2", 443, "6", 2_000), (None, "10.0.0.1", "10.1.0.1", 443, "6", None)]
+    seen = []
+    ingest.activity_batches(f"{tmp_path}/flows", 180, lambda df, n: seen.extend(df.collect()))(spark.createDataFrame(rows, SCHEMA), 0)
+    assert sorted((r.start_ms or 0, r.flow_count) for r in seen) == [(0, 3), (1_000, 0), (1_000, 0), (2_000, 2)]
+    assert len({r.flow_id for r in seen}) == 4
