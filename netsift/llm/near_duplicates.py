@@ -6,6 +6,9 @@ value is stored as its count of leading zeros (6 bits) and the bits behind the l
 An empty bucket takes the next filled one of its hash.
 
 1. Equal sets are one class (by a 128-bit digest), so copies cost one row each and nothing more.
+   Registers of very small sets repeat, so links of sets of up to ``EXACT`` shingles (fewer below 60 %) are found exactly:
+   two sets are linked if they share a subset of the size that the threshold asks of their sizes, and all sets that hold a
+   subset are joined by a star. Such sets enter no band.
 2. Classes that agree in all registers of a band share a bucket. The smallest class of a bucket is paired with the
    others; pairs are estimated by equal registers, corrected for the chance that different minima have equal registers.
    What stays ``SLACK`` standard deviations below the threshold is no candidate.
@@ -32,6 +35,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +51,8 @@ GROUPS, BUCKETS = 16, 16
 REGISTERS = GROUPS * BUCKETS
 MANTISSA = 10
 BANDS, BAND_ROWS = 32, 5
+FEW, FEW_BANDS = 40, REGISTERS // BAND_ROWS  # sets of up to FEW shingles use all registers
+EXACT, SUBSETS = 10, 10_000
 SLACK = 4.5
 BUCKET = 4_096
 CHUNK = 256
@@ -117,8 +123,27 @@ def digests(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
-def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n, node, check, registers) of (doc_id, text)."""
+def needed(a: int, b: int, percent: int) -> int:
+    """Common shingles that link sets of a and b shingles."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def exact_size(percent: int) -> int:
+    """Sets of up to so many shingles are joined exactly: EXACT, or less where a low threshold makes over SUBSETS subsets."""
+    wide = lambda n: math.comb(100 * n // percent, needed(n, 100 * n // percent, percent))
+    return max((n for n in range(1, EXACT + 1) if wide(n) <= SUBSETS), default=0)
+
+
+def partners(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """(smaller size, larger size, common shingles) of the links that a set of n shingles can have with or as an exactly joined set."""
+    top = exact_size(percent)
+    pairs = ((min(n, m), max(n, m)) for m in range(1, 100 * top // percent + 1))
+    return [(a, b, needed(a, b, percent)) for a, b in pairs if a <= top and a >= needed(a, b, percent)]
+
+
+def sketches(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(doc_id, n, node, check, registers, few) of (doc_id, text); ``few`` holds the shingles of sets that can link with a set of up to EXACT."""
+    widest = 100 * exact_size(percent) // percent
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,19 +154,55 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                     [
                         batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two),
                         pa.array([r.tobytes() for r in sketch(sets)], pa.binary()),
+                        pa.array([s.tobytes() if 0 < len(s) <= widest else None for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n", "node", "check", "registers"],
+                    ["doc_id", "n", "node", "check", "registers", "few"],
                 )
 
-    return docs.mapInArrow(work, "doc_id bigint, n bigint, node bigint, check bigint, registers binary")
+    return docs.mapInArrow(work, "doc_id bigint, n bigint, node bigint, check bigint, registers binary, few binary")
+
+
+def small_links(classes: DataFrame, work: Work, percent: int) -> DataFrame:
+    """Links (a, b) of classes of which one has at most EXACT shingles, enough to join all that are linked.
+
+    Each set gives all its subsets of the size that a link with a partner of given size takes. Whatever holds a subset is
+    linked with whatever holds it on the other side, so the smallest node of a side stands for the side.
+    """
+
+    def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, few in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = words.mix(np.frombuffer(few, _U) ^ _U(0x5851F42D4C957F2D)), words.mix(np.frombuffer(few, _U) + _U(1))
+                for a, b, size in partners(len(own[0]), percent):
+                    picks = np.array(list(combinations(range(len(own[0])), size)))
+                    with np.errstate(over="ignore"):
+                        key, check = (h[picks].sum(axis=1, dtype=_U).view(np.int64) for h in own)
+                    side = [pa.array(np.full(len(picks), x, np.int32)) for x in (a * (EXACT * 100) + b, len(own[0]) == b)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*side, pa.array(key), pa.array(check), pa.array(np.full(len(picks), node, np.int64))],
+                        ["sizes", "larger", "key", "check", "node"],
+                    )
+
+    rows = classes.where("few is not null").select("node", "few")
+    held = work.kept(rows.mapInArrow(subsets, "sizes int, larger int, key bigint, check bigint, node bigint"))
+    group = ["sizes", "key", "check"]
+    ends = held.groupBy(*group).agg(
+        F.min(F.when(F.col("larger") == 0, F.col("node"))).alias("low"), F.min(F.when(F.col("larger") == 1, F.col("node"))).alias("high"),
+        F.count(F.lit(1)).alias("m"),
+    )
+    # of two sets of one size both are on the larger side
+    ends = ends.where("m > 1 and high is not null").withColumn("same", F.col("sizes") % (EXACT * 100 + 1) == 0).where("same or low is not null")
+    met = held.join(ends, group).select("node", F.when(F.col("same") | (F.col("larger") == 0), F.col("high")).otherwise(F.col("low")).alias("a"))
+    return work.kept(met.where("a <> node").select(F.col("a"), F.col("node").alias("b")).distinct())
 
 
-def banded(classes: DataFrame) -> DataFrame:
-    """(key, node) for every band of every class."""
-    bands = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")
+def banded(classes: DataFrame, percent: int) -> DataFrame:
+    """(key, node) for every band of every class that is not joined exactly."""
+    count = F.when(F.col("n") <= FEW, FEW_BANDS).otherwise(BANDS)
+    bands = F.explode(F.sequence(F.lit(0), count - 1)).alias("band")
     width = BAND_ROWS * 2
     part = F.expr(f"substring(registers, band * {width} + 1, {width})")
-    return classes.select("node", "registers", bands).select(F.xxhash64("band", part).alias("key"), "node")
+    return classes.where(F.col("n") > exact_size(percent)).select("node", "registers", bands).select(F.xxhash64("band", part).alias("key"), "node")
 
 
 class Work:
@@ -388,18 +449,19 @@ def near_duplicates(
     """One row per document: id, ``n_shingles``, ``component_id`` and ``kept`` (its own component's smallest id)."""
     work = Work(docs.sparkSession)
     texts = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = work.kept(sketches(texts, shingle))
+    rows = work.kept(sketches(texts, shingle, percent))
     classes = work.kept(
         rows.where("n > 0 and doc_id is not null").groupBy("node", "check", "n")
-        .agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"))
+        .agg(F.min("doc_id").alias("rep"), F.first("registers").alias("registers"), F.first("few").alias("few"))
     )
-    bands = banded(classes)
+    exact = small_links(classes, work, percent)
+    bands = banded(classes, percent)
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("a")).where("m > 1").select("key", "a")
     bands = work.kept(bands.join(shared, "key").select("key", "a", "node"))
     stars = bands.where("a <> node").select("a", F.col("node").alias("b")).distinct()
     pairs = work.kept(candidates(stars, classes, percent))
     best = pairs.groupBy("b").agg(F.max_by("a", F.struct("likeness", -F.col("a"))).alias("a"))
-    links = verified(best, classes, texts, work, shingle, percent)
+    links = exact.union(verified(best, classes, texts, work, shingle, percent))
     labels = components(links, work)
 
     name = lambda s: labels.select(F.col("node").alias(s), F.col("label").alias(f"label_{s}"))

@@ -127,3 +127,32 @@ def test_one_other_class_leaves_no_whole_bucket(spark, monkeypatch):
     rows = N.swept(bands, classes, labels, 85)
     assert rows.groupBy("key").count().agg({"count": "max"}).first()[0] <= 80
     assert 800 <= rows.count() <= 2 * 800
+
+
+@pytest.mark.parametrize("shingle, percent", [(3, 85), (5, 80), (1, 60)])
+def test_small_sets_lose_no_link(spark, shingle, percent):
+    """Very short texts, most of them one or two edits from another, against all pairs; a third holds one common phrase."""
+    rng = random.Random(shingle)
+    phrase = "the same few words open each of these notes".split()
+    docs = [[rng.choice("abcdefghijklmnopqrstuv") for _ in range(rng.randint(1, 18))] for _ in range(120)]
+    for _ in range(480):
+        d = list(rng.choice(docs))
+        where = rng.choice([0, len(d), rng.randint(0, len(d))])
+        docs.append(d[:where] + [rng.choice("wxyz")] * rng.randint(0, 2) + d[where + rng.randint(0, 1) :])
+    docs += [phrase[: rng.randint(5, 9)] + [f"n{rng.randint(0, 60)}" for _ in range(rng.randint(1, 3))] for _ in range(300)]
+    rows = [(k, " ".join(d)) for k, d in enumerate(docs)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert found(frame, shingle=shingle, percent=percent) == brute(rows, shingle, percent)
+
+
+@pytest.mark.parametrize("percent", [60, 80, 85, 100])
+def test_partners_cover_every_link_of_a_small_set(percent):
+    """Each pair of sizes that some link can have is listed on both sides, with the least common count that links."""
+    assert N.exact_size(percent) == N.EXACT and 0 < N.exact_size(20) < N.EXACT
+    for a in range(1, N.EXACT + 1):
+        for b in range(a, 40):
+            linked = [c for c in range(a + 1) if 100 * c >= percent * (a + b - c)]
+            for n in (a, b):
+                if n <= 100 * N.EXACT // percent:
+                    assert [c for x, y, c in N.partners(n, percent) if (x, y) == (a, b)] == linked[:1]
+            assert not linked or b <= 100 * N.EXACT // percent
