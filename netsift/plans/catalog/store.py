@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netsift.operators import summary
+from netsift.operators import curation, summary
 from netsift.operators import tables as T
 from netsift.plans import inputs
 from netsift.plans.catalog import query
@@ -170,6 +170,27 @@ def source_status_counts(spark, sf):
     return context_status(spark, sf).groupBy(F.coalesce("status", F.lit("unknown")).alias("status")).agg(F.count("*").alias("n"))
 
 
+def _content_sql(source: str, *lists: str) -> str:
+    """The first 6,000 characters of a source's rows as JSON without nulls, in reading order."""
+    rows = " UNION ALL ".join(
+        f"SELECT {k} AS part, seq, CAST(json_merge_patch('{{}}', to_json(x)) AS VARCHAR) AS c FROM {name} x" for k, name in enumerate(lists)
+    )
+    return f"SELECT '{source}' AS name, string_agg(c, chr(10) ORDER BY part, seq, c) AS t FROM ({rows})"
+
+
+CONTENT_SQL = f"{_content_sql('cve_feed', 'advisories')} UNION ALL {_content_sql('threat_feed', 'indicators', 'patterns')}"
+
+
+@query("curation_payload", inputs.ansi(
+    f"""SELECT '2024-01-31' AS cycle_id, s.*, CASE WHEN t IS NULL THEN '' WHEN length(t) <= 6000 THEN t ELSE left(t, 6000) || chr(10) || '... [truncated]' END AS content
+    FROM ({STATUS_SQL}) s LEFT JOIN ({CONTENT_SQL}) c USING (name)""", "assets", "zones", "advisories", "indicators", "patterns", extra=SOURCE_ROWS))
+def curation_payload(spark, sf):
+    """The status of every context source, and the cut content of the used ones; assets have an error, so none of theirs."""
+    lists = [("assets", "seq", "assets"), ("assets", "zone_seq", "zones"), ("cve_feed", "seq", "advisories"), ("threat_feed", "seq", "indicators"), ("threat_feed", "seq", "patterns")]
+    rows = curation.source_table([(source, key, view(spark, sf, name)) for source, key, name in lists])
+    return curation.curation_payload(rows, load_context_sources(spark, sf), "2024-01-31")
+
+
 @query("clean_context_rows", inputs.ansi("SELECT seq, coalesce(nullif(policy_rule, ''), 'none') AS rule, CASE WHEN services_text = '' THEN 'none' ELSE array_to_string(list_filter(list_transform(string_split(services_text, ','), lambda x: trim(x)), lambda x: x <> ''), '|') END AS services FROM assets", "assets"))
 def clean_context_rows(spark, sf):
     rows = T.clean_rows(view(spark, sf, "assets"), ["services_text"])

@@ -232,3 +232,22 @@ def test_enrichment_scores_survivors_once(spark):
     assert {(r.route, r.category_hint, len(r.attributions)) for r in rows} == {
         ("auto_dismiss", "not_evaluated", 0), ("auto_alert", "mock", 0), ("tier1_llm", "mock", 1)
     }
+
+
+def test_payload_lists_every_source_and_shows_used_ones(spark):
+    """Rows of a source in error are not shown, missing ones are listed, the cut falls inside a row, equal positions sort by text."""
+    from netsift.operators import curation
+
+    status = spark.createDataFrame(
+        [("a", "used", 3, ""), ("b", "error", 0, "bad row"), ("c", "missing", 0, ""), ("d", "used", 200, "")],
+        "name string, status string, item_count bigint, error string",
+    )
+    one = spark.createDataFrame([(2, "x"), (1, "z"), (None, "y")], "pos bigint, v string")
+    two = spark.createDataFrame([(0, "b"), (0, "a")], "pos bigint, v string")
+    many = spark.createDataFrame([(k, f"{k:03}") for k in range(200)], "pos bigint, v string")
+    rows = curation.source_table([("a", "pos", one), ("a", "pos", two), ("b", "pos", one), ("d", "pos", many)])
+    got = {r["name"]: r for r in curation.curation_payload(rows, status, "day", 100).collect()}
+    line = '{{"pos":{0},"v":"{1}"}}'.format
+    assert got["a"]["content"] == "\n".join(['{"v":"y"}', line(1, "z"), line(2, "x"), line(0, "a"), line(0, "b")])[:100]
+    assert (got["b"]["content"], got["b"]["error"], got["c"]["content"], got["c"]["status"]) == ("", "bad row", "", "missing")
+    assert got["d"]["content"] == "\n".join(line(k, f"{k:03}") for k in range(200))[:100] + "\n... [truncated]"
