@@ -42,6 +42,20 @@ def test_hot_source_activity_equals_brute_force(spark, pane_rows):
         assert ports[fid] == sorted(set(prior), key=lambda p: (-prior.count(p), p))[:5]
 
 
+def test_port_batches_without_flows(spark):
+    """Batches of one row: those with a leaving tick or a carry row hold no flow."""
+    rows = [(f"f{i}", "hot", 80 if i % 3 else 53, i * 100) for i in range(40)]
+    df = spark.createDataFrame(rows, "flow_id string, src_ip string, dst_port int, start_ms bigint")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        ports = dict(activity.top_ports(df, 1000, pane_rows=5).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for fid, _, _, t in rows:
+        seen = [p for _, _, p, at in rows if t - 1000 <= at < t]
+        assert ports[fid] == sorted(set(seen), key=lambda p: (-seen.count(p), p))
+
+
 def test_hot_sources_get_panes_of_equal_count(spark):
     df = spark.range(1000).select(F.lit("hot").alias("src_ip"), (F.col("id") * 1000).alias("at"))
     sizes = activity.with_panes(df, pane_rows=10).groupBy("pane").count().collect()
