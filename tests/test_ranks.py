@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from netsift.operators import ranks
 from netsift.operators.ranks import lower_quantiles, range_rank, range_sums
 
 
@@ -42,6 +43,24 @@ def test_rank_and_sums(spark, kind):
         assert sorted(r.upto for r in keyed if r.key == key) == list(range(1, sum(k == key for k, _, _ in rows) + 1))
 
 
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_hot_key_stays_spread(spark, monkeypatch, small):
+    """With no join turned into a broadcast by size, no partition gets more than a few ranges of a key that holds all rows."""
+    monkeypatch.setattr(ranks, "SMALL", small)
+    frame = spark.createDataFrame([(None, float(i % 7), i) for i in range(4_000)], "key string, v double, id long")
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    held = {name: spark.conf.get(name) for name in off}
+    for name, value in off.items():
+        spark.conf.set(name, value)
+    try:
+        ranked = range_rank(frame, ["v", "id"], "r", keys=["key"], total="n").withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        for name, value in held.items():
+            spark.conf.set(name, value)
+    assert sorted(r.r for r in ranked) == list(range(1, 4_001)) and {r.n for r in ranked} == {4_000}
+    assert max(sum(r.p == p for r in ranked) for p in {r.p for r in ranked}) < 3_000
+
+
 @pytest.mark.parametrize("kind", KINDS)
 def test_lower_quantiles(spark, kind):
     rows = rows_of(kind)
