@@ -154,3 +154,18 @@ def test_routes(spark, prob, hints, policy, route, threshold):
 def test_broken_document_is_an_empty_watchlist(spark):
     for text in ("not json", '{"priority_1": 5}', "[]"):
         assert watchlist.load_watchlist(watchlist.document_frame(spark, text)).items.count() == 0
+
+
+def test_join_form_reads_its_flows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def work(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    flows = flow(spark)
+    counted = flows.mapInPandas(work, flows.schema)
+    tables = watchlist.load_watchlist(watchlist.document_frame(spark, {"priority_1": [{"id": "A", "target_assets": TARGET, "detection_hints": [hint("dst_port", "in", [443])]}]}))
+    assert matching_tables.match_watchlist(counted, tables).count() == 1
+    assert seen.value == 1
