@@ -2,7 +2,9 @@
 
 Learning reads a bounded sample of labelled rows (``FIT_ROWS``, a documented parameter). Words that are far more common in
 toxic than in clean rows become entries; so do beginnings of words that many different such words share. Both
-are kept in one trie, at most ``LEXICON`` of them.
+are kept in one trie, at most ``LEXICON`` of each. Common means: of the words read under a label, whatever share of the
+rows has it, and too much for chance. A second lexicon holds the words that are far more common in clean rows, so that labels under
+which the telling words are those of label 0 are learned as well.
 
 A word is judged by running its Levenshtein automaton (rows of edit distances, cut off above one edit) along the trie: an
 entry at distance 0 is ``exact``, a beginning that ends inside the word is ``stem``, an entry of ``FUZZY_LENGTH`` or more
@@ -11,8 +13,8 @@ characters at distance 1 is ``fuzzy``. Only distinct words meet the automaton; e
 
 Every hit is set into a window of ``WINDOW`` words to both sides. Quotation marks on both sides, or a reporting word
 before it, make it ``quoted``, otherwise it is ``plain``; a second person in the window makes it ``aimed``. Log counts by
-kind and setting and the share of hits enter a logistic regression fitted on the same sample, so the labels decide what a
-quotation is worth.
+kind and setting and the share of hits, of each lexicon, enter a logistic regression fitted on the same sample, so the labels
+decide what a quotation is worth.
 
 Null and empty texts and texts without hits have the score of no hit. Without labelled rows, or with one label only,
 every score is the share of toxic rows seen (0 if none). Ids, languages, sources and labels are never inputs of a score.
@@ -27,18 +29,18 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsift.llm import labels, registry, words
 
 FIT_ROWS = 12_000
 LEXICON = 20_000
-MIN_DOCS = 4
-PURITY = 0.8
+LIFT = 16.0
+EVIDENCE = 8.0
 STEM_LENGTHS = (4, 5, 6, 7, 8)
 STEM_WORDS = 6
-STEM_DOCS = 12
+STEM_EVIDENCE = 20.0
 FUZZY_LENGTH = 5
 WINDOW = 8
 REMEMBER = 400_000
@@ -50,7 +52,11 @@ REPORTING = "said says say wrote called quote quoted quotes told dijo dice dit s
 SECOND = "you your yours du dich dir dein ihr tu te toi vous ton usted tus eres".split()
 
 NO_HIT, EXACT, STEM, FUZZY = 0, 1, 2, 3
-FEATURES = 9
+PER_LEXICON = 9
+FEATURES = 2 * PER_LEXICON
+
+Lexicon = tuple[list[str], list[str]]  # entries and stems
+NO_LEXICON: Lexicon = ([], [])
 
 
 @dataclass
@@ -126,10 +132,11 @@ def with_straight_quotes(texts: pa.Array) -> pa.Array:
 
 
 class Reader:
-    """Features of documents; remembers judged words by their hash."""
+    """Features of documents by one lexicon; remembers judged words by their hash."""
 
     def __init__(self, trie: Trie):
         self.trie = trie
+        self.empty = not trie.root.children
         self.known: dict[int, int] = {}
         hashed = [words.find_words(*words.text_bytes(pa.array([" ".join(own)])), words.ALNUM).hashes for own in (REPORTING, SECOND)]
         self.reporting, self.second = (np.sort(h) for h in hashed)
@@ -149,7 +156,9 @@ class Reader:
 
     def features(self, w: words.Words) -> np.ndarray:
         n = len(w.rows) - 1
-        out = np.zeros((n, FEATURES))
+        out = np.zeros((n, PER_LEXICON))
+        if self.empty:
+            return out
         kinds = self.kinds(w)
         at = np.flatnonzero(kinds)
         if not len(at):
@@ -174,8 +183,20 @@ class Reader:
         return out
 
 
-def lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """Entries and stems from a sample of (text, label).
+def _evidence(own: Column, other: Column, share: Column) -> Column:
+    """How far a word's counts are from chance, if ``share`` of all words are read under its own label: the log of the odds."""
+    n = own + other
+    part = lambda k, of: F.when(k > 0, k * F.log(k / (n * of))).otherwise(0.0)
+    return part(own, share) + part(other, 1 - share)
+
+
+def _lift(own: Column, other: Column, share: Column) -> Column:
+    """How many times more common a word is under its own label than under the other; half a word more is seen of both."""
+    return (own + 0.5) / share / ((other + 0.5) / (1 - share))
+
+
+def lexicons(sample: DataFrame) -> tuple[Lexicon, Lexicon]:
+    """Entries and stems from a sample of (text, label): those of toxic rows and those of clean ones.
 
     A word counts once for each pair of neighbours, so copies of one text do not make a word common.
     """
@@ -199,21 +220,34 @@ def lexicon(sample: DataFrame) -> tuple[list[str], list[str]]:
                 })
 
     seen = sample.mapInArrow(neighbours, "word string, around bigint, toxic bigint").distinct()
-    counts = seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n"))
-    pure = F.col("t") >= PURITY * F.col("n")
+    counts = seen.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).persist()
+    toxic, clean = counts.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    try:
+        if not toxic or not clean:
+            return NO_LEXICON, NO_LEXICON
+        return _of_label(counts, "t", "c", toxic / (toxic + clean)), _of_label(counts, "c", "t", clean / (toxic + clean))
+    finally:
+        counts.unpersist()
+
+
+def _of_label(counts: DataFrame, own: str, other: str, share: float) -> Lexicon:
+    """The entries and stems of the label whose counts ``own`` holds."""
+    k, j, of = F.col(own), F.col(other), F.lit(share)
+    telling = (_lift(k, j, of) >= LIFT) & (k > j * share / (1 - share))
     stems = (
-        counts.select("t", "n", F.explode(F.array(*[F.lit(k) for k in STEM_LENGTHS])).alias("k"), "word")
-        .where(F.length("word") >= F.col("k")).groupBy(F.expr("substring(word, 1, k)").alias("stem"))
-        .agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.sum((F.col("t") > 0).cast("int")).alias("forms"))
-        .where(pure & (F.col("t") >= STEM_DOCS) & (F.col("forms") >= STEM_WORDS))
-        .orderBy(F.desc("t"), "stem").limit(LEXICON).collect()
+        counts.select("t", "c", F.explode(F.array(*[F.lit(n) for n in STEM_LENGTHS])).alias("n"), "word")
+        .where(F.length("word") >= F.col("n")).groupBy(F.expr("substring(word, 1, n)").alias("stem"))
+        .agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.sum((k > 0).cast("int")).alias("forms"))
+        .where(telling & (F.col("forms") >= STEM_WORDS)).withColumn("e", _evidence(k, j, of)).where(F.col("e") >= STEM_EVIDENCE)
+        .orderBy(F.desc("e"), "stem").limit(LEXICON).collect()
     )
     chosen: set[str] = set()
     for stem in sorted((r.stem for r in stems), key=lambda x: (len(x), x)):
-        if not any(stem[:k] in chosen for k in range(1, len(stem))):
+        if not any(stem[:n] in chosen for n in range(1, len(stem))):
             chosen.add(stem)
-    entries = counts.where(pure & (F.col("t") >= MIN_DOCS)).orderBy(F.desc("t"), "word").limit(LEXICON).collect()
-    return sorted(r.word for r in entries if not any(r.word[:k] in chosen for k in range(1, len(r.word) + 1))), sorted(chosen)
+    found = counts.where(telling).withColumn("e", _evidence(k, j, of)).where(F.col("e") >= EVIDENCE)
+    entries = found.orderBy(F.desc("e"), "word").limit(LEXICON).collect()
+    return sorted(r.word for r in entries if not any(r.word[:n] in chosen for n in range(1, len(r.word) + 1))), sorted(chosen)
 
 
 @dataclass
@@ -221,13 +255,18 @@ class Model:
     entries: list[str]
     stems: list[str]
     weights: np.ndarray
+    clean: Lexicon = NO_LEXICON
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
 def regression(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the constant."""
+    """Logistic regression by Newton steps; the last weight is the constant.
+
+    A full step can overshoot where the features part the labels cleanly, and the constant then runs away until all scores are
+    one: so a step is halved until it lowers the penalized loss.
+    """
     share = y.mean() if len(y) else 0.0
     base = np.log(max(share, 1e-9) / max(1 - share, 1e-9))
     weights = np.append(np.zeros(x.shape[1]), base)
@@ -235,23 +274,30 @@ def regression(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int =
         return weights
     full = np.column_stack([x, np.ones(len(x))])
     ridge = np.diag(np.append(np.full(x.shape[1], penalty), 1e-6))
+
+    def loss(w: np.ndarray) -> float:
+        return np.sum(np.logaddexp(0, full @ w) - y * (full @ w)) + w @ ridge @ w / 2
+
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(full @ weights, -30, 30)))
         step = np.linalg.solve((full * (p * (1 - p))[:, None]).T @ full + ridge, full.T @ (p - y) + ridge @ weights)
+        while np.abs(step).max() >= 1e-6 and loss(weights - step) > loss(weights):
+            step = step / 2
         weights = weights - step
         if np.abs(step).max() < 1e-6:
             break
     return weights
 
 
-def with_features(rows: DataFrame, entries: list[str], stems: list[str], passed: str) -> DataFrame:
-    """(text, x) becomes (x, features): x passes unchanged."""
-    sent = rows.sparkSession.sparkContext.broadcast((entries, stems))
+def with_features(rows: DataFrame, entries: list[str], stems: list[str], passed: str, clean: Lexicon = NO_LEXICON) -> DataFrame:
+    """(text, x) becomes (x, features): x passes unchanged. ``clean`` is the lexicon of label 0."""
+    sent = rows.sparkSession.sparkContext.broadcast(((entries, stems), clean))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(Trie(*sent.value))
+        readers = [Reader(Trie(*one)) for one in sent.value]
         for batch in batches:
-            found = [reader.features(w) for _, _, w in words.column_words(with_straight_quotes(batch.column(0)), words.ALNUM)]
+            parts = words.column_words(with_straight_quotes(batch.column(0)), words.ALNUM)
+            found = [np.column_stack([reader.features(w) for reader in readers]) for _, _, w in parts]
             flat = np.concatenate(found) if found else np.zeros((0, FEATURES))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array(list(flat), pa.list_(pa.float64()))], [passed, "features"]
@@ -265,12 +311,12 @@ def fit(docs: DataFrame, known: DataFrame, text_col: str = "text", id_col: str =
     learn = labels.remainder(F.col("id"), FOLDS) != 1
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sample = labels.labelled_sample(docs, known, label, learn, FIT_ROWS, id_col, text_col).repartition(tasks)
-    entries, stems = lexicon(sample)
-    got = with_features(sample, entries, stems, "label").toArrow()  # at most FIT_ROWS rows
+    (entries, stems), clean = lexicons(sample)
+    got = with_features(sample, entries, stems, "label", clean).toArrow()  # at most FIT_ROWS rows
     x = np.array(got.column(1).to_pylist(), dtype=np.float64).reshape(-1, FEATURES)
     y = (got.column(0).to_numpy() >= 0.5).astype(np.float64)
     order = np.lexsort((*x.T, y))  # sums in one order, whatever order the rows arrive in
-    return Model(entries, stems, regression(x[order], y[order]))
+    return Model(entries, stems, regression(x[order], y[order]), clean)
 
 
 @registry.query("op1_toxicity")
@@ -279,7 +325,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = registry.table(spark, sf_dir, "documents")
     model = fit(docs, registry.table(spark, sf_dir, "labels"))
     rows = docs.select(F.col("text").cast("string").alias("text"), "doc_id")
-    found = with_features(rows, model.entries, model.stems, "doc_id")
+    found = with_features(rows, model.entries, model.stems, "doc_id", model.clean)
     total = sum((F.get("features", F.lit(k)) * F.lit(float(w)) for k, w in enumerate(model.weights[:-1])), F.lit(float(model.weights[-1])))
     scored = found.select("doc_id", (1 / (1 + F.exp(-total))).alias("score"))
     return scored.select(

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from netsift.llm import labels as labels_of
 from netsift.llm import quality as Q
 from netsift.llm import registry
 from netsift.llm import toxicity as X
@@ -54,6 +55,35 @@ def test_toxicity_odd_rows(odd_documents, no_documents, labels):
     assert empty.entries == empty.stems == [] and empty.scores(np.zeros((1, X.FEATURES)))[0] < 1e-6
 
 
+def test_regression_of_parted_labels():
+    """Newton steps overshoot where one feature parts the labels; the constant used to run away."""
+    x = np.zeros((386, 2))
+    x[:40, 0], x[:40, 1] = np.log1p(3), 1
+    weights = X.regression(x, (np.arange(386) < 40).astype(float))
+    assert np.abs(weights).max() < 20 and x[0] @ weights[:-1] + weights[-1] > 0 > weights[-1]
+
+
+@pytest.mark.parametrize("marked, share", [(1, 0.1), (0, 0.1), (1, 0.5), (0, 0.5)])
+def test_toxicity_ranks_either_label(spark, marked, share):
+    """The telling words may be those of label 1 or 0, and the label may be rare or held by half of the rows."""
+    rng = np.random.default_rng(7)
+    plain = ["".join(rng.choice(list("abcdefghijklmnoprst"), 6)) for _ in range(3000)]
+    rows = []
+    for i in range(600):
+        text = list(rng.choice(plain, 60))
+        has = rng.random() < share
+        if has:
+            text[10:40:10] = rng.choice(["zworm", "wquizz", "yzunder"], 3)
+        rows.append((i, " ".join(text), marked if has else 1 - marked))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    model = X.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    held = docs.where(labels_of.remainder(F.col("doc_id"), X.FOLDS) == 1)
+    got = X.with_features(held.select("text", "toxic"), model.entries, model.stems, "toxic", model.clean).toArrow()
+    scores = model.scores(np.array(got.column("features").to_pylist()))
+    target = np.array(got.column("toxic").to_pylist())
+    assert auc(scores, target) > 0.95
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
