@@ -169,3 +169,17 @@ def test_join_form_reads_its_flows_once(spark):
     tables = watchlist.load_watchlist(watchlist.document_frame(spark, {"priority_1": [{"id": "A", "target_assets": TARGET, "detection_hints": [hint("dst_port", "in", [443])]}]}))
     assert matching_tables.match_watchlist(counted, tables).count() == 1
     assert seen.value == 1
+
+
+def test_scopes_are_kept_by_pair_of_addresses(spark):
+    """Flows of one pair share its conditions; only ids that several rows have are looked up by flow."""
+    rows = [(f"f{i}", "10.0.0.1", "10.0.0.9") for i in range(50)] + [("twice", "10.0.0.1", "10.0.0.9"), ("twice", "10.0.0.1", "10.0.0.8"), (None, None, "10.0.0.9")]
+    flows = spark.createDataFrame(rows, "flow_id string, src_ip string, dst_ip string")
+    items = [{"id": f"I{i}", "target_assets": [{"ip": "10.0.0.9"}, {"cidr": "10.0.0.0/24"}], "detection_hints": [hint("dst_port", "in", [443])]} for i in range(3)]
+    targets = watchlist.load_watchlist(watchlist.document_frame(spark, {"priority_1": items})).targets
+    scopes = matching_tables.flow_scopes(flows, targets)
+    assert scopes.pairs.count() == 3 * 3 and [r.flow_id for r in scopes.repeated.collect()] == ["twice"]
+    found = {(r.flow_id, r.item_seq): len(r.scope_conditions) for r in matching_tables.scope_join(flows, targets).collect()}
+    assert len(found) == 3 * 52
+    assert {n for (f, _), n in found.items() if f == "f7"} == {3} and {n for (f, _), n in found.items() if f == "twice"} == {5}
+    assert {n for (f, _), n in found.items() if f is None} == {2}
