@@ -281,3 +281,19 @@ def test_source_patterns_are_chosen_without_their_lists(spark):
     assert list(got[1]["cidrs"]) == ["10.1.0.0/16"] and got[1]["side"] == "src" and got[2]["cidrs"] == [] and got[2]["side"] == "dst"
     assert got[1]["workstation"] == ["10.1.0.0/16"]
     assert "min_by" not in found._jdf.queryExecution().toString()
+
+
+def test_feedback_reads_its_flows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def work(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    flows = spark.createDataFrame([("a", "1.1.1.1", "2.2.2.2", 80, "6", 1000), ("b", "1.1.1.1", "2.2.2.2", 80, "6", 2000)],
+                                  "flow_id string, src_ip string, dst_ip string, dst_port int, protocol string, start_ms bigint")
+    stored = spark.createDataFrame([("a", "alert", "W-1")], "flow_id string, verdict string, watchlist_matched string")
+    rows = {r.flow_id: r for r in activity.with_feedback(flows.mapInPandas(work, flows.schema), stored, 20).collect()}
+    assert rows["b"].recent_alert_count == rows["b"].watchlist_hit_count == 1 and rows["a"].recent_alert_count == 0
+    assert seen.value == 2
