@@ -3,7 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from netsift.operators import match, matching, matching_tables, routing, watchlist
+from netsift import constants as K
+from netsift.functions import hints as H
+from netsift.operators import curation, match, matching, matching_tables, routing, watchlist
 
 FLOW = "flow_id string, src_ip string, dst_ip string, src_port int, dst_port int, protocol string, ml_prob double, features map<string,string>, same_dst_port_count bigint"
 
@@ -183,3 +185,63 @@ def test_scopes_are_kept_by_pair_of_addresses(spark):
     assert len(found) == 3 * 52
     assert {n for (f, _), n in found.items() if f == "f7"} == {3} and {n for (f, _), n in found.items() if f == "twice"} == {5}
     assert {n for (f, _), n in found.items() if f is None} == {2}
+
+
+def test_parsed_hints_say_what_hints_say(spark):
+    """Values parsed once per flow and hints parsed once per item give the status of every hint on every flow."""
+    features = [
+        {"a": "1e3", "b": " TRUE ", "c": "10.0.0.9", "d": None, "src_ip": "spoofed"}, {"a": "NaN", "b": "0", "c": "2001:DB8::9", "d": "x"},
+        {"a": "-0.0", "b": "", "c": "10.0.0.256", "d": "1000"}, {},
+    ]
+    flows = flow(spark, features=features[0], same_dst_port_count=1000)
+    for more in features[1:]:
+        flows = flows.unionByName(flow(spark, features=more, src_ip=None, dst_port=None, protocol="x"))
+    fields = ["a", "b", "c", "d", "src_ip", "L4_DST_PORT", "protocol", "ml_prob", "recent_source_same_dst_port_count", "nothing"]
+    values = [True, "false", 1000, "0", "x", "NaN", 0.15, None, [], [True, "x"], ["1000.0", None, "0"], ["10.0.0.0/24", "no range", "2001:db8::/32"]]
+    operators = ["eq", "in", "not_in", "nin", "in_cidr", "not_in_cidr", "gt", "gte", "lt", "lte", "like", ""]
+    hints = [hint(f, o, v) for f in fields for o in operators for v in values]
+    document = {"priority_1": [{"id": "A", "target_assets": TARGET, "detection_hints": hints}]}
+    rows = watchlist.to_tables(watchlist.raw_items(watchlist.document_frame(spark, document))).hints
+    slots = H.hint_slots()
+    packed = rows.withColumn("hint", matching_tables.packed_hint({name: at for at, name in enumerate(slots)}))
+    asked = packed.crossJoin(flows.select(H.hint_env().alias("given"), *H.hint_values(flows, slots)))
+    field = F.coalesce(F.try_element_at(matching_tables.literal_map(K.FIELD_ALIASES), "field"), "field")
+    said = H.hint_status(F.col("given"), field, F.col("operator"), F.col("is_list"), F.col("vals"), F.col("ranges"))
+    names = F.array(F.lit("unrecognized"), F.lit("no_match"), F.lit("match"))
+    got = F.get(names, F.get(matching_tables._status(F.array("hint")), 0))
+    found = asked.select("field", "operator", "vals", said.alias("said"), got.alias("got")).collect()
+    assert [r for r in found if r.said != r.got] == []
+    assert {r.said for r in found} == {"unrecognized", "no_match", "match"} and len(found) == 4 * len(hints)
+
+
+def test_grading_parses_nothing_and_moves_what_is_read(spark):
+    item = {
+        "id": "A", "target_assets": TARGET, "detection_hints": [hint("dst_port", "in", [443])],
+        "trigger_groups": [{"name": "a", "required": [hint("dst_port", "eq", 443), hint("src_ip", "not_in_cidr", ["10.0.0.0/8"])]}],
+    }
+    rows = matching_tables.item_rows(flow(spark), watchlist.load_watchlist(watchlist.document_frame(spark, {"priority_1": [item]})))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    number = "[eE]"  # of the pattern that numbers are read by
+    groups = rows.filter(F.col("g").isNotNull()).select("flow_id", "g.complete", "g.supported")
+    assert number not in plan(groups) and [(r.complete, r.supported) for r in groups.collect()] == [(True, False)]
+    best = matching_tables.best_match(rows).select("flow_id", "match.item_id", "match.match_strength")
+    assert not any(word in plan(best) for word in (number, "unmatched_list", "max_by(reason", "max_by(alert_when"))
+    assert [(r.item_id, r.match_strength) for r in best.collect()] == [("A", "asset_service")]
+
+
+def test_curation_steps_end_their_plans(spark):
+    """No table of an enriched draft carries the plans of the steps before it."""
+    table = lambda kinds, *rows: spark.createDataFrame(list(rows), kinds)
+    context = curation.Context(
+        table("seq int, ip string, role string, zone string, services array<string>, criticality string, status string, policy_rule string",
+              (1, "10.0.0.5", "billing-database", "db", ["postgres"], "high", "active", "external egress forbidden")),
+        table("zone_seq int, cidr string, zone string", (1, "10.1.0.0/16", "clinic-workstations"), (2, "10.2.0.0/16", "internal-app")),
+        table("seq int, affects_assets array<string>, affected_ports array<int>, title string, content string, observables array<string>",
+              (1, ["10.0.0.5"], [5432], "t", "repeated probing", ["benign once"])),
+        table("seq int, name string, condition string, dst_ip string, dst_port int, protocol string", (1, "dns tunnel", "workstation dns", None, 53, "17")),
+        table("seq int, ip string, tags string", (1, "198.51.100.9", "database-scanner")),
+    )
+    done = curation.enhance_watchlist(curation.draft_from_seed(curation.seed_watchlist(context.assets, "2024-01-31")), context)
+    assert done.items.count() == 2 and done.hints.count() > 5
+    for frame in (done.items, done.hints):
+        assert frame._jdf.queryExecution().analyzed().toString().count("Join ") <= 4
